@@ -1,0 +1,5 @@
+"""Restartable batches: an output table says which keys are already done.
+
+The engine has no unbounded sources, so there is no watermark or stateful
+stream here; a run that was cut short is resumed with anti joins instead.
+"""
