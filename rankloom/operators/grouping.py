@@ -159,22 +159,30 @@ def lowest_fraction(df: DataFrame, keys: Sequence[str], value: Column, name: str
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group.
 
     Small groups use the built-in exact percentile. A hot group is first reduced
     to its distinct values with counts and the two neighbours of each quantile
-    are picked by position, so no task ever holds the whole group.
+    are picked by position, so no task ever holds the whole group. ``weight``
+    counts a row several times.
     """
     keys = list(keys)
-    held = df.where(F.col(value).isNotNull()).select(*keys, value)
+    held = df.where(F.col(value).isNotNull()).select(*keys, value, *([weight] if weight else []))
     if hot_groups(held, keys, hot_limit(df)).isEmpty():
+        times = F.col(weight) if weight else F.lit(1)
         return held.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(name) for name, q in fractions.items()]
+            *[F.percentile(value, F.lit(q), times).alias(name) for name, q in fractions.items()]
         )
-    hist = held.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = F.sum(weight) if weight else F.count(F.lit(1))
+    hist = held.groupBy(*keys, value).agg(copies.alias("_copies")).where(F.col("_copies") > 0)
     ranked = positions(hist, keys, [F.col(value)], "_pos", "_n", weight="_copies")
+    return pick_quantiles(ranked, keys, value, fractions)
+
+
+def pick_quantiles(ranked: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
+    """Quantiles from numbered values (``_pos``, ``_copies``, ``_n``) by conditional aggregation."""
     first, last = F.col("_pos") - 1, F.col("_pos") + F.col("_copies") - 2
     aggs = []
     for name, q in fractions.items():
@@ -190,6 +198,51 @@ def quantiles(
     return picked.select(*keys, *columns)
 
 
+def quantiles_without(
+    df: DataFrame, keys: Sequence[str], unit: str, value: str, tie: Sequence[str], fractions: Mapping[str, float]
+) -> DataFrame:
+    """Exact quantiles of each group with one unit left out, for every unit.
+
+    The group is sorted once. Leaving out a unit shifts the wanted position by
+    the number of its rows that come before it, so each (unit, quantile) needs
+    one lookup by position instead of another pass over the other units.
+    """
+    keys = list(keys)
+    order = [F.col(value), *[F.col(t) for t in tie]]
+    ranked = positions(df.select(*keys, unit, value, *tie), keys, order, "_pos", "_n")
+    own = positions(ranked, [*keys, unit], [F.col("_pos")], "_own", "_rows")
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in fractions.items()])
+    )
+    left = F.col("_n") - F.col("_rows")
+    spec = own.where(left > 0).select(*keys, unit, "_pos", "_own", "_n", "_rows", wanted.alias("_w")).select(
+        "*", F.col("_w.name").alias("_name"), (F.col("_w.q") * (left - 1)).alias("_at")
+    )
+    for tag, where in (("lo", F.floor("_at")), ("hi", F.ceil("_at"))):
+        spec = spec.withColumn(f"_{tag}", where)
+    # rows of the unit that sit before the wanted place of the remaining rows
+    before = {
+        tag: F.count_if(F.col("_pos") - F.col("_own") + 1 <= F.col(f"_{tag}") + 1) for tag in ("lo", "hi")
+    }
+    places = spec.groupBy(*keys, unit, "_name", "_at", "_lo", "_hi").agg(
+        before["lo"].alias("_blo"), before["hi"].alias("_bhi")
+    )
+    places = places.select(
+        *keys, unit, "_name", (F.col("_at") - F.col("_lo")).alias("_part"),
+        F.explode(F.array(
+            F.struct(F.lit("lo").alias("tag"), (F.col("_lo") + 1 + F.col("_blo")).alias("p")),
+            F.struct(F.lit("hi").alias("tag"), (F.col("_hi") + 1 + F.col("_bhi")).alias("p")),
+        )).alias("_t"),
+    ).select("*", F.col("_t.tag").alias("_tag"), F.col("_t.p").alias("_pos"))
+    found = join_null_safe(places, ranked.select(*keys, "_pos", value), [*keys, "_pos"], "inner")
+    low = F.max(F.when(F.col("_tag") == "lo", F.col(value)))
+    high = F.max(F.when(F.col("_tag") == "hi", F.col(value)))
+    each = found.groupBy(*keys, unit, "_name").agg((low + (high - low) * F.max("_part")).alias("_q"))
+    return each.groupBy(*keys, unit).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in fractions]
+    )
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach per-group aggregates to every row.
 

@@ -148,7 +148,7 @@ MODES_SQL = """modes AS (
 
 
 def scan_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases that share one scan: every two customers with the same nation and segment parity."""
+    """Which cases share one scan: three neighbouring users form a content group."""
     return table(spark, folder, "events").select(F.col("user_id").alias("case_id")).distinct().select(
         "case_id", F.concat(F.lit("g"), F.floor(F.col("case_id") / 3).cast("string")).alias("group_id")
     )
@@ -177,12 +177,12 @@ def seed_costs(spark: SparkSession, folder: str) -> DataFrame:
         F.pmod("o_custkey", F.lit(50)).alias("case_id"),
         F.col("o_orderpriority").alias("seed"),
         F.col("o_custkey").alias("candidate_index"),
-    ).agg(F.avg("o_totalprice").alias("cost"))
+    ).agg(F.max("o_totalprice").alias("cost"))
 
 
 SEEDS_SQL = """seeds AS (
   SELECT o_custkey % 50 AS case_id, o_orderpriority AS seed, o_custkey AS candidate_index,
-         avg(o_totalprice) AS cost FROM orders GROUP BY ALL)"""
+         max(o_totalprice) AS cost FROM orders GROUP BY ALL)"""
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:

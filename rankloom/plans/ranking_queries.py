@@ -319,8 +319,8 @@ p AS (SELECT u.case_id, u.candidate_index AS ui, l.candidate_index AS li, u.plac
        + pow(u.fit_score_mm - l.fit_score_mm - 3, 2)) AS gap,
     u.selection_score_mm + l.selection_score_mm AS base
   FROM t u JOIN t l ON u.case_id = l.case_id AND u.jaw = 'upper' AND l.jaw = 'lower'),
-o AS (SELECT *, round(base + 0.01::DOUBLE * angle + 0.075::DOUBLE * gap, 9) AS objective FROM p)""", body="""
-SELECT case_id, ui AS upper_index, li AS lower_index, round(objective, 6) AS objective, NOT differs AS same FROM (
+o AS (SELECT *, base + 0.01::DOUBLE * angle + 0.075::DOUBLE * gap AS objective FROM p)""", body="""
+SELECT case_id, ui AS upper_index, li AS lower_index, round(objective, 4) AS objective, NOT differs AS same FROM (
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY differs, objective, up, lp) AS r FROM o) WHERE r = 1"""))
 def pair_selection(spark, folder):
     rows = posed(candidates(spark, folder)).withColumn("score", F.col("selection_score_mm"))
@@ -331,5 +331,5 @@ def pair_selection(spark, folder):
     out = S.joint_pairs(ranked, "case_id", prior, [F.lit(v) for v in PRIOR_SHIFT])
     return out.select(
         "case_id", F.col("upper_candidate_index").alias("upper_index"),
-        F.col("lower_candidate_index").alias("lower_index"), r6("objective").alias("objective"), "same",
+        F.col("lower_candidate_index").alias("lower_index"), rounded("objective", 4).alias("objective"), "same",
     )
