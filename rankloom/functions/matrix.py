@@ -206,39 +206,6 @@ def axis_angle_matrix(axis: Sequence[Column], angle: Column) -> list[Column]:
     ]
 
 
-def interpolate_pose(start, end, alpha: Column, centre: Sequence[Column]) -> Column:
-    """Move a share ``alpha`` of the way between two poses of equal parity.
-
-    The relative rotation is scaled by ``alpha`` and the image of ``centre``
-    moves on a straight line. Near 180 degrees the axis comes from the diagonal
-    of the symmetric part instead of the vanishing skew part.
-    """
-    a, b = linear(start), linear(end)
-    rel = multiply3(b, transpose3(a))
-    skew = [rel[7] - rel[5], rel[2] - rel[6], rel[3] - rel[1]]
-    size = norm(skew)
-    angle = F.atan2(size, rel[0] + rel[4] + rel[8] - 1.0)
-    cosine = F.cos(angle)
-    near_half = size < 1e-7
-    square = [clip((rel[i] - cosine) / F.greatest(1.0 - cosine, F.lit(1e-12)), 0.0, 1.0) for i in (0, 4, 8)]
-    ax = F.sqrt(square[0])
-    sy = F.when(rel[1] + rel[3] < 0, -1.0).otherwise(1.0)
-    sz = F.when(rel[2] + rel[6] < 0, -1.0).otherwise(1.0)
-    syz = F.when(rel[5] + rel[7] < 0, -1.0).otherwise(1.0)
-    first_used = ax > 1e-6
-    half_axis = [
-        ax,
-        F.when(first_used, sy).otherwise(1.0) * F.sqrt(square[1]),
-        F.when(first_used, sz).otherwise(F.when(square[1] > 1e-12, syz).otherwise(1.0)) * F.sqrt(square[2]),
-    ]
-    axis = [F.when(near_half, h).otherwise(s / F.greatest(size, F.lit(1e-300))) for h, s in zip(half_axis, skew)]
-    step = multiply3(axis_angle_matrix(axis, angle * alpha), a)
-    p0, p1 = apply_point(start, *centre), apply_point(end, *centre)
-    at = [u * (1.0 - alpha) + v * alpha for u, v in zip(p0, p1)]
-    t = [at[k] - (step[3 * k] * centre[0] + step[3 * k + 1] * centre[1] + step[3 * k + 2] * centre[2]) for k in range(3)]
-    return from_parts(step, t)
-
-
 def encode_key(matrix: Column | str) -> Column:
     """16 comma-separated numbers with six decimals."""
     return F.array_join(F.transform(_c(matrix), lambda v: F.format_string("%.6f", v)), ",")

@@ -41,6 +41,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Size of the largest group: one narrow aggregate, one number on the driver."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.agg(F.max("_rows")).first()[0] or 0
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
 
@@ -85,20 +91,23 @@ def positions(
     weight: str | None = None,
     bounded: bool = False,
     limit: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ascending ``order``.
 
     ``order`` must be total inside a group. With ``weight`` every row stands for
     that many rows and ``pos`` is the number of the first of them. ``total``
     names a column for the group size. ``bounded`` says that the caller knows a
-    bound on the group size (for example rows already cut to a top-k).
+    bound on the group size (for example rows already cut to a top-k). When ``df``
+    is costly, ``sized_by`` is a cheaper table with the same keys whose groups are
+    at least as large; the sizes are then counted there.
     """
     keys = list(keys)
     each = F.col(weight) if weight else F.lit(1)
     limit = hot_limit(df, limit)
     hot = None
     if not bounded:
-        hot = hot_groups(df, keys, limit)
+        hot = hot_groups(sized_by if sized_by is not None else df, keys, limit)
         if hot.isEmpty():
             hot = None
     if hot is None:
@@ -159,7 +168,8 @@ def lowest_fraction(df: DataFrame, keys: Sequence[str], value: Column, name: str
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], weight: str | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group.
 
@@ -170,7 +180,8 @@ def quantiles(
     """
     keys = list(keys)
     held = df.where(F.col(value).isNotNull()).select(*keys, value, *([weight] if weight else []))
-    if hot_groups(held, keys, hot_limit(df)).isEmpty():
+    probe = sized_by if sized_by is not None else held
+    if hot_groups(probe, keys, hot_limit(df)).isEmpty():
         times = F.col(weight) if weight else F.lit(1)
         return held.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q), times).alias(name) for name, q in fractions.items()]

@@ -45,7 +45,7 @@ m2 AS (SELECT mode, case_id, coalesce(et, translation) AS t, coalesce(er, rotati
 SELECT mode, count(*) AS translation_count, round(avg(t), 6) AS translation_mean, round(quantile_cont(t, 0.5), 6) AS translation_median,
   round(quantile_cont(t, 0.9), 6) AS translation_p90, round(max(t), 6) AS translation_max, round(avg(r), 6) AS rotation_mean,
   round(quantile_cont(r, 0.5), 6) AS rotation_median, round(quantile_cont(r, 0.9), 6) AS rotation_p90, round(max(r), 6) AS rotation_max,
-  round(avg(0.5::DOUBLE * (t / 10 + r / 5)), 6) AS balanced_mean, count_if(rep) AS replaced FROM m2 GROUP BY mode"""))
+  round(avg(0.5::DOUBLE * (t / 10 + r / 5)), 6) AS balanced_mean, count(*) FILTER (WHERE rep) AS replaced FROM m2 GROUP BY mode"""))
 def exact_fallback_summary(spark, folder):
     deployed = E.exact_fallback(
         mode_results(spark, folder), exact_rows(spark, folder), ["case_id"], ["translation", "rotation"])
@@ -106,7 +106,7 @@ def modes_with_scans(spark, folder):
 
 
 @query("paired_counts", with_sql(MODES_SQL, SCAN_GROUPS_SQL, DELTAS_SQL, body="""
-SELECT count_if(delta < 0) AS wins, count_if(delta > 0) AS losses, count_if(delta = 0) AS ties FROM deltas"""))
+SELECT count(*) FILTER (WHERE delta < 0) AS wins, count(*) FILTER (WHERE delta > 0) AS losses, count(*) FILTER (WHERE delta = 0) AS ties FROM deltas"""))
 def paired_counts(spark, folder):
     d = E.group_deltas(modes_with_scans(spark, folder), "mode", "group_id", "translation", "click", "error")
     return S.paired_counts(d, [], "delta")
@@ -125,7 +125,7 @@ def leave_one_out_delta(spark, folder):
 
 @query("signed_rank", with_sql(CANDIDATES_SQL, """d AS (
   SELECT candidate_run, abs(mean_tre_mm - fit_p90_mm) AS a, mean_tre_mm > fit_p90_mm AS up FROM cand WHERE round(mean_tre_mm - fit_p90_mm, 6) <> 0),
-h AS (SELECT candidate_run, round(a, 6) AS a, count(*) AS c, count_if(up) AS ups FROM d GROUP BY ALL),
+h AS (SELECT candidate_run, round(a, 6) AS a, count(*) AS c, count(*) FILTER (WHERE up) AS ups FROM d GROUP BY ALL),
 r AS (SELECT *, sum(c) OVER (PARTITION BY candidate_run ORDER BY a) - c + 1 + (c - 1) / 2.0::DOUBLE AS rk FROM h)""", body="""
 SELECT candidate_run, sum(c)::BIGINT AS pairs, sum(rk * ups) AS rank_sum_up, sum(rk * (c - ups)) AS rank_sum_down FROM r GROUP BY 1"""))
 def signed_rank(spark, folder):
@@ -252,7 +252,7 @@ def bootstrap_rank_deltas(spark, folder):
 """bm AS (SELECT sample, avg(delta) AS m FROM draws JOIN nums USING (group_pos) GROUP BY 1),
 ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm),
 lo AS (SELECT *, (sum(delta) OVER () - delta) / (count(*) OVER () - 1) AS wo FROM deltas),
-st AS (SELECT avg(delta) AS m, quantile_cont(delta, 0.5) AS med, count_if(delta < 0) AS w, count_if(delta > 0) AS l, max(wo) AS mw, count(*) AS n FROM lo)""",
+st AS (SELECT avg(delta) AS m, quantile_cont(delta, 0.5) AS med, count(*) FILTER (WHERE delta < 0) AS w, count(*) FILTER (WHERE delta > 0) AS l, max(wo) AS mw, count(*) AS n FROM lo)""",
 body="""SELECT n AS groups, round(m, 6) AS mean_delta, round(med, 6) AS median_delta, w AS wins, l AS losses,
   round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(mw, 6) AS highest_without,
   m < 0 AND hi < 0 AND med < 0 AND w > l AND mw < 0 AS selected FROM st, ci"""))
@@ -330,14 +330,14 @@ def route_rows(spark, folder):
 
 @query("route_gate_grid", with_sql(ROUTES_SQL, body="""
 SELECT jaw, cap, advantage, round(avg(error), 6) AS mean, round(quantile_cont(error, 0.5), 6) AS median,
-  round(quantile_cont(error, 0.9), 6) AS p90, count_if(takes_first) AS selections FROM re GROUP BY ALL"""))
+  round(quantile_cont(error, 0.9), 6) AS p90, count(*) FILTER (WHERE takes_first) AS selections FROM re GROUP BY ALL"""))
 def route_gate_grid(spark, folder):
     out = E.route_gate_grid(route_rows(spark, folder), ["jaw"], CAPS, GAINS)
     return out.withColumns({c: r6(c) for c in ("mean", "median", "p90")})
 
 
 @query("nested_route_gate", with_sql(ROUTES_SQL, """gr AS (SELECT DISTINCT group_id AS held FROM routes),
-t AS (SELECT held, jaw, cap, advantage, round(avg(error), 9) AS m, quantile_cont(error, 0.9) AS p, count_if(takes_first) AS sel
+t AS (SELECT held, jaw, cap, advantage, round(avg(error), 9) AS m, quantile_cont(error, 0.9) AS p, count(*) FILTER (WHERE takes_first) AS sel
   FROM re JOIN gr ON group_id <> held GROUP BY ALL)""", body="""
 SELECT jaw, held AS group_id, cap, advantage, round(m, 6) AS mean, round(p, 6) AS p90, sel AS selections FROM (
   SELECT *, row_number() OVER (PARTITION BY jaw, held ORDER BY m, round(p, 9), sel, advantage, cap) AS r FROM t) WHERE r = 1"""))
