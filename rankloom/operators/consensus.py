@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
+from .spatial import hashed_sample, near_pairs
 
 
 def joint_gate(
@@ -38,3 +41,154 @@ def joint_gate(
         "filter": F.col("joint_passed") | ~F.col("complete"),
     }[mode]
     return out.withColumn("kept", kept).drop("upper", "lower")
+
+
+# ---- distances between poses --------------------------------------------------
+
+
+def packed_sample(points: DataFrame, sets: Sequence[str], count: int, seed: int = 0) -> DataFrame:
+    """A bounded hash sample of each set as one array of (x, y, z), with its centroid."""
+    few = hashed_sample(points, sets, "point_id", count, seed)
+    return few.groupBy(*sets).agg(
+        F.collect_list(F.struct("x", "y", "z")).alias("sample"), *[F.avg(c).alias(f"s{c}") for c in "xyz"])
+
+
+def mean_gap(a: str, b: str, sample: str = "sample") -> Column:
+    """Mean displacement of the sampled points between two poses."""
+    def one(p: Column) -> Column:
+        at = [p["x"], p["y"], p["z"]]
+        return M.norm([u - v for u, v in zip(M.apply_point(a, *at), M.apply_point(b, *at))])
+
+    total = F.aggregate(sample, F.lit(0.0), lambda acc, p: acc + one(p))
+    return total / F.size(sample)
+
+
+def pose_pairs(candidates: DataFrame, keys: Sequence[str], radius: float, same_parity: bool = True) -> DataFrame:
+    """Pairs of poses of a group whose mean point displacement is within ``radius``.
+
+    The displacement of the centroid never exceeds the mean displacement, so a
+    radius search on moved centroids finds every pair; the exact value is then
+    taken on the sample. ``candidates`` carries ``sample``, sx, sy, sz.
+    """
+    keys = list(keys)
+    rows = candidates.withColumn("_c", F.array(*M.apply_point("transform", F.col("sx"), F.col("sy"), F.col("sz"))))
+    rows = rows.withColumns({f"c{a}": F.col("_c")[i] for i, a in enumerate("xyz")}).withColumn("sign", M.det_sign("transform"))
+    sets = [*keys, "sign"] if same_parity else keys
+    slim = rows.select(*sets, "candidate_index", "cx", "cy", "cz", "transform", "sample")
+    near = near_pairs(
+        slim, slim.select(*sets, F.col("candidate_index").alias("other"), "cx", "cy", "cz", "transform"), sets,
+        ["cx", "cy", "cz"], radius, "candidate_index", "other", keep_query=["transform", "sample"], keep_target=["transform"])
+    out = near.withColumn("gap_mm", mean_gap("transform", "_t_transform"))
+    return out.where(F.col("gap_mm") <= radius).select(*keys, "candidate_index", F.col("_t_other").alias("other"), "gap_mm")
+
+
+CELL = ("view", "family", "threshold_cell", "side")
+
+
+def evidence_consensus(
+    candidates: DataFrame, keys: Sequence[str], radius: float, max_selection: float, least: dict[str, int],
+) -> DataFrame:
+    """Pose with the most diverse independent support per group.
+
+    Only rows with a selection score within the limit take part. Around every
+    centre the closest row of each evidence cell is support; the centre needs the
+    minimum counts in ``least`` (evidence, views, families, thresholds, sides).
+    The medoid of the support stands for it and the objective ranks centres.
+    """
+    keys = list(keys)
+    rows = candidates.where(F.col("selection") <= max_selection)
+    gaps = pose_pairs(rows, keys, 2.0 * radius)
+    facts = rows.select(*keys, F.col("candidate_index").alias("other"), *CELL, F.col("selection").alias("_sel"))
+    near = gaps.where(F.col("gap_mm") <= radius).withColumnRenamed("candidate_index", "centre").join(facts, [*keys, "other"])
+    support = near.groupBy(*keys, "centre", *CELL).agg(
+        F.min(F.struct("gap_mm", "other", "_sel")).alias("_m")).select(*keys, "centre", *CELL, "_m.other", "_m._sel")
+    counts = support.groupBy(*keys, "centre").agg(
+        F.count(F.lit(1)).alias("evidence"), F.count_distinct("view").alias("views"), F.count_distinct("family").alias("families"),
+        F.count_distinct(F.when(F.col("threshold_cell") > 0, F.col("threshold_cell"))).alias("thresholds"),
+        F.count_distinct("side").alias("sides"))
+    for name in ("evidence", "views", "families", "thresholds", "sides"):
+        counts = counts.where(F.col(name) >= least.get(name, 0))
+    members = support.join(counts.select(*keys, "centre"), [*keys, "centre"], "left_semi").select(*keys, "centre", "other", "_sel")
+    # support size is bounded by the number of evidence cells
+    inner = members.withColumnRenamed("other", "candidate_index").join(
+        members.select(*keys, "centre", "other"), [*keys, "centre"]).join(gaps, [*keys, "candidate_index", "other"])
+    per = inner.groupBy(*keys, "centre", "candidate_index").agg(F.sum("gap_mm").alias("_sum"), F.max("gap_mm").alias("_max"), F.first("_sel").alias("_sel"))
+    medoid = per.groupBy(*keys, "centre").agg(
+        F.min(F.struct(F.round("_sum", 9), "candidate_index", "_sel")).alias("_m"), F.sum("_sum").alias("_all"), F.max("_max").alias("max_disagreement_mm"))
+    table = medoid.join(counts, [*keys, "centre"])
+    pairs = F.col("evidence") * (F.col("evidence") - 1)
+    table = table.withColumn("mean_disagreement_mm", F.when(pairs > 0, F.col("_all") / pairs).otherwise(0.0))
+    diversity = (4.0 * F.col("views") + 2.0 * F.col("families") + 0.75 * F.col("thresholds") + 0.35 * F.col("sides") + 0.15 * F.col("evidence"))
+    table = table.withColumn("objective", diversity - F.col("mean_disagreement_mm") / radius - 0.5 * F.col("_m._sel"))
+    fields = F.struct(F.col("_m.candidate_index").alias("candidate_index"), "centre", "evidence", "views", "families", "thresholds",
+                      "sides", "mean_disagreement_mm", "max_disagreement_mm", "objective")
+    order = F.struct(-F.round("objective", 9), -F.col("views"), -F.col("families"), -F.col("thresholds"), -F.col("evidence"),
+                     F.round("mean_disagreement_mm", 9), F.col("_m._sel"), F.col("centre"))
+    return table.groupBy(*keys).agg(F.min_by(fields, order).alias("_b")).select(*keys, "_b.*")
+
+
+def consistent_cluster(
+    runs: DataFrame, keys: Sequence[str], run: str, names: Sequence[str], limit: float, least: int,
+) -> DataFrame:
+    """Largest set of runs whose poses agree pairwise within ``limit`` and share parity.
+
+    One row per (group, run). All subsets of the (few) runs are a literal table
+    that meets the pair distances by equi join.
+    """
+    from itertools import combinations
+
+    if len(names) > 12:
+        raise ValueError("subsets are listed explicitly for at most 12 runs")
+    keys, names = list(keys), sorted(names)
+    subsets = [s for size in range(max(least, 2), len(names) + 1) for s in combinations(range(len(names)), size)]
+    number = None
+    for i, name in enumerate(names):
+        number = F.when(F.col(run) == name, i) if number is None else number.when(F.col(run) == name, i)
+    rows = runs.withColumn("_i", number).withColumn("sign", M.det_sign("transform"))
+    a = rows.select(*keys, F.col("_i").alias("a"), F.col("transform").alias("_ta"), F.col("sign").alias("_sa"), "sample")
+    b = rows.select(*keys, F.col("_i").alias("b"), F.col("transform").alias("_tb"), F.col("sign").alias("_sb"))
+    pairs = a.join(b, keys).where((F.col("a") < F.col("b")) & (F.col("_sa") == F.col("_sb")))
+    pairs = pairs.withColumn("gap_mm", mean_gap("_ta", "_tb")).where(F.col("gap_mm") <= limit)
+    entries = [F.struct(F.lit(i).alias("s"), F.lit(len(s)).alias("size"), F.lit(x).alias("a"), F.lit(y).alias("b"))
+               for i, s in enumerate(subsets) for x, y in combinations(s, 2)]
+    listed = pairs.withColumn("_e", F.explode(F.filter(F.array(*entries), lambda e: (e["a"] == F.col("a")) & (e["b"] == F.col("b")))))
+    found = listed.groupBy(*keys, F.col("_e.s").alias("subset"), F.col("_e.size").alias("size")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("gap_mm").alias("mean_gap_mm")).where(
+        F.col("_n") * 2 == F.col("size") * (F.col("size") - 1))
+    order = F.struct(-F.col("size"), F.round("mean_gap_mm", 9), F.col("subset"))
+    best = found.groupBy(*keys).agg(F.min_by(F.struct("subset", "size", "mean_gap_mm"), order).alias("_b"))
+    members = F.array(*[F.lit(",".join(names[i] for i in s)) for s in subsets])
+    return best.select(*keys, "_b.size", "_b.mean_gap_mm", F.get(members, F.col("_b.subset")).alias("runs"))
+
+
+def cross_family_sweep(
+    first: DataFrame, second: DataFrame, keys: Sequence[str], centre: Sequence[Column], tops: Sequence[int],
+    weights: Sequence[float], radius: float = 20.0,
+) -> DataFrame:
+    """Best cross-family pair per group for every (top_k, rank weight), from one pair table.
+
+    Inputs hold ``place`` and are already cut to the largest top_k; the pair table
+    has at most top_k * top_k rows per group.
+    """
+    keys = list(keys)
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{tag}_pool"))
+        return df.join(size, keys).select(
+            *keys, F.col("candidate_index").alias(f"{tag}_index"), F.col("place").alias(f"{tag}_place"), f"{tag}_pool",
+            F.col("transform").alias(f"{tag}_transform"), M.det_sign("transform").alias(f"{tag}_sign"))
+
+    pairs = side(first, "a").join(side(second, "b"), keys).where(F.col("a_sign") == F.col("b_sign"))
+    pairs = pairs.withColumn("disagreement_mm", M.anchor_disagreement("a_transform", "b_transform", centre, radius))
+    grid = F.array(*[F.struct(F.lit(k).alias("top"), F.lit(float(w)).alias("weight")) for k in tops for w in weights])
+    rows = pairs.withColumn("_g", F.explode(grid)).select("*", "_g.top", "_g.weight").where(
+        (F.col("a_place") <= F.col("top")) & (F.col("b_place") <= F.col("top")))
+
+    def share(tag: str) -> Column:
+        return (F.col(f"{tag}_place") - 1) / F.greatest(F.least(F.col(f"{tag}_pool"), F.col("top")) - 1, F.lit(1))
+
+    cost = F.col("disagreement_mm") + F.col("weight") * (share("a") + share("b"))
+    rows = rows.withColumn("cost", F.round(cost, 9))
+    keep = F.struct("a_index", "b_index", "a_transform", "b_transform", "disagreement_mm", "cost")
+    order = F.struct("cost", F.round("disagreement_mm", 9), "a_place", "b_place")
+    return rows.groupBy(*keys, "top", "weight").agg(F.min_by(keep, order).alias("_p")).select(*keys, "top", "weight", "_p.*")

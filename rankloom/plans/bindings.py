@@ -200,31 +200,25 @@ POINTS_SQL = """points AS (
 
 
 def voxels(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse grid rows: position from lineitem, intensity from its sums."""
-    return (
-        table(spark, folder, "lineitem")
-        .groupBy(
-            F.col("l_returnflag").alias("case_id"),
-            F.col("l_quantity").cast("int").alias("i"),
-            F.col("l_linenumber").cast("int").alias("j"),
-            F.pmod("l_suppkey", F.lit(20)).cast("int").alias("k"),
-        )
-        .agg(
-            F.round(F.sum(F.col("l_discount") * 1000.0), 3).alias("hu"),
-            F.round(F.avg("l_tax") * 10.0, 6).alias("p1"),
-            F.round(F.avg("l_discount") * 10.0, 6).alias("p2"),
-            F.count(F.lit(1)).alias("hits"),
-        )
+    """Sparse grid rows: position from lineitem, values from the first row of each cell."""
+    first = F.struct("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
+    cells = table(spark, folder, "lineitem").groupBy(
+        F.col("l_returnflag").alias("case_id"),
+        F.col("l_quantity").cast("int").alias("i"),
+        F.col("l_linenumber").cast("int").alias("j"),
+        F.pmod("l_suppkey", F.lit(20)).cast("int").alias("k"),
+    ).agg(F.min(first).alias("_f"), F.count(F.lit(1)).alias("hits"))
+    return cells.select(
+        "case_id", "i", "j", "k", rounded(F.col("_f.l_discount") * 10000.0, 3).alias("hu"),
+        rounded(F.col("_f.l_tax") * 6.0, 6).alias("p1"), rounded(F.col("_f.l_discount") * 5.0, 6).alias("p2"), "hits",
     )
 
 
 VOXELS_SQL = """vox AS (
-  SELECT l_returnflag AS case_id, l_quantity::INTEGER AS i, l_linenumber::INTEGER AS j,
-         (l_suppkey % 20)::INTEGER AS k,
-         round(sum(l_discount * 1000.0::DOUBLE), 3) AS hu,
-         round(avg(l_tax) * 10.0::DOUBLE, 6) AS p1, round(avg(l_discount) * 10.0::DOUBLE, 6) AS p2,
-         count(*) AS hits
-  FROM lineitem GROUP BY ALL)"""
+  SELECT case_id, i, j, k, round(f.d * 10000.0::DOUBLE, 3) AS hu, round(f.t * 6.0::DOUBLE, 6) AS p1, round(f.d * 5.0::DOUBLE, 6) AS p2, hits
+  FROM (SELECT l_returnflag AS case_id, l_quantity::INTEGER AS i, l_linenumber::INTEGER AS j, (l_suppkey % 20)::INTEGER AS k,
+    min({'o': l_orderkey, 'p': l_partkey, 'e': l_extendedprice, 'd': l_discount, 't': l_tax}) AS f, count(*) AS hits
+  FROM lineitem GROUP BY ALL))"""
 
 
 def with_sql(*parts: str, body: str) -> str:

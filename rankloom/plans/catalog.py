@@ -1,4 +1,4 @@
 """Imports every module of named queries and exposes the two tables."""
 
-from . import evaluation_queries, point_queries, pose_queries, ranking_queries  # noqa: F401
+from . import evaluation_queries, point_queries, pose_queries, ranking_queries, voxel_queries  # noqa: F401
 from .registry import QUERIES, TWINS  # noqa: F401
