@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
+from ..session import cut_lineage
 from .spatial import hashed_sample, near_pairs
 
 
@@ -97,7 +98,7 @@ def evidence_consensus(
     """
     keys = list(keys)
     rows = candidates.where(F.col("selection") <= max_selection)
-    gaps = pose_pairs(rows, keys, 2.0 * radius)
+    gaps = cut_lineage(pose_pairs(rows, keys, 2.0 * radius))  # read three times below
     facts = rows.select(*keys, F.col("candidate_index").alias("other"), *CELL, F.col("selection").alias("_sel"))
     near = gaps.where(F.col("gap_mm") <= radius).withColumnRenamed("candidate_index", "centre").join(facts, [*keys, "other"])
     support = near.groupBy(*keys, "centre", *CELL).agg(

@@ -156,24 +156,22 @@ def best_entries(bank: DataFrame, hash_col: str, extra: Sequence[str], order: Se
 
 def content_matches(
     queries: DataFrame, bank: DataFrame, query_id: str, order: Sequence[str], topology: bool = False,
-    same: Sequence[str] = (),
+    distinct: Sequence[str] = (),
 ) -> DataFrame:
     """Bank entries with the raw hash, payload hash or (optionally) vertex count of a query.
 
     The either-or rule is a union of equi joins, one per hash, each against a
     bank reduced to the best entry per hash, so a content with many copies on
-    both sides never multiplies. ``same`` columns must agree as well. ``order``
-    is the priority among entries. One row per (query, entry) with the best kind.
+    both sides never multiplies. Entries that differ in ``distinct`` columns (say
+    the geometry they hold) are kept apart. ``order`` is the priority among
+    entries. One row per (query, entry) with the best kind.
     """
     parts = []
     hashes = [("raw", "raw_hash"), ("payload", "payload_hash")] + ([("topology", "vertex_count")] if topology else [])
     for kind, column in hashes:
-        entries = best_entries(bank, column, same, order)
-        side = entries.select("jaw", column, *same, *[F.col(c).alias(f"entry_{c}" if c in queries.columns else c)
-                                                       for c in bank.columns if c not in ("jaw", column, *same)])
-        hit = queries.join(side, ["jaw", column, *same])
-        names = [c if c in hit.columns else f"entry_{c}" for c in order]
-        hit = hit.select(query_id, "jaw", *[F.col(n).alias(f"e_{c}") for n, c in zip(names, order)])
+        entries = best_entries(bank, column, distinct, order)
+        side = entries.select("jaw", column, *[F.col(c).alias(f"e_{c}") for c in order])
+        hit = queries.select(query_id, "jaw", column).join(side, ["jaw", column]).drop(column)
         parts.append(hit.withColumn("match_kind", F.lit(kind)).withColumn("_k", F.lit(KIND_OF[kind])))
     out = parts[0]
     for part in parts[1:]:
@@ -212,7 +210,7 @@ def template_match(
     """
     order = ["kind_priority", "predicted_tre_mm", "minus_confidence", "entry_id"]
     rows = bank.withColumn("minus_confidence", -F.col("confidence"))
-    hits = content_matches(queries, rows, query_id, order, topology).join(
+    hits = content_matches(queries, rows, query_id, order, topology, distinct=["mesh"]).join(
         rows.select(F.col("entry_id").alias("e_entry_id"), "vertex_count", "reference_transform"), "e_entry_id")
     hits = hits.join(queries.select(query_id, "jaw", F.col("vertex_count").alias("_n")), [query_id, "jaw"]).where(F.col("_n") == F.col("vertex_count"))
     pairs = hits.select(query_id, "jaw", "e_entry_id").join(

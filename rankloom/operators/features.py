@@ -4,10 +4,121 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .grouping import join_null_safe
+from ..functions import keys as K
+from ..functions import matrix as M
+from ..session import cut_lineage
+from .grouping import hot_groups, hot_limit, join_null_safe, lowest_fraction, robust_z
+from .spatial import near_counts, nearest
+
+ROTATION = [f"rotation_{r}{c}" for r in range(3) for c in range(3)]
+OFFSETS = ["centre_offset_x", "centre_offset_y", "centre_offset_z"]
+
+# Numeric candidate columns, the feature they feed, the value that
+# stands for a missing one, and the divisor.
+PLAIN = [
+    ("selection_score_mm", "selection_score", 0.0, 1.0), ("fit_score_mm", "fit_score", 0.0, 1.0),
+    ("fit_score_initial_mm", "fit_score_initial", 0.0, 1.0), ("fit_median_mm", "fit_median", 0.0, 1.0),
+    ("fit_p90_mm", "fit_p90", 0.0, 1.0), ("overlap_2mm", "overlap_2mm", 0.0, 1.0),
+    ("target_trimmed_score_mm", "target_trimmed_score", 0.0, 1.0), ("target_coverage_1mm", "target_coverage_1mm", 0.0, 1.0),
+    ("target_coverage_2mm", "target_coverage_2mm", 0.0, 1.0), ("correspondences", "correspondences_scaled", 0.0, 5000.0),
+]
+FULL = [
+    ("full_trim_10_mm", "full_trim_10", 10.0, 1.0), ("full_trim_20_mm", "full_trim_20", 10.0, 1.0),
+    ("full_trim_35_mm", "full_trim_35", 10.0, 1.0), ("full_distance_median_mm", "full_median", 20.0, 1.0),
+    ("full_distance_p90_mm", "full_p90", 40.0, 1.0), ("full_overlap_1mm", "full_overlap_1mm", 0.0, 1.0),
+    ("full_overlap_2mm", "full_overlap_2mm", 0.0, 1.0), ("full_overlap_3mm", "full_overlap_3mm", 0.0, 1.0),
+    ("full_target_coverage_2mm", "full_target_coverage_2mm", 0.0, 1.0), ("full_normal_abs_cosine", "full_normal_abs_cosine", 0.0, 1.0),
+]
+SUPPORT = [
+    ("crown_source_trim20_mm", "support_source_trim20", 10.0, 1.0), ("crown_target_trim20_mm", "support_target_trim20", 10.0, 1.0),
+    ("crown_symmetric_trim20_mm", "support_symmetric_trim20", 10.0, 1.0), ("crown_source_median_mm", "support_source_median", 20.0, 1.0),
+    ("crown_target_median_mm", "support_target_median", 20.0, 1.0), ("crown_source_overlap_2mm", "support_overlap_2mm", 0.0, 1.0),
+    ("crown_target_coverage_2mm", "support_coverage_2mm", 0.0, 1.0), ("crown_centroid_error_mm", "support_centroid_error", 50.0, 50.0),
+]
+REFINED = [
+    ("crown_refinement_initial_trim20_mm", "refinement_initial_trim20", 10.0, 1.0), ("crown_refinement_improvement_mm", "refinement_improvement", 0.0, 1.0),
+    ("crown_refinement_center_motion_mm", "refinement_motion", 0.0, 5.0), ("crown_refinement_angle_deg", "refinement_angle", 0.0, 10.0),
+    ("crown_refinement_alpha", "refinement_alpha", 0.0, 1.0),
+]
+MODES = ("threshold", "crown_probability", "crown_guided_cbct")
+
+
+class Candidate:
+    """Columns of a candidate table with a default for those a run does not have."""
+
+    def __init__(self, df: DataFrame):
+        self.have = set(df.columns)
+        meta = df.schema["target_metadata"].dataType.names if "target_metadata" in self.have else []
+        self.meta = {n: f"target_metadata.{n}" for n in meta}
+
+    def raw(self, name: str, kind: str = "double") -> Column:
+        if name in self.have:
+            return F.col(name).cast(kind)
+        return F.col(self.meta[name]).cast(kind) if name in self.meta else F.lit(None).cast(kind)
+
+    def number(self, name: str, default: float) -> Column:
+        return F.coalesce(self.raw(name), F.lit(float(default)))
+
+    def text(self, name: str) -> Column:
+        return F.coalesce(self.raw(name, "string"), F.lit(""))
+
+
+def base_features(df: DataFrame, jaw: str = "jaw") -> tuple[DataFrame, list[str]]:
+    """The 65 named base columns of a candidate, as one projection."""
+    c = Candidate(df)
+    flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
+    out: dict[str, Column] = {}
+    for source, name, default, scale in PLAIN:
+        out[name] = c.number(source, default) / scale
+    out["prior_angle_scaled"] = c.number("prior_angle_deg", 0.0) / 180.0
+    for axis, name in enumerate(OFFSETS):
+        pair = [F.get(F.col(n), F.lit(axis)) if n in c.have else F.lit(None).cast("double") for n in ("predicted_full_centroid", "jaw_reference_center")]
+        out[name] = F.coalesce((pair[0] - pair[1]) / 50.0, F.lit(0.0))
+    out["centre_offset_norm"] = M.norm([out[n] for n in OFFSETS])
+    mode, selection = c.text("mode"), c.text("selection")
+    probability, guided, top = mode == "crown_probability", mode == "crown_guided_cbct", c.text("selection") == "top_voxels"
+    out["threshold_slot"] = F.when(probability, c.number("minimum_probability", 0.0)).otherwise(c.number("threshold", 0.0) / 2000.0)
+    out["log_voxels"] = F.log1p(F.coalesce(c.raw("component_voxels"), c.raw("support_voxels"), F.lit(0.0))) / 12.0
+    out["aggregate_flag"] = F.when(probability, flag(top)).otherwise(flag(F.contains(mode, F.lit("aggregate"))))
+    out["aggregate_slot"] = (
+        F.when(probability, F.when(selection == "top_voxels", c.number("requested_voxels", 0.0) / 4000.0).otherwise(0.0))
+        .when(guided, c.number("guidance_radius_mm", 0.0) / 6.0).otherwise(c.number("aggregate_count", 0.0) / 4.0))
+    out["adaptive_flag"] = flag(F.contains(mode, F.lit("adaptive")))
+    assigned = F.when((c.text("axial_assignment") == "") & (mode == "threshold"), F.col(jaw)).otherwise(c.text("axial_assignment"))
+    other = F.when(F.col(jaw) == "upper", "lower").otherwise("upper")
+    out["assigned_own"], out["assigned_other"] = flag(assigned == F.col(jaw)), flag(assigned == other)
+    variant = c.text("source_variant")
+    out["source_fraction"] = K.source_fraction(variant)
+    out["source_low"], out["source_high"] = flag(F.contains(variant, F.lit("low"))), flag(F.contains(variant, F.lit("high")))
+    out["method_basin"] = flag(F.contains(c.text("method"), F.lit("basin")))
+    out["reflected"] = flag(M.det_sign("transform") < 0)
+    for block, available in ((FULL, "full_available"), (None, None), (SUPPORT, "support_available"), (REFINED, "refinement_available")):
+        if block is None:
+            for name, entry in zip(ROTATION, M.proper_rotation("transform")):
+                out[name] = entry
+            continue
+        for source, name, default, scale in block:
+            out[name] = c.number(source, default) / scale
+        out[available] = flag(c.raw(block[2][0]).isNotNull())
+    for name in MODES:
+        out[f"mode_{name}"] = flag(mode == name)
+    return df.withColumns({f"f_{n}": e.cast("double") for n, e in out.items()}), [f"f_{n}" for n in out]
+
+
+def modality_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Three more columns for tooth-wise segmentations, added without touching the others."""
+    c = Candidate(df)
+    mode = c.text("mode")
+    out = {
+        "f_tooth_mode": F.contains(mode, F.lit("tooth")).cast("double"),
+        "f_detected_teeth": c.number("detected_teeth", 0.0) / 16.0,
+        "f_crown_fraction": c.number("crown_fraction", 0.0),
+    }
+    return df.withColumns(out), list(out)
 
 
 def frequency_shares(
@@ -32,3 +143,119 @@ def frequency_shares(
         .withColumn("pair_share", F.col("_pair") / F.col("_all"))
         .drop("_pair", "_all", "_target", "_source")
     )
+
+
+def lowest_fractions(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """Several shared-place ranks over one partitioning: one shuffle for all of them."""
+    if hot_groups(df, keys, hot_limit(df)).isEmpty():
+        group = W.partitionBy(*keys)
+        return df.withColumns({n: F.percent_rank().over(group.orderBy(e)) for n, e in columns.items()})
+    for name, expr in columns.items():
+        df = lowest_fraction(df, keys, expr, name)
+    return df
+
+
+def descriptor_space(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Twelve robustly scaled pose columns, divided by sqrt(12) so distances are per-dimension."""
+    columns = [f"f_{n}" for n in (*OFFSETS, *ROTATION)]
+    out = robust_z(df, keys, {c: f"_d{i}" for i, c in enumerate(columns)})
+    names = [f"_d{i}" for i in range(len(columns))]
+    return out.withColumns({n: F.col(n) / (len(columns) ** 0.5) for n in names}), names
+
+
+def density_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str], ident: str = "candidate_index") -> DataFrame:
+    """Nearest other row and share of other rows within 0.10 and 0.25, per row."""
+    keys = list(keys)
+    near = nearest(space, space, keys, dims, ident, ident, exclude_self=True).select(*keys, ident, F.col("distance").alias("nearest"))
+    counts = near_counts(space, space, keys, dims, [0.10, 0.25], ident, ident)
+    sizes = space.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = join_null_safe(join_null_safe(counts, near, [*keys, ident], "left"), sizes, keys, "left")
+    others = F.greatest(F.col("_n") - 1, F.lit(1))
+    return out.select(*keys, ident, F.coalesce("nearest", F.lit(0.0)).alias("nearest"),
+                      ((F.col("within_0") - 1) / others).alias("density_010"), ((F.col("within_1") - 1) / others).alias("density_025"))
+
+
+def cross_run_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str], run: str, ident: str = "candidate_index") -> DataFrame:
+    """Distance to the closest row of every other run: available, minimum, mean, shares within 0.10 and 0.25.
+
+    Each row is searched against each other run of its group as a set of its own.
+    A group with a single run gets (0, 8, 8, 0, 0).
+    """
+    keys = list(keys)
+    runs = space.select(*keys, F.col(run).alias("_other")).distinct()
+    asks = join_null_safe(space.select(*keys, run, ident, *dims), runs, keys, "inner").where(F.col(run) != F.col("_other"))
+    targets = space.select(*keys, F.col(run).alias("_other"), ident, *dims)
+    per = nearest(asks, targets, [*keys, "_other"], dims, ident, ident)
+    table = per.groupBy(*keys, ident).agg(
+        F.lit(1.0).alias("run_available"), F.min("distance").alias("run_nearest"), F.avg("distance").alias("run_mean"),
+        F.avg((F.col("distance") <= 0.10).cast("double")).alias("run_share_010"), F.avg((F.col("distance") <= 0.25).cast("double")).alias("run_share_025"))
+    out = join_null_safe(space.select(*keys, ident), table, [*keys, ident], "left")
+    defaults = {"run_available": 0.0, "run_nearest": 8.0, "run_mean": 8.0, "run_share_010": 0.0, "run_share_025": 0.0}
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+CONTEXT = ("f_selection_score", "f_fit_score", "f_target_trimmed_score", "f_full_trim_20", "f_full_median", "f_full_p90", "f_prior_angle_scaled")
+
+
+def support_context(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Ranks and scaled values of the support columns (deficits, negated gain)."""
+    ranks = {
+        "r_support_symmetric": F.col("f_support_symmetric_trim20"), "r_support_centroid": F.col("f_support_centroid_error"),
+        "r_support_overlap_deficit": 1.0 - F.col("f_support_overlap_2mm"), "r_support_coverage_deficit": 1.0 - F.col("f_support_coverage_2mm"),
+        "r_refinement_gain": -F.col("f_refinement_improvement"), "r_refinement_motion": F.col("f_refinement_motion"),
+    }
+    scaled = {"f_support_symmetric_trim20": "z_support_symmetric", "f_support_centroid_error": "z_support_centroid"}
+    out = robust_z(lowest_fractions(df, keys, ranks), keys, scaled)
+    names = list(ranks)
+    return out, [*names[:4], *scaled.values(), *names[4:]]
+
+
+def context_features(
+    df: DataFrame, keys: Sequence[str], run: str = "candidate_run", jaw: str = "jaw", ident: str = "candidate_index",
+    region_view: bool = False,
+) -> tuple[DataFrame, list[str]]:
+    """All base and context columns of a candidate table and their names in order (100, or 102)."""
+    keys = list(keys)
+    rows, base = base_features(df, jaw)
+    rows = cut_lineage(rows)  # the projection is read by every step below
+    rows = lowest_fractions(rows, keys, {f"r_{c[2:]}": F.col(c) for c in CONTEXT})
+    rows = robust_z(rows, keys, {c: f"z_{c[2:]}" for c in CONTEXT})
+    rows = frequency_shares(rows, keys)
+    c = Candidate(df)
+    rows = rows.withColumns({
+        "opposite_target": K.opposite_target("target", c.text("axial_assignment"), jaw).cast("double"),
+        "is_upper": (F.col(jaw) == "upper").cast("double"),
+    })
+    space, dims = descriptor_space(rows, keys)
+    slim = cut_lineage(space.select(*keys, ident, run, *dims))
+    rows = join_null_safe(rows, density_features(slim, keys, dims, ident), [*keys, ident], "left")
+    rows = join_null_safe(rows, cross_run_features(slim, keys, dims, run, ident), [*keys, ident], "left")
+    rows, support = support_context(cut_lineage(rows), keys)
+    names = [*base, *[f"r_{c[2:]}" for c in CONTEXT], *[f"z_{c[2:]}" for c in CONTEXT], "target_share", "source_share", "pair_share",
+             "opposite_target", "is_upper", "nearest", "density_010", "density_025", "run_available", "run_nearest", "run_mean",
+             "run_share_010", "run_share_025", *support]
+    if region_view:
+        name = F.lower(F.coalesce(F.col(run).cast("string"), F.lit("")))
+        path = F.lower(F.coalesce(c.raw("source_volume_path", "string"), c.raw("volume_path", "string"), F.lit("")))
+        rows = rows.withColumns({
+            "region_view": (F.contains(name, F.lit("roi")) | F.contains(path, F.lit("roi"))).cast("double"),
+            "low_profile": (F.contains(name, F.lit("lowadaptive")) | F.contains(name, F.lit("roi_low"))).cast("double"),
+        })
+        names += ["region_view", "low_profile"]
+    if len(set(names)) != len(names):
+        raise ValueError("feature names repeat")
+    return rows, names
+
+
+def align_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The recorded features by name, in recorded order; a missing one is an error."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"features not available: {missing}")
+    return df.select(*[c for c in df.columns if c not in names], *names)
+
+
+def usable_scores(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """Per group and score column: whether every row has it."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).isNotNull().alias("has")) for s in scores]))
+    return df.select(*keys, pairs.alias("_p")).groupBy(*keys, F.col("_p.score").alias("score")).agg(F.bool_and("_p.has").alias("usable"))

@@ -250,28 +250,3 @@ def joint_pairs(
     )
     order = F.struct(~F.col("same"), "objective", "upper_place", "lower_place")
     return pairs.groupBy(case).agg(F.min_by(keep, order).alias("_p")).select(case, "_p.*")
-
-
-def cross_family_pairs(
-    first: DataFrame, second: DataFrame, keys: Sequence[str], centre: Sequence[Column],
-    top: int, rank_weight: float, radius: float = 20.0,
-) -> DataFrame:
-    """Best pair of two candidate families per group: disagreement plus weighted ranks.
-
-    Both sides carry ``place`` (from 1) and ``pool`` (number of rows in the family).
-    """
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        share = (F.col("place") - 1) / F.greatest(F.col("pool") - 1, F.lit(1))
-        return df.where(F.col("place") <= top).select(
-            *keys, F.col(INDEX).alias(f"{prefix}_{INDEX}"), F.col("transform").alias(f"{prefix}_transform"),
-            M.det_sign("transform").alias(f"{prefix}_sign"), share.alias(f"{prefix}_share"),
-        )
-
-    pairs = side(first, "a").join(side(second, "b"), list(keys)).where(F.col("a_sign") == F.col("b_sign"))
-    gap = M.anchor_disagreement("a_transform", "b_transform", centre, radius)
-    pairs = pairs.withColumn("disagreement_mm", gap).withColumn(
-        "cost", F.col("disagreement_mm") + rank_weight * (F.col("a_share") + F.col("b_share"))
-    )
-    keep = F.struct(f"a_{INDEX}", f"b_{INDEX}", "a_transform", "b_transform", "disagreement_mm", "cost")
-    order = F.struct("cost", f"a_{INDEX}", f"b_{INDEX}")
-    return pairs.groupBy(*keys).agg(F.min_by(keep, order).alias("_p")).select(*keys, "_p.*")

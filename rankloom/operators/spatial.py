@@ -113,7 +113,7 @@ def _meet(q, t, sets, coords, pairs, carry):
     gap = F.lit(0.0)
     for c in coords:
         gap = gap + (F.col(c) - F.col(f"_t_{c}")) * (F.col(c) - F.col(f"_t_{c}"))
-    return both.withColumn("_d2", gap)
+    return both.withColumn("_sq", gap)
 
 
 def merged(df: DataFrame, sets: Sequence[str], coords: Sequence[str], ident: str) -> DataFrame:
@@ -144,10 +144,10 @@ def nearest(
         for c in coords:
             same = same & (F.col(c) == F.col(f"_t_{c}"))
         met = met.where(~same | (F.col("_t__w") > 1))
-    out = met.groupBy(*sets, "_qid").agg(F.min(F.struct("_d2", f"_t_{target_id}")).alias("_n"))
+    out = met.groupBy(*sets, "_qid").agg(F.min(F.struct("_sq", f"_t_{target_id}")).alias("_n"))
     return out.select(
         *sets, F.col("_qid").alias(query_id), F.col(f"_n._t_{target_id}").alias("nearest_id"),
-        F.sqrt("_n._d2").alias("distance"),
+        F.sqrt("_n._sq").alias("distance"),
     )
 
 
@@ -177,7 +177,7 @@ def near_counts(
         pairs = pairs.where(mixed)
     met = _meet(q, t, sets, coords, pairs, [])
     parts.append(met.groupBy(*sets, "_qid").agg(
-        *[F.sum(F.when(F.col("_d2") <= r2, F.col("_t__w")).otherwise(0)).alias(f"within_{i}") for i, r2 in enumerate(limits)]))
+        *[F.sum(F.when(F.col("_sq") <= r2, F.col("_t__w")).otherwise(0)).alias(f"within_{i}") for i, r2 in enumerate(limits)]))
     parts.append(q.select(*sets, "_qid", *[F.lit(0).cast("long").alias(f"within_{i}") for i in range(len(limits))]))
     whole = parts[0]
     for part in parts[1:]:
@@ -199,8 +199,8 @@ def near_pairs(
     pairs = None
     for level in range(levels_for(max(sizes)), -1, -1):
         pairs = _level_pairs(q, t, sets, coords, level, pairs, None).where(F.col("_near") <= radius * radius)
-    met = _meet(q, t, sets, coords, pairs, []).where(F.col("_d2") <= radius * radius)
-    return met.drop("_blk").withColumn("distance", F.sqrt("_d2")).drop("_d2")
+    met = _meet(q, t, sets, coords, pairs, []).where(F.col("_sq") <= radius * radius)
+    return met.drop("_blk").withColumn("distance", F.sqrt("_sq")).drop("_sq")
 
 
 def within_radius(queries: DataFrame, targets: DataFrame, sets: Sequence[str], radius: float,
