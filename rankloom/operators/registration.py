@@ -35,9 +35,16 @@ def distances(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tuple[Da
     return moved, nearest(moved, target, ["set_id"], query_id="at")
 
 
+def paired_clouds(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moved source points and target points per job, written once: searches read them several times."""
+    moved = moved_sources(jobs, source).select("job_id", F.col("at.point_id").alias("point_id"), "x", "y", "z")
+    goal = jobs.select("job_id", "set_id").join(target, "set_id").select("job_id", "point_id", "x", "y", "z")
+    return cut_lineage(moved), cut_lineage(goal)
+
+
 def score_jobs(jobs: DataFrame, source: DataFrame, target: DataFrame, trim: float = 0.7) -> DataFrame:
     """One-way fit score of every job (score, median, p90, share within 2)."""
-    moved, near = distances(jobs, source, target)
+    moved, near = distances(cut_lineage(jobs), source, target)
     rows = near.select(F.col("at.job_id").alias("job_id"), "at", "distance")
     out = fit_score(rows, ["job_id"], ["at"], [("score", trim)], sized_by=moved)
     return jobs.join(out.withColumn("score", F.round("score", ROUND)), "job_id")
@@ -152,7 +159,7 @@ def register(
 ) -> DataFrame:
     """Ranked alignments of every set: best starts per parity (and given extra starts), refined and rescored."""
     starts = cut_lineage(axes_starts(source, target, parities))
-    scored = score_jobs(starts, source, target)
+    scored = cut_lineage(score_jobs(starts, source, target))
     best = top_k(scored, ["set_id", "parity"], [F.col("score"), F.col("job_id")], refine).select(
         "job_id", "set_id", "parity", "transform", F.lit("pca").alias("method"), F.col("score").alias("score_initial"))
     if extra is not None:
@@ -161,7 +168,7 @@ def register(
         best = best.unionByName(given)
     best = cut_lineage(best.withColumn("transform_initial", F.col("transform")))
     refined = trimmed_alignment(best, source, target, schedule, rounds, least=least)
-    final = score_jobs(refined, source, target)
+    final = cut_lineage(score_jobs(refined, source, target))
     return positions(final, ["set_id"], [F.col("score"), F.col("job_id")], "rank")
 
 
@@ -169,9 +176,9 @@ def rescored(jobs: DataFrame, source: DataFrame, target: DataFrame, prior_angle:
     """Two-way score, penalty on the prior angle, acceptance and rank among accepted rows of a set."""
     from .selection import accepted_rank
 
-    moved = moved_sources(jobs, source).select("job_id", F.col("at.point_id").alias("point_id"), "x", "y", "z")
-    goal = jobs.select("job_id", "set_id").join(target, "set_id").select("job_id", "point_id", "x", "y", "z")
-    both = two_way_score(moved, goal, ["job_id"])
+    jobs = cut_lineage(jobs)
+    moved, goal = paired_clouds(jobs, source, target)
+    both = cut_lineage(two_way_score(moved, goal, ["job_id"]))
     out = jobs.drop("score", "median", "p90").join(both, "job_id").withColumn("prior_angle_deg", prior_angle)
     out = out.withColumns({
         "selection_score_mm": F.round(F.col("score"), ROUND), "prior_accepted": (F.col("prior_angle_deg") <= limit).cast("int"),
@@ -196,8 +203,7 @@ def support_refinement(
     Result: one row per improved (job, profile) with the best share ``alpha`` of the move.
     """
     def symmetric(poses: DataFrame) -> DataFrame:
-        moved = moved_sources(poses, source).select("job_id", F.col("at.point_id").alias("point_id"), "x", "y", "z")
-        goal = poses.select("job_id", "set_id").join(target, "set_id").select("job_id", "point_id", "x", "y", "z")
+        moved, goal = paired_clouds(poses, source, target)
         return support_metrics(moved, goal, ["job_id"]).select("job_id", F.col("symmetric_trim20").alias("trim20"))
 
     start = cut_lineage(jobs.select("job_id", "set_id", "transform"))
@@ -229,9 +235,8 @@ def full_geometry(jobs: DataFrame, source: DataFrame, target: DataFrame, normal_
     """Trimmed means at 10, 20 and 35%, median, p90, overlaps, coverage and (optionally) normal agreement."""
     from .spatial import normal_agreement, point_normals
 
-    moved = moved_sources(jobs, source).select("job_id", F.col("at.point_id").alias("point_id"), "x", "y", "z")
-    goal = jobs.select("job_id", "set_id").join(target, "set_id").select("job_id", "point_id", "x", "y", "z")
-    near = nearest(moved, goal, ["job_id"])
+    moved, goal = paired_clouds(jobs, source, target)
+    near = cut_lineage(nearest(moved, goal, ["job_id"]))
     trims = [("full_trim_10", 0.10), ("full_trim_20", 0.20), ("full_trim_35", 0.35)]
     out = fit_score(near, ["job_id"], ["point_id"], trims, within=(1.0, 2.0, 3.0), sized_by=moved)
     back = nearest(goal, moved, ["job_id"]).groupBy("job_id").agg(F.avg((F.col("distance") <= 2.0).cast("double")).alias("full_target_coverage_2mm"))
