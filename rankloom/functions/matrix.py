@@ -33,6 +33,16 @@ def norm(parts: Sequence[Column]) -> Column:
     return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
 
+def held(parts: Sequence[Column]) -> Column:
+    """An array that is computed once and read by index.
+
+    Reading entry i of a plain array constructor is folded back into the
+    expression of that entry, so a chain of matrix products would grow
+    exponentially and leave generated code; a slice keeps the steps apart.
+    """
+    return F.slice(F.array(*parts), 1, len(parts))
+
+
 def from_parts(rows9: Sequence[Column], t: Sequence[Column]) -> Column:
     zero, one = F.lit(0.0), F.lit(1.0)
     return F.array(*rows9[0:3], t[0], *rows9[3:6], t[1], *rows9[6:9], t[2], zero, zero, zero, one)
@@ -60,7 +70,7 @@ def compose(a: Column | str, b: Column | str) -> Column:
     left, right = _c(a), _c(b)
     rot = multiply3(linear(left), linear(right))
     moved = apply_point(left, *shift(right))
-    return from_parts(rot, moved)
+    return F.slice(from_parts(rot, moved), 1, 16)
 
 
 def det3(r: Sequence[Column]) -> Column:
@@ -85,7 +95,7 @@ def invert(matrix: Column | str) -> Column:
     ]
     inv = [a / d for a in adjugate]
     back = [-(inv[k] * t[0] + inv[k + 1] * t[1] + inv[k + 2] * t[2]) for k in (0, 3, 6)]
-    return from_parts(inv, back)
+    return F.slice(from_parts(inv, back), 1, 16)
 
 
 def proper_rotation(matrix: Column | str) -> list[Column]:

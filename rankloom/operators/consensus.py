@@ -72,7 +72,7 @@ def pose_pairs(candidates: DataFrame, keys: Sequence[str], radius: float, same_p
     taken on the sample. ``candidates`` carries ``sample``, sx, sy, sz.
     """
     keys = list(keys)
-    rows = candidates.withColumn("_c", F.array(*M.apply_point("transform", F.col("sx"), F.col("sy"), F.col("sz"))))
+    rows = candidates.withColumn("_c", M.held(M.apply_point("transform", F.col("sx"), F.col("sy"), F.col("sz"))))
     rows = rows.withColumns({f"c{a}": F.col("_c")[i] for i, a in enumerate("xyz")}).withColumn("sign", M.det_sign("transform"))
     sets = [*keys, "sign"] if same_parity else keys
     slim = rows.select(*sets, "candidate_index", "cx", "cy", "cz", "transform", "sample")

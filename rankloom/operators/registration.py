@@ -62,15 +62,15 @@ def axes_starts(source: DataFrame, target: DataFrame, parities: Sequence[int] =
         rows = s.join(t, "set_id").withColumn("_g", grid)
         p9 = [F.col("_g.p")[i] for i in range(9)]
         first = M.multiply3(M.transpose3([F.col("_t")[i] for i in range(9)]), p9)
-        rows = rows.withColumn("_m", F.array(*first))
+        rows = rows.withColumn("_m", M.held(first))
         rot = M.multiply3([F.col("_m")[i] for i in range(9)], [F.col("_s")[i] for i in range(9)])
-        rows = rows.withColumn("_r", F.array(*rot))
+        rows = rows.withColumn("_r", M.held(rot))
         r = [F.col("_r")[i] for i in range(9)]
         shift = [F.col(f"t{c}") - (r[3 * k] * F.col("sx") + r[3 * k + 1] * F.col("sy") + r[3 * k + 2] * F.col("sz")) for k, c in enumerate("xyz")]
         entries = [e * float(parity) if i % 3 == 0 else e for i, e in enumerate(r)]
         parts.append(rows.select(
             F.concat_ws("/", "set_id", F.lit(str(parity)), F.col("_g.n")).alias("job_id"), "set_id", F.lit(parity).alias("parity"),
-            M.from_parts(entries, shift).alias("transform")))
+            F.slice(M.from_parts(entries, shift), 1, 16).alias("transform")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -125,11 +125,11 @@ def perturbed(jobs: DataFrame, centre: DataFrame, samples: int, turn_deg: float,
     grid = grid.withColumn("_a", M.norm([F.col(f"_w{c}") for c in "xyz"]))
     axis = [F.when(F.col("_a") > 0, F.col(f"_w{c}") / F.col("_a")).otherwise(1.0 if c == "x" else 0.0) for c in "xyz"]
     grid = grid.withColumns({f"_u{c}": a for c, a in zip("xyz", axis)})
-    grid = grid.withColumn("_r", F.array(*M.axis_angle_matrix([F.col(f"_u{c}") for c in "xyz"], F.col("_a"))))
-    grid = grid.withColumn("_c", F.array(*M.apply_point("transform", F.col("sx"), F.col("sy"), F.col("sz"))))
+    grid = grid.withColumn("_r", M.held(M.axis_angle_matrix([F.col(f"_u{c}") for c in "xyz"], F.col("_a"))))
+    grid = grid.withColumn("_c", M.held(M.apply_point("transform", F.col("sx"), F.col("sy"), F.col("sz"))))
     r, c = [F.col("_r")[i] for i in range(9)], [F.col("_c")[i] for i in range(3)]
     off = [c[k] - (r[3 * k] * c[0] + r[3 * k + 1] * c[1] + r[3 * k + 2] * c[2]) + F.col(f"_t{a}") for k, a in enumerate("xyz")]
-    delta = grid.withColumn("_delta", M.from_parts(r, off))
+    delta = grid.withColumn("_delta", F.slice(M.from_parts(r, off), 1, 16))
     return delta.select(F.concat_ws("#", "job_id", "_n").alias("job_id"), F.col("job_id").alias("start_id"), "set_id",
                         M.compose("_delta", "transform").alias("transform"))
 

@@ -47,14 +47,6 @@ def basin_search(spark, folder):
     return out.select("job_id", "correspondences", rounded("score", 5).alias("score"))
 
 
-@query("register_and_rank")
-def register_and_rank(spark, folder):
-    source, target = clouds(spark, folder)
-    out = R.register(source, target, (1,), 2, schedule=(0.3, 0.1), rounds=2, least=16)
-    ranked = R.rescored(out, source, target, F.degrees(F.acos(M.clip((F.col("transform")[0] + F.col("transform")[5] + F.col("transform")[10] - 1) / 2, -1, 1))))
-    return ranked.select("set_id", "job_id", "parity", "method", "rank", "prior_accepted", "unsupervised_rank", r6("rank_score_mm").alias("rank_score_mm"))
-
-
 @query("support_refinement")
 def support_refinement(spark, folder):
     source, target = clouds(spark, folder)
