@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import matrix as M
+from ..session import cut_lineage
 from .grouping import join_null_safe, ordinal_fraction, positions, top_k
 
 INDEX = "candidate_index"
@@ -225,28 +226,32 @@ def joint_pairs(
 ) -> DataFrame:
     """Best upper/lower pair of every case.
 
-    ``ranked`` holds score, chirality, transform and ``place`` (rank in the
-    group). Only the first ``top`` of each jaw meet, on equal case and parity. A
-    case left without a pair meets again without the parity rule. Its size per
-    case is at most top * top rows.
+    ``ranked`` is the pool of each (case, jaw) with score, chirality, transform and
+    ``place`` (rank in the pool, whose size the pool budget bounds). The first
+    ``top`` of each jaw meet on equal case and parity. Only a case without any
+    such pair meets again over its whole pool (``widened``); a case that still
+    has none gives no row.
     """
-    cut = ranked.where(F.col("place") <= top)
     fields = [INDEX, "score", "chirality", "transform", "place"]
-
-    def side(jaw: str, prefix: str) -> DataFrame:
-        return cut.where(F.col("jaw") == jaw).select(case, *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
-
-    upper, lower = side("upper", "upper"), side("lower", "lower")
-    pairs = upper.join(lower, case)
-    angle, gap = M.pair_deviation("upper_transform", "lower_transform", prior_rotation, prior_shift)
-    pairs = pairs.withColumn("same", (F.col("upper_chirality") == F.col("lower_chirality")) | F.lit(allow_parity_mismatch))
-    pairs = pairs.withColumn("angle_deg", angle).withColumn("shift_mm", gap)
-    pairs = pairs.withColumn(
-        "objective",
-        F.col("upper_score") + F.col("lower_score") + angle_weight * F.col("angle_deg") + shift_weight * F.col("shift_mm"),
-    )
-    keep = F.struct(
-        f"upper_{INDEX}", f"lower_{INDEX}", "objective", "angle_deg", "shift_mm", "same", "upper_place", "lower_place"
-    )
-    order = F.struct(~F.col("same"), "objective", "upper_place", "lower_place")
-    return pairs.groupBy(case).agg(F.min_by(keep, order).alias("_p")).select(case, "_p.*")
+    on = [case] if allow_parity_mismatch else [case, "_parity"]
+
+    def best(rows: DataFrame) -> DataFrame:
+        def side(jaw: str, prefix: str) -> DataFrame:
+            return rows.where(F.col("jaw") == jaw).select(
+                case, F.col("chirality").alias("_parity"), *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
+
+        lower = side("lower", "lower")
+        pairs = side("upper", "upper").join(lower.drop("_parity") if allow_parity_mismatch else lower, on)
+        angle, gap = M.pair_deviation("upper_transform", "lower_transform", prior_rotation, prior_shift)
+        pairs = pairs.withColumn("angle_deg", angle).withColumn("shift_mm", gap).withColumn(
+            "objective",
+            F.col("upper_score") + F.col("lower_score") + angle_weight * F.col("angle_deg") + shift_weight * F.col("shift_mm"),
+        )
+        keep = F.struct(f"upper_{INDEX}", f"lower_{INDEX}", "objective", "angle_deg", "shift_mm", "upper_place", "lower_place")
+        order = F.struct("objective", "upper_place", "lower_place")
+        return pairs.groupBy(case).agg(F.min_by(keep, order).alias("_p")).select(case, "_p.*")
+
+    ranked = cut_lineage(ranked.select(case, "jaw", *fields))  # both jaws are read twice
+    first = cut_lineage(best(ranked.where(F.col("place") <= top)).withColumn("widened", F.lit(False)))
+    rest = ranked.join(first.select(case), case, "left_anti")
+    return first.unionByName(best(rest).withColumn("widened", F.lit(True)))

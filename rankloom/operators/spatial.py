@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.matrix import held
 from .grouping import hot_limit, join_null_safe, largest_group, pick_quantiles, positions
 
 BLOCK = 64
@@ -23,12 +24,17 @@ FANOUT = 64
 BITS = 10
 
 
-def z_order(coords: Sequence[str], low: Sequence[Column], high: Sequence[Column]) -> Column:
-    """Interleaved bits of the first three coordinates, scaled to the box of the set."""
+def grid_cells(coords: Sequence[str], low: Sequence[Column], high: Sequence[Column]) -> Column:
+    """The first three coordinates as integer cells of the box of the set."""
     cells = []
     for c, lo, hi in zip(coords[:3], low, high):
         share = (F.col(c) - lo) / F.greatest(hi - lo, F.lit(1e-300))
         cells.append(F.least(F.floor(share * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("long"))
+    return held(cells)
+
+
+def z_order(cells: Sequence[Column]) -> Column:
+    """Interleaved bits of the cells."""
     code = F.lit(0).cast("long")
     for bit in range(BITS):
         for axis, cell in enumerate(cells):
@@ -44,8 +50,9 @@ def into_blocks(df: DataFrame, sets: Sequence[str], coords: Sequence[str], tie:
         *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(coords[:3])],
     )
     n = len(coords[:3])
-    out = join_null_safe(df, box, sets, "left").withColumn(
-        "_z", z_order(coords, [F.col(f"_lo{i}") for i in range(n)], [F.col(f"_hi{i}") for i in range(n)]))
+    cells = grid_cells(coords, [F.col(f"_lo{i}") for i in range(n)], [F.col(f"_hi{i}") for i in range(n)])
+    out = join_null_safe(df, box, sets, "left").withColumn("_cells", cells)
+    out = out.withColumn("_z", z_order([F.col("_cells")[i] for i in range(n)])).drop("_cells")
     out = out.drop(*[f"_{e}{i}" for i in range(n) for e in ("lo", "hi")])
     order = [F.col("_z"), *[F.col(c) for c in coords], *[F.col(t) for t in tie]]
     out = positions(out, sets, order, "_p", bounded=bounded).withColumn("_blk", F.floor((F.col("_p") - 1) / BLOCK))
@@ -267,7 +274,7 @@ def fit_score(
     )
     tails = pick_quantiles(
         ranked.withColumn("_copies", F.lit(1)), keys, "distance", {f"{prefix}median": 0.5, f"{prefix}p90": 0.9})
-    return join_null_safe(base, tails, keys, "left") if keys else base.crossJoin(tails)
+    return join_null_safe(base, tails, keys, "left")
 
 
 def two_way_score(

@@ -189,7 +189,7 @@ def region_crop(
     fields = [*[f"lo_{c}" for c in IJK], *[f"hi_{c}" for c in IJK], "score", "place"]
     a = tops.select(*keys, *[F.col(f).alias(f"a_{f}") for f in fields])
     b = tops.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields])
-    both = a.join(b, keys) if keys else a.crossJoin(b)
+    both = a.join(b, keys)
     both = both.where(F.col("a_place") <= F.col("b_place"))
     gap = [F.abs((F.col(f"a_lo_{c}") + F.col(f"a_hi_{c}")) - (F.col(f"b_lo_{c}") + F.col(f"b_hi_{c}"))) / 2.0 * s for c, s in zip(IJK, spacing)]
     low = {c: F.least(f"a_lo_{c}", f"b_lo_{c}") for c in IJK}

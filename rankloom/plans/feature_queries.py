@@ -187,11 +187,11 @@ def pair_ensemble(spark, folder):
     by_pairs = S.seed_aggregates(L.score_pairwise(pairwise, pool, GROUP, FEATURES, 6), GROUP, "seed", "cost")
     scores = by_regression.select(*ID, F.col("vote_score").alias("first")).join(by_pairs.select(*ID, F.col("median_cost").alias("second")), ID)
     blended = S.rank_blend(scores, GROUP, "first", "second", [0.575], bounded=True)
-    ranked = S.top_by_score(blended.join(pool.select(*ID, "chirality", "transform"), ID).withColumnRenamed("blend_score", "score"), GROUP, "score", 8)
+    ranked = cut_lineage(S.top_by_score(blended.join(pool.select(*ID, "chirality", "transform"), ID).withColumnRenamed("blend_score", "score"), GROUP, "score", 10))
     one, zero = F.lit(1.0), F.lit(0.0)
     identity = [one, zero, zero, zero, one, zero, zero, zero, one]
     out = S.joint_pairs(ranked, "case_id", identity, [zero, zero, zero])
-    return out.select("case_id", "upper_candidate_index", "lower_candidate_index", r6("objective").alias("objective"), "same")
+    return out.select("case_id", "upper_candidate_index", "lower_candidate_index", r6("objective").alias("objective"), "widened")
 
 
 @query("lowest_predicted", with_sql(CANDIDATES_SQL, """w AS (SELECT case_id, jaw, candidate_run, min(fit_score_mm) AS predicted FROM cand GROUP BY ALL)""", body="""

@@ -312,24 +312,24 @@ PRIOR_SHIFT = (1.0, 2.0, 3.0)
 
 
 @query("pair_selection", with_sql(CANDIDATES_SQL, POSED_SQL, """t AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY case_id, jaw ORDER BY selection_score_mm, candidate_index) AS place FROM posed) WHERE place <= 8),
-p AS (SELECT u.case_id, u.candidate_index AS ui, l.candidate_index AS li, u.place AS up, l.place AS lp, u.chirality <> l.chirality AS differs,
+  SELECT *, row_number() OVER (PARTITION BY case_id, jaw ORDER BY selection_score_mm, candidate_index) AS place FROM posed) WHERE place <= 96),
+p AS (SELECT u.case_id, u.candidate_index AS ui, l.candidate_index AS li, u.place AS up, l.place AS lp, u.place <= 8 AND l.place <= 8 AS near,
     abs((((l.turn_deg - u.turn_deg - 15.0::DOUBLE) + 180.0::DOUBLE) % 360.0::DOUBLE + 360.0::DOUBLE) % 360.0::DOUBLE - 180.0::DOUBLE) AS angle,
     sqrt(pow(u.selection_score_mm - l.selection_score_mm - 1, 2) + pow(u.fit_p90_mm - l.fit_p90_mm - 2, 2)
        + pow(u.fit_score_mm - l.fit_score_mm - 3, 2)) AS gap,
     u.selection_score_mm + l.selection_score_mm AS base
-  FROM t u JOIN t l ON u.case_id = l.case_id AND u.jaw = 'upper' AND l.jaw = 'lower'),
-o AS (SELECT *, base + 0.01::DOUBLE * angle + 0.075::DOUBLE * gap AS objective FROM p)""", body="""
-SELECT case_id, ui AS upper_index, li AS lower_index, round(objective, 4) AS objective, NOT differs AS same FROM (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY differs, objective, up, lp) AS r FROM o) WHERE r = 1"""))
+  FROM t u JOIN t l ON u.case_id = l.case_id AND u.chirality = l.chirality AND u.jaw = 'upper' AND l.jaw = 'lower'),
+o AS (SELECT *, base + 0.01::DOUBLE * angle + 0.075::DOUBLE * gap AS objective, bool_or(near) OVER (PARTITION BY case_id) AS any_near FROM p)""", body="""
+SELECT case_id, ui AS upper_index, li AS lower_index, round(objective, 4) AS objective, NOT any_near AS widened FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY objective, up, lp) AS r FROM o WHERE near OR NOT any_near) WHERE r = 1"""))
 def pair_selection(spark, folder):
     rows = posed(candidates(spark, folder)).withColumn("score", F.col("selection_score_mm"))
-    ranked = S.top_by_score(rows, GROUP, "score", 8)
+    ranked = S.top_by_score(rows, GROUP, "score", 96)
     c, s = F.cos(F.radians(F.lit(PRIOR_ANGLE))), F.sin(F.radians(F.lit(PRIOR_ANGLE)))
     zero, one = F.lit(0.0), F.lit(1.0)
     prior = [c, -s, zero, s, c, zero, zero, zero, one]
     out = S.joint_pairs(ranked, "case_id", prior, [F.lit(v) for v in PRIOR_SHIFT])
     return out.select(
         "case_id", F.col("upper_candidate_index").alias("upper_index"),
-        F.col("lower_candidate_index").alias("lower_index"), rounded("objective", 4).alias("objective"), "same",
+        F.col("lower_candidate_index").alias("lower_index"), rounded("objective", 4).alias("objective"), "widened",
     )

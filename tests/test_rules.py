@@ -162,3 +162,39 @@ def test_stable_seed(spark):
     want = int.from_bytes(hashlib.sha256(b"7|001|upper").digest()[:4], "little")
     got = spark.range(1).select(K.stable_seed(F.lit("7|001|upper")), K.stable_seed(F.lit("7|001|upper"), False)).first()
     assert tuple(got) == (want & 0x7FFFFFFF, want)
+
+
+def test_pair_search_widens_only_without_a_pair(spark):
+    data = []
+    for case, far_sign in (("near", 1), ("far", -1)):
+        for place in (1, 2, 3):
+            data.append((case, "upper", place, float(place), 1, pose("z", 0), place))
+            data.append((case, "lower", place, float(place), 1 if place == 3 else far_sign, pose("z", 0), place))
+    df = spark.createDataFrame(data, "case_id string, jaw string, candidate_index int, score double, chirality int, transform array<double>, place int")
+    unit = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]
+    got = {r["case_id"]: (r["upper_candidate_index"], r["lower_candidate_index"], r["widened"])
+           for r in S.joint_pairs(df, "case_id", unit, [F.lit(0.0)] * 3, top=2).collect()}
+    assert got == {"near": (1, 1, False), "far": (1, 3, True)}
+
+
+def test_defaults_and_config_keys(spark):
+    df = spark.createDataFrame([("1.5", '{"a": {"b": 2}}'), ("", "{}"), (None, None)], "n string, j string")
+    got = df.select(K.number("n", 7.0).alias("n"), K.json_or("j", "$.a.b", "none").alias("j")).collect()
+    assert [tuple(r) for r in got] == [(1.5, "2"), (7.0, "none"), (7.0, "none")]
+    row = spark.range(1).select(K.config_key(b=F.lit(1), a=F.lit("x")), K.protocol_parity(F.lit(266), F.lit(266), F.lit(200), F.lit(0.3)),
+                                K.protocol_parity(F.lit(266), F.lit(266), F.lit(201), F.lit(0.3))).first()
+    assert tuple(row) == ('{"a":"x","b":1}', -1, 1)
+
+
+def test_consensus_counts_each_evidence_cell_once(spark):
+    from rankloom.operators import consensus as Q
+
+    cells = [("A", 1000), ("A", 1200), ("B", 1400), ("C", 1600)]
+    rows = [("c", "upper", i, pose("z", 0, (x, 0, 0)), 0.1, view, "tracked", t, "full") for i, ((view, t), x) in enumerate(zip(cells, (0.0, 0.2, 0.1, 20.0)))]
+    df = spark.createDataFrame(rows, "case_id string, jaw string, candidate_index int, transform array<double>, selection double, "
+                                     "view string, family string, threshold_cell int, side string")
+    sample = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")) for x in (0.0, 1.0)])
+    df = df.withColumns({"sample": sample, "sx": F.lit(0.5), "sy": F.lit(0.0), "sz": F.lit(0.0)})
+    got = Q.evidence_consensus(df, ["case_id", "jaw"], 1.0, 1.0, {"evidence": 2, "views": 2}).first()
+    assert (got["evidence"], got["views"], got["thresholds"]) == (3, 2, 3)
+    assert got["candidate_index"] == 2 and got["max_disagreement_mm"] == pytest.approx(0.2)

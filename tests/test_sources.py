@@ -109,3 +109,31 @@ def test_labels_to_candidates_and_volumes(spark):
                                  "case_id string, candidate_index int, target string, coarse_target string, volume_path string")
     got = A.resolve_volumes(rows, ["case_id"], "dflt").orderBy("case_id", "candidate_index").collect()
     assert [r["resolved_volume"] for r in got] == ["v1", "v1", "v1", "dflt"]
+
+
+def test_audits_and_case_discovery(spark, tmp_path):
+    import pytest
+
+    for run in ("r1", "r2"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "audit.json").write_text(json.dumps([{"case_id": "001", "jaw": "upper", "method": run, "predicted_tre_mm": 1}]))
+    got = A.read_audits(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")]).orderBy("run_order").collect()
+    assert [(r["method"], r["predicted_tre_mm"]) for r in got] == [("r1", 1.0), ("r2", 1.0)]
+    case = tmp_path / "in" / "V" / "009"
+    case.mkdir(parents=True)
+    for name in ("cbct.nii.gz", "ios_upper.stl"):
+        (case / name).write_bytes(b"x")
+    with pytest.raises(ValueError, match="without a mesh"):
+        A.discover_cases(spark, str(tmp_path / "in"))
+    (case / "lower.stl").write_bytes(b"x")
+    assert A.discover_cases(spark, str(tmp_path / "in")).count() == 2
+
+
+def test_ensemble_is_saved_with_its_feature_order(spark, tmp_path):
+    from rankloom.operators import models as L
+
+    rows = spark.createDataFrame([("c", "upper", i, float(i), float(i % 3), 1.0) for i in range(12)],
+                                 "case_id string, jaw string, candidate_index int, a double, b double, weight double")
+    model = L.fit_regression(rows.withColumn("e", F.col("a")), ["b", "a"], "e", 1, trees=2, depth=2)
+    L.save_ensemble({"m1": model}, str(tmp_path), ["b", "a"], spark, target="log1p")
+    assert L.load_features(spark, str(tmp_path), "m1") == ["b", "a"]
