@@ -151,7 +151,7 @@ def lowest_fractions(df: DataFrame, keys: Sequence[str], columns: dict[str, Colu
         group = W.partitionBy(*keys)
         return df.withColumns({n: F.percent_rank().over(group.orderBy(e)) for n, e in columns.items()})
     for name, expr in columns.items():
-        df = lowest_fraction(df, keys, expr, name)
+        df = cut_lineage(lowest_fraction(df, keys, expr, name))  # one written step per rank
     return df
 
 
