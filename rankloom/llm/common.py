@@ -6,15 +6,17 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -68,7 +70,7 @@ def sized_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1
     """Cuts record batches so that ``column`` holds about ``limit`` bytes in each."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
-        size, start, total = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False), 0, 0
+        size, start, total = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), 0, 0
         if size.sum() <= limit:
             yield batch
             continue

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rankloom.llm import mixing, token_counts, url_filter
+from rankloom.llm import class_model, mixing, packing, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_packing": packing.op2_packing,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mix": mixing.op4_mix,
+    "op9_class_model": class_model.op9_class_model,
 }
 TWINS = {**url_filter.SQL, **mixing.SQL}

@@ -7,11 +7,13 @@ import json
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Memo, table
+from rankloom.session import ship_package
 
 #: The pattern that byte-level tokenizers split text with before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,7 +127,7 @@ def token_count_column(spark: SparkSession, text: Column, path: str) -> Column:
     @F.arrow_udf("struct<n_bytes: bigint, n_tokens: bigint>")
     def count(texts: pa.Array) -> pa.Array:
         own = counter(shared.value)
-        n_bytes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+        n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
         n_tokens = pa.array([own.count(t.as_py()) for t in texts], pa.int64())
         return pa.StructArray.from_arrays([n_bytes, n_tokens], ["n_bytes", "n_tokens"])
 
@@ -139,6 +141,7 @@ def token_counts(documents: DataFrame, path: str, text: str = "text", limit: int
     each. An empty table gives no rows. Columns of these names are replaced; all others stay.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     found = documents.withColumn("__count", token_count_column(spark, F.col(text), path))
     return found.withColumns({"n_bytes": F.col("__count.n_bytes"), "n_tokens": F.col("__count.n_tokens"),
                               "over_limit": F.col("__count.n_tokens") > limit}).drop("__count")

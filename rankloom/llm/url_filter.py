@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import table
+from rankloom.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     judged each; an empty table or no rules give no matches. Columns of the four names are replaced.
     Nothing is shuffled, so a host with a third of all rows is no hot key.
     """
+    ship_package(pages.sparkSession)
     folder = Path(tempfile.mkdtemp(prefix="digests"))
     files = write_array(rules, folder)
     if sum(f.stat().st_size for f in files) > limit:
