@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 
 
 def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, text: str = "text",
-        id_column: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
+        id_column: str = "doc_id", bucket_rows: int = 2_000) -> DataFrame:
     """Sizes, targets and the words taken of every row: (doc_id, size, source, source_size, target, taken).
 
     Rows get a random key from a digest of (seed, id), so a rerun takes the same ones. Within a source, rows in

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rankloom.llm import class_model, mixing, packing, token_counts, url_filter
+from rankloom.llm import class_model, mixing, packing, personal_data, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mix": mixing.op4_mix,
+    "op5_personal_data": personal_data.op5_personal_data,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_class_model": class_model.op9_class_model,
 }
 TWINS = {**url_filter.SQL, **mixing.SQL}
