@@ -119,7 +119,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         small = large.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut_lineage(small.filter("u <> v").distinct())
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v").cast("string")).first()
+        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
         if mark == seen:
             break
         seen = mark

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import class_model, mixing, packing, personal_data, token_counts, toxicity, url_filter
+from rankloom.llm import class_model, mixing, near_copies, packing, personal_data, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_toxicity": toxicity.op6_toxicity,
     "op9_class_model": class_model.op9_class_model,
+    "op10_near_copies": near_copies.op10_near_copies,
 }
 TWINS = {**url_filter.SQL, **mixing.SQL}
