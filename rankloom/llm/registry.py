@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from rankloom.llm import class_model, mixing, near_copies, packing, personal_data, token_counts, toxicity, url_filter
+from rankloom.llm import (
+    class_model,
+    kmeans_tree,
+    mixing,
+    near_copies,
+    packing,
+    personal_data,
+    product_grid,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +22,8 @@ QUERIES = {
     "op4_mix": mixing.op4_mix,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_near_vectors": product_grid.op7_near_vectors,
+    "op8_kmeans_tree": kmeans_tree.op8_kmeans_tree,
     "op9_class_model": class_model.op9_class_model,
     "op10_near_copies": near_copies.op10_near_copies,
 }
