@@ -44,8 +44,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 
 
 def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, text: str = "text",
-        id_column: str = "doc_id", bucket_rows: int = 2_000) -> DataFrame:
-    """Sizes, targets and the words taken of every row: (doc_id, size, source, source_size, target, taken).
+        id_column: str = "doc_id", bucket_rows: int = 2_000, extra: Column | None = None) -> DataFrame:
+    """Sizes, targets and the words taken of every row: (doc_id, size, source, source_size, target, taken, key).
 
     Rows get a random key from a digest of (seed, id), so a rerun takes the same ones. Within a source, rows in
     the order of the key are cut where the running sum of sizes meets the source's budget (its target,
@@ -54,20 +54,23 @@ def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
     summed up first, and rows are ordered within a range only. So one source with a third of all rows is
     spread like any other. Null texts have size 0; null sources are one source of their own; null or repeated
     ids share a key and are ordered by size, which makes equal rows interchangeable. An empty table
-    gives no rows. Columns of the table other than these are not read.
+    gives no rows. Columns of the table other than
+    these are not read; ``extra`` is carried along as key.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.col("source").alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
+    carried = F.lit(None).cast("long") if extra is None else extra
+    rows = documents.select(F.col(id_column).alias("doc_id"), F.col("source").alias("source"), word_count(F.col(text)).alias("size"), key.alias("random"),
+                            carried.alias("key"))
     rows = cut_lineage(rows)
     ranges = max(1, rows.count() // bucket_rows)
-    spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    spread = F.conv(F.substring("random", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("range", F.floor(spread * ranges / F.lit(float(1 << 32))).cast("int"))
     totals = cut_lineage(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     targets = source_targets(totals.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, epochs)
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.withColumn("before", F.coalesce(before, F.lit(0))).alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
     offsets = offsets.select(F.col("o.source").alias("o_source"), F.col("range").alias("o_range"), "before", "source_size", "target")
-    own = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum("size").over(Window.partitionBy("source", "range").orderBy("random", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("own", F.coalesce(own, F.lit(0)))
     placed = placed.join(offsets, placed.source.eqNullSafe(offsets.o_source) & (placed.range == offsets.o_range))
     budget = F.floor("target").cast("long")
@@ -75,7 +78,7 @@ def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("before") + F.col("own"))))
     taken = (whole * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "key")
 
 
 def op4_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm.common import Memo, sized_batches, table
-from rankloom.llm.token_counts import definition_text
+from rankloom.llm.token_counts import byte_characters, definition_text
 from rankloom.session import cut_lineage, ship_package
 
 END_ID = 1
@@ -24,23 +27,48 @@ PIECES = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 PACKED = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+_MARKS = ".,;:!?|%&$#*"
+
+
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space, word by word with a bounded memo.
+    """Ids of whole texts for a tokenizer that drops white space, word by word with bounded memos.
 
-    Such a tokenizer never merges across white space, so a text's ids are those of its words in order.
+    Such a tokenizer never merges across white space, so a text's ids are those of its words in order; a word's
+    are those of the pieces that the tokenizer's pattern cuts it into, each merged by its model. Words with its special
+    strings, or beyond the Latin blocks, go to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.words = Memo(self.word, 600_000)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(json.loads(definition)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.bytes = {i: c for i, c in byte_characters().items() if chr(i) != c}
+        self.words, self.pieces = Memo(self.word, 600_000), Memo(self.piece, 300_000)
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(s in word for s in self.special):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if max(word) < "\u0250":  # Latin letters are in normal form, and each has its lower case whatever stands beside it
+            low = word.lower()
+            if low.isalpha():
+                return self.pieces[low]
+            core = low.rstrip(_MARKS)
+            if core.isalpha():
+                return self.pieces[core] + self.pieces[low[len(core):]]
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(low)))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         self.words.trim()
+        self.pieces.trim()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
