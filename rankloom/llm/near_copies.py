@@ -245,7 +245,7 @@ def verify(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.
     for rows in grouped(batches, "task"):
         task = rows.column("task").to_numpy()
         reps, copies, block = (rows.column(c).to_numpy() for c in ("rep", "copies", "block"))
-        texts = rows.column("text")
+        within, texts = rows.column("within").to_numpy(), rows.column("text")
         out = []
         for a, b in pieces(task):
             if b - a < 2:
@@ -253,7 +253,7 @@ def verify(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.
             order = np.argsort(reps[a:b]) + a
             own = Verifier(reps[order], copies[order], [shingles(texts[int(i)].as_py(), memo) for i in order], block[order], similarity)
             left, right = own.links()
-            if len(np.unique(own.block)) > 1:
+            if not within[a]:
                 across = own.block[left] != own.block[right]
                 left, right = left[across], right[across]
             n = np.bincount(left, own.copies[right], b - a) + np.bincount(right, own.copies[left], b - a)
@@ -303,9 +303,9 @@ def near_copies(documents: DataFrame, text: str = "text", id_column: str = "doc_
     dealt = members.join(heavy, "root", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(13), "rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("rep", "copies", "block", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "copies", "block", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+    dealt = dealt.select("rep", "copies", "block", (F.col("block") == F.col("other")).alias("within"), F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
     texts = rows.select(F.col("key").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    tasks = dealt.join(texts, "rep").select("task", "rep", "copies", "block", "text").repartition("task").sortWithinPartitions("task")
+    tasks = dealt.join(texts, "rep").select("task", "rep", "copies", "block", "within", "text").repartition("task").sortWithinPartitions("task")
     found = cut_lineage(tasks.mapInArrow(lambda b: verify(b, similarity), "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
