@@ -14,37 +14,66 @@ from ..session import cut_lineage
 from .grouping import hot_groups, hot_limit, join_null_safe, lowest_fraction, robust_z
 from .spatial import near_counts, nearest
 
-ROTATION = [f"rotation_{r}{c}" for r in range(3) for c in range(3)]
-OFFSETS = ["centre_offset_x", "centre_offset_y", "centre_offset_z"]
-
-# Numeric candidate columns, the feature they feed, the value that
-# stands for a missing one, and the divisor.
-PLAIN = [
-    ("selection_score_mm", "selection_score", 0.0, 1.0), ("fit_score_mm", "fit_score", 0.0, 1.0),
-    ("fit_score_initial_mm", "fit_score_initial", 0.0, 1.0), ("fit_median_mm", "fit_median", 0.0, 1.0),
-    ("fit_p90_mm", "fit_p90", 0.0, 1.0), ("overlap_2mm", "overlap_2mm", 0.0, 1.0),
-    ("target_trimmed_score_mm", "target_trimmed_score", 0.0, 1.0), ("target_coverage_1mm", "target_coverage_1mm", 0.0, 1.0),
-    ("target_coverage_2mm", "target_coverage_2mm", 0.0, 1.0), ("correspondences", "correspondences_scaled", 0.0, 5000.0),
+# The names under which features are recorded with a model, in order.
+FEATURE_NAMES = [
+    "selection_score", "source_fit", "initial_fit", "fit_median", "fit_p90", "overlap_2mm", "target_fit", "target_coverage_1mm",
+    "target_coverage_2mm", "correspondences_scaled", "prior_angle_scaled", "center_dx_scaled", "center_dy_scaled", "center_dz_scaled",
+    "center_distance_scaled", "threshold_scaled", "component_log_voxels_scaled", "target_aggregate", "aggregate_count_scaled",
+    "target_adaptive", "axial_assignment_requested", "axial_assignment_opposite", "source_fraction", "source_low", "source_high",
+    "method_basin", "chirality_negative", "full_trim_10", "full_trim_20", "full_trim_35", "full_distance_median", "full_distance_p90",
+    "full_overlap_1mm", "full_overlap_2mm", "full_overlap_3mm", "full_target_coverage_2mm", "full_normal_abs_cosine",
+    "full_geometry_available", "proper_rotation_00", "proper_rotation_01", "proper_rotation_02", "proper_rotation_10",
+    "proper_rotation_11", "proper_rotation_12", "proper_rotation_20", "proper_rotation_21", "proper_rotation_22",
+    "crown_source_trim20", "crown_target_trim20", "crown_symmetric_trim20", "crown_source_median", "crown_target_median",
+    "crown_source_overlap_2mm", "crown_target_coverage_2mm", "crown_centroid_error_scaled", "crown_consistency_available",
+    "crown_refinement_initial_trim20", "crown_refinement_improvement", "crown_refinement_center_motion_scaled",
+    "crown_refinement_angle_scaled", "crown_refinement_alpha", "crown_refinement_available", "target_crown_mask",
+    "target_crown_probability", "target_crown_guided",
 ]
-FULL = [
-    ("full_trim_10_mm", "full_trim_10", 10.0, 1.0), ("full_trim_20_mm", "full_trim_20", 10.0, 1.0),
-    ("full_trim_35_mm", "full_trim_35", 10.0, 1.0), ("full_distance_median_mm", "full_median", 20.0, 1.0),
-    ("full_distance_p90_mm", "full_p90", 40.0, 1.0), ("full_overlap_1mm", "full_overlap_1mm", 0.0, 1.0),
-    ("full_overlap_2mm", "full_overlap_2mm", 0.0, 1.0), ("full_overlap_3mm", "full_overlap_3mm", 0.0, 1.0),
-    ("full_target_coverage_2mm", "full_target_coverage_2mm", 0.0, 1.0), ("full_normal_abs_cosine", "full_normal_abs_cosine", 0.0, 1.0),
+CONTEXT_NAMES = [
+    "context_selection_rank", "context_source_fit_rank", "context_target_fit_rank", "context_full_trim20_rank",
+    "context_full_median_rank", "context_full_p90_rank", "context_prior_angle_rank", "context_selection_robust_z",
+    "context_source_fit_robust_z", "context_target_fit_robust_z", "context_full_trim20_robust_z", "context_full_median_robust_z",
+    "context_full_p90_robust_z", "context_prior_angle_robust_z", "context_same_target_fraction", "context_same_source_fraction",
+    "context_same_target_source_fraction", "context_opposite_axial_target", "context_jaw_upper",
+    "context_transform_nearest_distance", "context_transform_density_0p10", "context_transform_density_0p25",
+    "context_cross_run_available", "context_cross_run_nearest_distance", "context_cross_run_mean_nearest_distance",
+    "context_cross_run_support_0p10", "context_cross_run_support_0p25", "context_crown_symmetric_rank",
+    "context_crown_centroid_rank", "context_crown_overlap_deficit_rank", "context_crown_coverage_deficit_rank",
+    "context_crown_symmetric_robust_z", "context_crown_centroid_robust_z", "context_crown_refinement_gain_rank",
+    "context_crown_refinement_motion_rank",
 ]
-SUPPORT = [
-    ("crown_source_trim20_mm", "support_source_trim20", 10.0, 1.0), ("crown_target_trim20_mm", "support_target_trim20", 10.0, 1.0),
-    ("crown_symmetric_trim20_mm", "support_symmetric_trim20", 10.0, 1.0), ("crown_source_median_mm", "support_source_median", 20.0, 1.0),
-    ("crown_target_median_mm", "support_target_median", 20.0, 1.0), ("crown_source_overlap_2mm", "support_overlap_2mm", 0.0, 1.0),
-    ("crown_target_coverage_2mm", "support_coverage_2mm", 0.0, 1.0), ("crown_centroid_error_mm", "support_centroid_error", 50.0, 50.0),
+REGION_NAMES = ["context_roi_view", "context_roi_low_profile"]
+MODALITY_NAMES = ["target_toothseg", "toothseg_detected_fraction", "toothseg_crown_fraction"]
+
+ROTATION = [n for n in FEATURE_NAMES if n.startswith("proper_rotation_")]
+OFFSETS = ["center_dx_scaled", "center_dy_scaled", "center_dz_scaled"]
+
+# Feature, the candidate column it is read from, the value that stands for a missing one, the divisor.
+NUMBERS = [
+    ("selection_score", "selection_score_mm", 0.0, 1.0), ("source_fit", "fit_score_mm", 0.0, 1.0), ("initial_fit", "fit_score_initial_mm", 0.0, 1.0),
+    ("fit_median", "fit_median_mm", 0.0, 1.0), ("fit_p90", "fit_p90_mm", 0.0, 1.0), ("overlap_2mm", "overlap_2mm", 0.0, 1.0),
+    ("target_fit", "target_trimmed_score_mm", 0.0, 1.0), ("target_coverage_1mm", "target_coverage_1mm", 0.0, 1.0),
+    ("target_coverage_2mm", "target_coverage_2mm", 0.0, 1.0), ("correspondences_scaled", "correspondences", 0.0, 5000.0),
+    ("prior_angle_scaled", "prior_angle_deg", 0.0, 180.0), ("full_trim_10", "full_trim_10_mm", 10.0, 1.0),
+    ("full_trim_20", "full_trim_20_mm", 10.0, 1.0), ("full_trim_35", "full_trim_35_mm", 10.0, 1.0),
+    ("full_distance_median", "full_distance_median_mm", 20.0, 1.0), ("full_distance_p90", "full_distance_p90_mm", 40.0, 1.0),
+    ("full_overlap_1mm", "full_overlap_1mm", 0.0, 1.0), ("full_overlap_2mm", "full_overlap_2mm", 0.0, 1.0),
+    ("full_overlap_3mm", "full_overlap_3mm", 0.0, 1.0), ("full_target_coverage_2mm", "full_target_coverage_2mm", 0.0, 1.0),
+    ("full_normal_abs_cosine", "full_normal_abs_cosine", 0.0, 1.0), ("crown_source_trim20", "crown_source_trim20_mm", 10.0, 1.0),
+    ("crown_target_trim20", "crown_target_trim20_mm", 10.0, 1.0), ("crown_symmetric_trim20", "crown_symmetric_trim20_mm", 10.0, 1.0),
+    ("crown_source_median", "crown_source_median_mm", 20.0, 1.0), ("crown_target_median", "crown_target_median_mm", 20.0, 1.0),
+    ("crown_source_overlap_2mm", "crown_source_overlap_2mm", 0.0, 1.0), ("crown_target_coverage_2mm", "crown_target_coverage_2mm", 0.0, 1.0),
+    ("crown_centroid_error_scaled", "crown_centroid_error_mm", 50.0, 50.0),
+    ("crown_refinement_initial_trim20", "crown_refinement_initial_trim20_mm", 10.0, 1.0),
+    ("crown_refinement_improvement", "crown_refinement_improvement_mm", 0.0, 1.0),
+    ("crown_refinement_center_motion_scaled", "crown_refinement_center_motion_mm", 0.0, 5.0),
+    ("crown_refinement_angle_scaled", "crown_refinement_angle_deg", 0.0, 10.0), ("crown_refinement_alpha", "crown_refinement_alpha", 0.0, 1.0),
 ]
-REFINED = [
-    ("crown_refinement_initial_trim20_mm", "refinement_initial_trim20", 10.0, 1.0), ("crown_refinement_improvement_mm", "refinement_improvement", 0.0, 1.0),
-    ("crown_refinement_center_motion_mm", "refinement_motion", 0.0, 5.0), ("crown_refinement_angle_deg", "refinement_angle", 0.0, 10.0),
-    ("crown_refinement_alpha", "refinement_alpha", 0.0, 1.0),
-]
-MODES = ("threshold", "crown_probability", "crown_guided_cbct")
+# Availability flag and the column whose presence it states; mode flag and the mode it stands for.
+AVAILABLE = {"full_geometry_available": "full_trim_20_mm", "crown_consistency_available": "crown_symmetric_trim20_mm",
+             "crown_refinement_available": "crown_refinement_improvement_mm"}
+MODES = {"target_crown_mask": "crown_localizer", "target_crown_probability": "crown_probability", "target_crown_guided": "crown_guided_cbct"}
 
 
 class Candidate:
@@ -68,57 +97,47 @@ class Candidate:
 
 
 def base_features(df: DataFrame, jaw: str = "jaw") -> tuple[DataFrame, list[str]]:
-    """The 65 named base columns of a candidate, as one projection."""
+    """The 65 base columns of a candidate under their recorded names, as one projection.
+
+    A candidate column of the same name as a feature is replaced by it.
+    """
     c = Candidate(df)
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
-    out: dict[str, Column] = {}
-    for source, name, default, scale in PLAIN:
-        out[name] = c.number(source, default) / scale
-    out["prior_angle_scaled"] = c.number("prior_angle_deg", 0.0) / 180.0
+    out: dict[str, Column] = {name: c.number(column, default) / scale for name, column, default, scale in NUMBERS}
     for axis, name in enumerate(OFFSETS):
         pair = [F.get(F.col(n), F.lit(axis)) if n in c.have else F.lit(None).cast("double") for n in ("predicted_full_centroid", "jaw_reference_center")]
         out[name] = F.coalesce((pair[0] - pair[1]) / 50.0, F.lit(0.0))
-    out["centre_offset_norm"] = M.norm([out[n] for n in OFFSETS])
-    mode, selection = c.text("mode"), c.text("selection")
-    probability, guided, top = mode == "crown_probability", mode == "crown_guided_cbct", c.text("selection") == "top_voxels"
-    out["threshold_slot"] = F.when(probability, c.number("minimum_probability", 0.0)).otherwise(c.number("threshold", 0.0) / 2000.0)
-    out["log_voxels"] = F.log1p(F.coalesce(c.raw("component_voxels"), c.raw("support_voxels"), F.lit(0.0))) / 12.0
-    out["aggregate_flag"] = F.when(probability, flag(top)).otherwise(flag(F.contains(mode, F.lit("aggregate"))))
-    out["aggregate_slot"] = (
-        F.when(probability, F.when(selection == "top_voxels", c.number("requested_voxels", 0.0) / 4000.0).otherwise(0.0))
-        .when(guided, c.number("guidance_radius_mm", 0.0) / 6.0).otherwise(c.number("aggregate_count", 0.0) / 4.0))
-    out["adaptive_flag"] = flag(F.contains(mode, F.lit("adaptive")))
+    out["center_distance_scaled"] = M.norm([out[n] for n in OFFSETS])
+    mode, top = c.text("mode"), c.text("selection") == "top_voxels"
+    probability, guided = mode == "crown_probability", mode == "crown_guided_cbct"
+    out["threshold_scaled"] = F.when(probability, c.number("minimum_probability", 0.0)).otherwise(c.number("threshold", 0.0) / 2000.0)
+    out["component_log_voxels_scaled"] = F.log1p(F.coalesce(c.raw("component_voxels"), c.raw("support_voxels"), F.lit(0.0))) / 12.0
+    ranked = probability & top
+    out["target_aggregate"] = flag(ranked | F.contains(mode, F.lit("aggregate")))
+    out["aggregate_count_scaled"] = (
+        F.when(ranked, c.number("requested_voxels", 0.0) / 4000.0).when(guided, c.number("guidance_radius_mm", 0.0) / 6.0)
+        .otherwise(c.number("aggregate_count", 0.0) / 4.0))
+    out["target_adaptive"] = flag(F.contains(mode, F.lit("adaptive")))
     assigned = F.when((c.text("axial_assignment") == "") & (mode == "threshold"), F.col(jaw)).otherwise(c.text("axial_assignment"))
-    other = F.when(F.col(jaw) == "upper", "lower").otherwise("upper")
-    out["assigned_own"], out["assigned_other"] = flag(assigned == F.col(jaw)), flag(assigned == other)
+    out["axial_assignment_requested"] = flag((assigned != "") & (assigned == F.col(jaw)))
+    out["axial_assignment_opposite"] = flag((assigned != "") & (assigned != F.col(jaw)))
     variant = c.text("source_variant")
     out["source_fraction"] = K.source_fraction(variant)
     out["source_low"], out["source_high"] = flag(F.contains(variant, F.lit("low"))), flag(F.contains(variant, F.lit("high")))
     out["method_basin"] = flag(F.contains(c.text("method"), F.lit("basin")))
-    out["reflected"] = flag(M.det_sign("transform") < 0)
-    for block, available in ((FULL, "full_available"), (None, None), (SUPPORT, "support_available"), (REFINED, "refinement_available")):
-        if block is None:
-            for name, entry in zip(ROTATION, M.proper_rotation("transform")):
-                out[name] = entry
-            continue
-        for source, name, default, scale in block:
-            out[name] = c.number(source, default) / scale
-        out[available] = flag(c.raw(block[2][0]).isNotNull())
-    for name in MODES:
-        out[f"mode_{name}"] = flag(mode == name)
-    return df.withColumns({f"f_{n}": e.cast("double") for n, e in out.items()}), [f"f_{n}" for n in out]
+    out["chirality_negative"] = flag(M.det_sign("transform") < 0)
+    out |= dict(zip(ROTATION, M.proper_rotation("transform"), strict=True))
+    out |= {name: flag(c.raw(column).isNotNull()) for name, column in AVAILABLE.items()}
+    out |= {name: flag(mode == value) for name, value in MODES.items()}
+    return df.withColumns({n: out[n].cast("double") for n in FEATURE_NAMES}), list(FEATURE_NAMES)
 
 
 def modality_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Three more columns for tooth-wise segmentations, added without touching the others."""
+    """Three more columns for tooth-wise segmentations, 0 for every other mode; the base columns stay."""
     c = Candidate(df)
-    mode = c.text("mode")
-    out = {
-        "f_tooth_mode": F.contains(mode, F.lit("tooth")).cast("double"),
-        "f_detected_teeth": c.number("detected_teeth", 0.0) / 16.0,
-        "f_crown_fraction": c.number("crown_fraction", 0.0),
-    }
-    return df.withColumns(out), list(out)
+    own = c.text("mode") == "toothseg"
+    values = (F.lit(1.0), c.number("detected_teeth", 0.0) / 16.0, c.number("crown_fraction", 0.0))
+    return df.withColumns({n: F.when(own, v).otherwise(0.0) for n, v in zip(MODALITY_NAMES, values, strict=True)}), list(MODALITY_NAMES)
 
 
 def frequency_shares(
@@ -157,7 +176,7 @@ def lowest_fractions(df: DataFrame, keys: Sequence[str], columns: dict[str, Colu
 
 def descriptor_space(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Twelve robustly scaled pose columns, divided by sqrt(12) so distances are per-dimension."""
-    columns = [f"f_{n}" for n in (*OFFSETS, *ROTATION)]
+    columns = [*OFFSETS, *ROTATION]
     out = robust_z(df, keys, {c: f"_d{i}" for i, c in enumerate(columns)})
     names = [f"_d{i}" for i in range(len(columns))]
     return out.withColumns({n: F.col(n) / (len(columns) ** 0.5) for n in names}), names
@@ -183,7 +202,7 @@ def cross_run_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str
     """
     keys = list(keys)
     runs = space.select(*keys, F.col(run).alias("_other")).distinct()
-    asks = join_null_safe(space.select(*keys, run, ident, *dims), runs, keys, "inner").where(F.col(run) != F.col("_other"))
+    asks = join_null_safe(space.select(*keys, run, ident, *dims), runs, keys, "inner").where(~F.col(run).eqNullSafe(F.col("_other")))
     targets = space.select(*keys, F.col(run).alias("_other"), ident, *dims)
     per = nearest(asks, targets, [*keys, "_other"], dims, ident, ident)
     table = per.groupBy(*keys, ident).agg(
@@ -194,57 +213,71 @@ def cross_run_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-CONTEXT = ("f_selection_score", "f_fit_score", "f_target_trimmed_score", "f_full_trim_20", "f_full_median", "f_full_p90", "f_prior_angle_scaled")
+#: Columns that are ranked and scaled within the group, in the order of CONTEXT_NAMES.
+RANKED = ("selection_score", "source_fit", "target_fit", "full_trim_20", "full_distance_median", "full_distance_p90", "prior_angle_scaled")
 
 
 def support_context(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Ranks and scaled values of the support columns (deficits, negated gain)."""
     ranks = {
-        "r_support_symmetric": F.col("f_support_symmetric_trim20"), "r_support_centroid": F.col("f_support_centroid_error"),
-        "r_support_overlap_deficit": 1.0 - F.col("f_support_overlap_2mm"), "r_support_coverage_deficit": 1.0 - F.col("f_support_coverage_2mm"),
-        "r_refinement_gain": -F.col("f_refinement_improvement"), "r_refinement_motion": F.col("f_refinement_motion"),
+        "context_crown_symmetric_rank": F.col("crown_symmetric_trim20"), "context_crown_centroid_rank": F.col("crown_centroid_error_scaled"),
+        "context_crown_overlap_deficit_rank": 1.0 - F.col("crown_source_overlap_2mm"),
+        "context_crown_coverage_deficit_rank": 1.0 - F.col("crown_target_coverage_2mm"),
+        "context_crown_refinement_gain_rank": -F.col("crown_refinement_improvement"),
+        "context_crown_refinement_motion_rank": F.col("crown_refinement_center_motion_scaled"),
     }
-    scaled = {"f_support_symmetric_trim20": "z_support_symmetric", "f_support_centroid_error": "z_support_centroid"}
+    scaled = {"crown_symmetric_trim20": "context_crown_symmetric_robust_z", "crown_centroid_error_scaled": "context_crown_centroid_robust_z"}
     out = robust_z(lowest_fractions(df, keys, ranks), keys, scaled)
-    names = list(ranks)
-    return out, [*names[:4], *scaled.values(), *names[4:]]
+    return out, CONTEXT_NAMES[27:]
+
+
+def run_name(df: DataFrame, run: str = "candidate_run") -> Column:
+    """The run a candidate was found in, else the one it was listed in, else empty."""
+    names = [F.col(n).cast("string") for n in ("source_candidate_run", run) if n in df.columns]
+    return F.coalesce(*names, F.lit(""))
 
 
 def context_features(
     df: DataFrame, keys: Sequence[str], run: str = "candidate_run", jaw: str = "jaw", ident: str = "candidate_index",
     region_view: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """All base and context columns of a candidate table and their names in order (100, or 102)."""
+    """All base and context columns of a candidate table and their names in order (100, or 102).
+
+    Blocks are computed on the key columns and what they need; the wide base columns are joined once, at the end.
+    """
     keys = list(keys)
     rows, base = base_features(df, jaw)
-    rows = cut_lineage(rows)  # the projection is read by every step below
-    rows = lowest_fractions(rows, keys, {f"r_{c[2:]}": F.col(c) for c in CONTEXT})
-    rows = robust_z(rows, keys, {c: f"z_{c[2:]}" for c in CONTEXT})
-    rows = frequency_shares(rows, keys)
     c = Candidate(df)
     rows = rows.withColumns({
-        "opposite_target": K.opposite_target("target", c.text("axial_assignment"), jaw).cast("double"),
-        "is_upper": (F.col(jaw) == "upper").cast("double"),
+        "_run": run_name(df, run), "context_opposite_axial_target": K.opposite_target("target", c.text("axial_assignment"), jaw).cast("double"),
+        "context_jaw_upper": (F.col(jaw) == "upper").cast("double"),
     })
-    space, dims = descriptor_space(rows, keys)
-    slim = cut_lineage(space.select(*keys, ident, run, *dims))
-    rows = join_null_safe(rows, density_features(slim, keys, dims, ident), [*keys, ident], "left")
-    rows = join_null_safe(rows, cross_run_features(slim, keys, dims, run, ident), [*keys, ident], "left")
-    rows, support = support_context(cut_lineage(rows), keys)
-    names = [*base, *[f"r_{c[2:]}" for c in CONTEXT], *[f"z_{c[2:]}" for c in CONTEXT], "target_share", "source_share", "pair_share",
-             "opposite_target", "is_upper", "nearest", "density_010", "density_025", "run_available", "run_nearest", "run_mean",
-             "run_share_010", "run_share_025", *support]
     if region_view:
-        name = F.lower(F.coalesce(F.col(run).cast("string"), F.lit("")))
+        name = F.lower(F.col("_run"))
         path = F.lower(F.coalesce(c.raw("source_volume_path", "string"), c.raw("volume_path", "string"), F.lit("")))
         rows = rows.withColumns({
-            "region_view": (F.contains(name, F.lit("roi")) | F.contains(path, F.lit("roi"))).cast("double"),
-            "low_profile": (F.contains(name, F.lit("lowadaptive")) | F.contains(name, F.lit("roi_low"))).cast("double"),
+            "context_roi_view": (F.contains(name, F.lit("roi")) | F.contains(path, F.lit("roi"))).cast("double"),
+            "context_roi_low_profile": (F.contains(name, F.lit("lowadaptive")) | F.contains(name, F.lit("roi_low"))).cast("double"),
         })
-        names += ["region_view", "low_profile"]
-    if len(set(names)) != len(names):
-        raise ValueError("feature names repeat")
-    return rows, names
+    rows = cut_lineage(rows)  # the projection is read by every block below
+    needed = ["crown_symmetric_trim20", "crown_centroid_error_scaled", "crown_source_overlap_2mm", "crown_target_coverage_2mm",
+              "crown_refinement_improvement", "crown_refinement_center_motion_scaled"]
+    block = rows.select(*keys, ident, "target", "source_variant", *RANKED, *needed)
+    block = lowest_fractions(block, keys, {n: F.col(v) for n, v in zip(CONTEXT_NAMES[:7], RANKED, strict=True)})
+    block = robust_z(block, keys, dict(zip(RANKED, CONTEXT_NAMES[7:14], strict=True)))
+    shares = dict(zip(("target_share", "source_share", "pair_share"), CONTEXT_NAMES[14:17], strict=True))
+    block = frequency_shares(block, keys).withColumnsRenamed(shares)
+    block, support = support_context(block, keys)
+    space, dims = descriptor_space(rows.select(*keys, ident, "_run", *OFFSETS, *ROTATION), keys)
+    slim = cut_lineage(space.select(*keys, ident, "_run", *dims))
+    near = density_features(slim, keys, dims, ident)
+    near = near.withColumnsRenamed(dict(zip(("nearest", "density_010", "density_025"), CONTEXT_NAMES[19:22], strict=True)))
+    across = cross_run_features(slim, keys, dims, "_run", ident)
+    across = across.withColumnsRenamed(dict(zip(("run_available", "run_nearest", "run_mean", "run_share_010", "run_share_025"), CONTEXT_NAMES[22:27], strict=True)))
+    block = block.select(*keys, ident, *CONTEXT_NAMES[:17], *support)
+    for part in (near, across, block):
+        rows = join_null_safe(rows, part, [*keys, ident], "left")
+    return rows.drop("_run"), [*base, *CONTEXT_NAMES, *(REGION_NAMES if region_view else [])]
 
 
 def align_features(df: DataFrame, names: Sequence[str]) -> DataFrame:

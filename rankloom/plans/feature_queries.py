@@ -16,36 +16,84 @@ ID = [*GROUP, "candidate_index"]
 
 
 def rich(spark, folder):
-    """Candidates with matrix, centroids, metadata and a few support columns."""
+    """Candidates with matrix, centroids, metadata of every mode and a few support columns."""
     rows = posed(candidates(spark, folder))
+    fifth = F.pmod("candidate_index", F.lit(5))
+    mode = (F.when(F.contains("target", F.lit("adaptive")), "adaptive_threshold_roi").when(F.contains("target", F.lit("aggregate")), "threshold_aggregate")
+            .when(fifth == 0, "crown_probability").when(fifth == 1, "crown_localizer").when(fifth == 2, "crown_guided_cbct")
+            .when(F.pmod("candidate_index", F.lit(11)) == 3, "toothseg").otherwise("threshold"))
+    fourth = F.pmod("candidate_index", F.lit(4))
     meta = F.struct(
-        F.when(F.contains("target", F.lit("adaptive")), "adaptive_threshold_roi").when(F.contains("target", F.lit("aggregate")), "threshold_aggregate")
-        .when(F.pmod("candidate_index", F.lit(5)) == 0, "crown_probability").otherwise("threshold").alias("mode"),
+        mode.alias("mode"), F.when(fourth == 1, "upper").when(fourth == 2, "both").alias("axial_assignment"),
         F.col("threshold"), (F.col("selection_score_mm") * 100).alias("component_voxels"), F.lit(2).alias("aggregate_count"),
-        F.lit(0.4).alias("minimum_probability"), F.lit("top_voxels").alias("selection"), F.lit(2000).alias("requested_voxels"))
+        F.lit(0.4).alias("minimum_probability"), F.lit("top_voxels").alias("selection"), F.lit(2000).alias("requested_voxels"),
+        F.lit(4.5).alias("guidance_radius_mm"), F.lit(8).alias("detected_teeth"), F.lit(0.25).alias("crown_fraction"))
     return rows.withColumns({
         "target_metadata": meta,
         "predicted_full_centroid": F.array("selection_score_mm", "fit_p90_mm", "fit_score_mm"),
         "jaw_reference_center": F.array(F.lit(25.0), F.lit(4.0), F.lit(5.0)),
         "crown_symmetric_trim20_mm": F.when(F.col("fit_p90_mm") > 2, F.col("fit_p90_mm")),
         "crown_centroid_error_mm": F.when(F.col("fit_p90_mm") > 2, F.col("selection_score_mm")),
+        "full_trim_20_mm": F.when(F.col("fit_p90_mm") > 3, F.col("fit_p90_mm")),
+        "crown_refinement_improvement_mm": F.when(F.col("fit_p90_mm") < 1, F.col("fit_score_mm")),
+        "crown_refinement_center_motion_mm": F.when(F.col("fit_p90_mm") < 4, F.col("fit_p90_mm")),
     })
 
 
-@query("base_features", with_sql(CANDIDATES_SQL, """r AS (SELECT *, CASE WHEN contains(target, 'adaptive') THEN 'adaptive_threshold_roi' WHEN contains(target, 'aggregate') THEN 'threshold_aggregate'
-  WHEN candidate_index % 5 = 0 THEN 'crown_probability' ELSE 'threshold' END AS mode FROM cand)""", body="""
-SELECT case_id, jaw, candidate_index, round((selection_score_mm - 25) / 50, 6) AS f_centre_offset_x,
-  round(CASE WHEN mode = 'crown_probability' THEN 0.4::DOUBLE ELSE threshold / 2000 END, 6) AS f_threshold_slot,
-  round(ln(1 + selection_score_mm * 100) / 12, 6) AS f_log_voxels, (mode = 'crown_probability' OR mode = 'threshold_aggregate')::INTEGER::DOUBLE AS f_aggregate_flag,
-  CASE WHEN mode = 'crown_probability' THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END AS f_aggregate_slot, (mode = 'threshold')::INTEGER::DOUBLE AS f_assigned_own,
-  CASE source_variant WHEN 'full' THEN 1.0::DOUBLE WHEN 'pca_low_0.25' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS f_source_fraction,
-  (chirality < 0)::INTEGER::DOUBLE AS f_reflected, CASE WHEN fit_p90_mm > 2 THEN fit_p90_mm ELSE 10 END AS f_support_symmetric_trim20,
-  (fit_p90_mm > 2)::INTEGER::DOUBLE AS f_support_available, round(cos(radians(turn_deg)), 6) AS f_rotation_00, 10.0::DOUBLE AS f_full_trim_10, 65 AS features FROM r"""))
+RICH_SQL = """r AS (SELECT *, CASE WHEN contains(target, 'adaptive') THEN 'adaptive_threshold_roi' WHEN contains(target, 'aggregate') THEN 'threshold_aggregate'
+  WHEN candidate_index % 5 = 0 THEN 'crown_probability' WHEN candidate_index % 5 = 1 THEN 'crown_localizer' WHEN candidate_index % 5 = 2 THEN 'crown_guided_cbct'
+  WHEN candidate_index % 11 = 3 THEN 'toothseg' ELSE 'threshold' END AS mode,
+  CASE candidate_index % 4 WHEN 1 THEN 'upper' WHEN 2 THEN 'both' ELSE '' END AS assignment FROM cand)"""
+# Base features that the candidates of the given tables do not fill: the value of a missing one.
+ABSENT = {"full_trim_10": 10, "full_trim_35": 10, "full_distance_median": 20, "full_distance_p90": 40, "full_overlap_1mm": 0, "full_overlap_2mm": 0,
+          "full_overlap_3mm": 0, "full_target_coverage_2mm": 0, "full_normal_abs_cosine": 0, "crown_source_trim20": 10, "crown_target_trim20": 10,
+          "crown_source_median": 20, "crown_target_median": 20, "crown_source_overlap_2mm": 0, "crown_target_coverage_2mm": 0,
+          "crown_refinement_initial_trim20": 10, "crown_refinement_angle_scaled": 0, "crown_refinement_alpha": 0}
+BASE_SQL = {
+    "selection_score": "selection_score_mm", "source_fit": "fit_score_mm", "initial_fit": "0", "fit_median": "0", "fit_p90": "fit_p90_mm",
+    "overlap_2mm": "0", "target_fit": "0", "target_coverage_1mm": "0", "target_coverage_2mm": "target_coverage_2mm",
+    "correspondences_scaled": "0", "prior_angle_scaled": "0",
+    "center_dx_scaled": "(selection_score_mm - 25) / 50", "center_dy_scaled": "(fit_p90_mm - 4) / 50", "center_dz_scaled": "(fit_score_mm - 5) / 50",
+    "center_distance_scaled": "sqrt(pow((selection_score_mm - 25) / 50, 2) + pow((fit_p90_mm - 4) / 50, 2) + pow((fit_score_mm - 5) / 50, 2))",
+    "threshold_scaled": "CASE WHEN mode = 'crown_probability' THEN 0.4 ELSE threshold / 2000 END",
+    "component_log_voxels_scaled": "ln(1 + selection_score_mm * 100) / 12",
+    "target_aggregate": "(mode IN ('crown_probability', 'threshold_aggregate'))::INTEGER",
+    "aggregate_count_scaled": "CASE mode WHEN 'crown_probability' THEN 0.5 WHEN 'crown_guided_cbct' THEN 0.75 ELSE 0.5 END",
+    "target_adaptive": "(mode = 'adaptive_threshold_roi')::INTEGER",
+    "axial_assignment_requested": "(assignment = jaw OR assignment = '' AND mode = 'threshold')::INTEGER",
+    "axial_assignment_opposite": "(assignment <> '' AND assignment <> jaw)::INTEGER",
+    "source_fraction": "CASE source_variant WHEN 'full' THEN 1.0 WHEN 'pca_low_0.25' THEN 0.25 ELSE 0.5 END",
+    "source_low": "contains(source_variant, 'low')::INTEGER", "source_high": "contains(source_variant, 'high')::INTEGER", "method_basin": "0",
+    "chirality_negative": "(chirality < 0)::INTEGER", "full_trim_20": "CASE WHEN fit_p90_mm > 3 THEN fit_p90_mm ELSE 10 END",
+    "full_geometry_available": "(fit_p90_mm > 3)::INTEGER",
+    "proper_rotation_00": "cos(radians(turn_deg))", "proper_rotation_01": "-sin(radians(turn_deg))", "proper_rotation_02": "0",
+    "proper_rotation_10": "sin(radians(turn_deg))", "proper_rotation_11": "cos(radians(turn_deg))", "proper_rotation_12": "0",
+    "proper_rotation_20": "0", "proper_rotation_21": "0", "proper_rotation_22": "1",
+    "crown_symmetric_trim20": "CASE WHEN fit_p90_mm > 2 THEN fit_p90_mm ELSE 10 END",
+    "crown_centroid_error_scaled": "CASE WHEN fit_p90_mm > 2 THEN selection_score_mm / 50 ELSE 1 END",
+    "crown_consistency_available": "(fit_p90_mm > 2)::INTEGER",
+    "crown_refinement_improvement": "CASE WHEN fit_p90_mm < 1 THEN fit_score_mm ELSE 0 END",
+    "crown_refinement_center_motion_scaled": "CASE WHEN fit_p90_mm < 4 THEN fit_p90_mm / 5 ELSE 0 END",
+    "crown_refinement_available": "(fit_p90_mm < 1)::INTEGER",
+    "target_crown_mask": "(mode = 'crown_localizer')::INTEGER", "target_crown_probability": "(mode = 'crown_probability')::INTEGER",
+    "target_crown_guided": "(mode = 'crown_guided_cbct')::INTEGER",
+    **{name: str(value) for name, value in ABSENT.items()},
+}
+
+
+@query("base_features", with_sql(CANDIDATES_SQL, RICH_SQL, body="SELECT case_id, jaw, candidate_index, " + ", ".join(
+    f"round(({BASE_SQL[name]})::DOUBLE, 5) AS {name}" for name in X.FEATURE_NAMES) + " FROM r"))
 def base_features(spark, folder):
     rows, names = X.base_features(rich(spark, folder))
-    return rows.select(*ID, *[r6(f"f_{n}").alias(f"f_{n}") for n in ("centre_offset_x", "threshold_slot", "log_voxels", "rotation_00")],
-                       *[f"f_{n}" for n in ("aggregate_flag", "aggregate_slot", "assigned_own", "source_fraction", "reflected", "support_symmetric_trim20",
-                                             "support_available", "full_trim_10")], F.lit(len(names)).alias("features"))
+    return rows.select(*ID, *[rounded(n, 5).alias(n) for n in names])
+
+
+@query("modality_features", with_sql(CANDIDATES_SQL, RICH_SQL, body="""
+SELECT case_id, jaw, candidate_index, (mode = 'toothseg')::INTEGER::DOUBLE AS target_toothseg, CASE WHEN mode = 'toothseg' THEN 0.5::DOUBLE ELSE 0 END AS toothseg_detected_fraction,
+  CASE WHEN mode = 'toothseg' THEN 0.25::DOUBLE ELSE 0 END AS toothseg_crown_fraction FROM r"""))
+def modality_features(spark, folder):
+    rows, names = X.modality_features(rich(spark, folder))
+    return rows.select(*ID, *names)
 
 
 SPACE_SQL = """sp AS (SELECT case_id, jaw, candidate_index, candidate_run, (selection_score_mm - 25) / 50 AS d0, (fit_p90_mm - 4) / 50 AS d1, (fit_score_mm - 5) / 50 AS d2,
@@ -86,13 +134,13 @@ def cross_run_support(spark, folder):
 
 @query("support_context", with_sql(CANDIDATES_SQL, """s AS (SELECT *, CASE WHEN fit_p90_mm > 2 THEN fit_p90_mm ELSE 10 END AS sy, CASE WHEN fit_p90_mm > 2 THEN selection_score_mm / 50 ELSE 1 END AS ce FROM cand),
 q AS (SELECT case_id, jaw, quantile_cont(sy, 0.5) AS m, greatest(quantile_cont(sy, 0.75) - quantile_cont(sy, 0.25), 1e-6::DOUBLE) AS w FROM s GROUP BY ALL)""", body="""
-SELECT case_id, jaw, candidate_index, round(percent_rank() OVER (PARTITION BY case_id, jaw ORDER BY sy), 6) AS r_support_symmetric,
-  round(percent_rank() OVER (PARTITION BY case_id, jaw ORDER BY ce), 6) AS r_support_centroid, round(greatest(least((sy - m) / w, 8), -8), 6) AS z_support_symmetric
+SELECT case_id, jaw, candidate_index, round(percent_rank() OVER (PARTITION BY case_id, jaw ORDER BY sy), 6) AS context_crown_symmetric_rank,
+  round(percent_rank() OVER (PARTITION BY case_id, jaw ORDER BY ce), 6) AS context_crown_centroid_rank, round(greatest(least((sy - m) / w, 8), -8), 6) AS context_crown_symmetric_robust_z
 FROM s JOIN q USING (case_id, jaw)"""))
 def support_context(spark, folder):
     rows, _ = X.base_features(rich(spark, folder))
     out, _ = X.support_context(rows, GROUP)
-    return out.select(*ID, *[r6(c).alias(c) for c in ("r_support_symmetric", "r_support_centroid", "z_support_symmetric")])
+    return out.select(*ID, *[r6(c).alias(c) for c in ("context_crown_symmetric_rank", "context_crown_centroid_rank", "context_crown_symmetric_robust_z")])
 
 
 @query("context_features")
