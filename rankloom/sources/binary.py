@@ -1,154 +1,223 @@
-"""Decoders of binary files: Spark lists and splits the files, a task decodes one file at a time."""
+"""Decoders of binary files: Spark lists and splits the files, a task decodes one file at a time.
+
+Each decoder takes a table (path, content), so files can come from a folder or from anywhere else; what a decoder
+cannot read is left out of its rows and named, with a reason, by ``rejected``.
+"""
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
+import re
+import zlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
+# Sample types of a volume header by code.
+SAMPLES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+HEADER = 352
+BAD = (ValueError, KeyError, IndexError, EOFError, OSError, zlib.error)
+_VERTEX = re.compile(rb"vertex\s+(\S+)\s+(\S+)\s+(\S+)")
+
 
-def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def files_below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     return reader.load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", "content")
 
 
-def read_matrices(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
-    """4x4 matrices of .npy files; a file that does not hold one gives a null matrix."""
+def matrix_of(raw: bytes) -> list[float]:
+    value = np.load(io.BytesIO(raw), allow_pickle=False).astype(float)
+    if value.shape != (4, 4) or not np.isfinite(value).all():
+        raise ValueError("no finite 4x4 matrix")
+    return value.reshape(-1).tolist()
+
+
+def corners_of(raw: bytes) -> np.ndarray:
+    """Corners of all triangles of an STL file, binary or text."""
+    if raw[:5].lower() == b"solid" and b"facet" in raw[:2048]:
+        found = np.array(_VERTEX.findall(raw), dtype="S64").astype(float).reshape(-1, 3)
+        if len(found) % 3:
+            raise ValueError("a triangle is cut off")
+        return found.astype("<f4")
+    count = int(np.frombuffer(raw, "<u4", 1, 80)[0])
+    record = np.dtype([("normal", "<f4", 3), ("corner", "<f4", (3, 3)), ("tag", "<u2")])
+    return np.frombuffer(raw, record, count, 84)["corner"].reshape(-1, 3)
+
+
+def header_of(raw: bytes) -> tuple[tuple[int, ...], np.ndarray, np.dtype, int, float, float]:
+    """Shape, affine, sample type, offset, slope and intercept; of a packed file only the head is unpacked."""
+    head = zlib.decompressobj(31).decompress(raw, HEADER) if raw[:2] == b"\x1f\x8b" else raw[:HEADER]
+    order = "<" if np.frombuffer(head, "<i4", 1, 0)[0] in (0, 348) else ">"
+    dims = np.frombuffer(head, order + "i2", 8, 40)
+    kind = np.dtype(SAMPLES[int(np.frombuffer(head, order + "i2", 1, 70)[0])]).newbyteorder(order)
+    offset = int(np.frombuffer(head, order + "f4", 1, 108)[0])
+    slope, inter = (float(v) for v in np.frombuffer(head, order + "f4", 2, 112))
+    affine = np.eye(4)
+    affine[:3] = np.frombuffer(head, order + "f4", 12, 280).reshape(3, 4)
+    shape = tuple(int(d) for d in dims[1:4])
+    if min(shape) < 1:
+        raise ValueError("empty volume")
+    return shape, affine, kind, offset, slope, inter
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def decode(content):
-        import io
 
-        import numpy as np
-        import pandas as pd
+def volume_of(raw: bytes) -> tuple[np.ndarray, float, float]:
+    """Samples in their own type, slope and intercept."""
+    shape, _, kind, offset, slope, inter = header_of(raw)
+    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    volume = np.frombuffer(data, kind, int(np.prod(shape)), offset).reshape(shape, order="F")
+    return volume, (slope if slope else 1.0), (inter if slope else 0.0)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
+READERS = {"matrix": matrix_of, "mesh": corners_of, "volume": volume_of, "header": header_of, "payload": unpacked}
+
+
+def readable(batches: Iterable[pd.DataFrame], kind: str) -> Iterator[tuple[str, object]]:
+    for batch in batches:
+        for path, raw in zip(batch["path"], batch["content"], strict=True):
+            try:
+                yield path, READERS[kind](bytes(raw))
+            except BAD:
+                continue
 
+
+def rejected(files: DataFrame, kind: str) -> DataFrame:
+    """(path, reason) of the files that the decoder of ``kind`` cannot read."""
+    ship_package(files.sparkSession)
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    READERS[kind](bytes(raw))
+                except BAD as error:
+                    rows.append((path, f"{type(error).__name__}: {error}"[:200]))
+            yield pd.DataFrame(rows, columns=["path", "reason"])
+
+    return files.select("path", "content").mapInPandas(judge, "path string, reason string")
+
+
+def decode_matrices(files: DataFrame) -> DataFrame:
+    """(path, transform); a file that does not hold a finite 4x4 matrix gives a null one."""
+    ship_package(files.sparkSession)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def decode(content: pd.Series) -> pd.Series:
         out = []
         for raw in content:
             try:
-                value = np.load(io.BytesIO(raw), allow_pickle=False).astype(float)
-            except ValueError:
-                value = np.empty(0)
-            out.append(value.reshape(-1).tolist() if value.shape == (4, 4) and np.isfinite(value).all() else None)
+                out.append(matrix_of(bytes(raw)))
+            except BAD:
+                out.append(None)
         return pd.Series(out)
 
-    return _files(spark, root, pattern).select("path", decode("content").alias("transform"))
+    return files.select("path", decode("content").alias("transform"))
 
 
-def read_meshes(spark: SparkSession, root: str, pattern: str = "*.stl") -> DataFrame:
-    """Distinct vertices of binary STL files as rows (path, point_id, x, y, z), in order of first use."""
+def decode_meshes(files: DataFrame) -> DataFrame:
+    """Distinct vertices of STL files as rows (path, point_id, x, y, z), in order of first use."""
+    ship_package(files.sparkSession)
 
     def decode(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                count = int(np.frombuffer(raw, "<u4", 1, 80)[0])
-                record = np.dtype([("normal", "<f4", 3), ("corner", "<f4", (3, 3)), ("tag", "<u2")])
-                corners = np.frombuffer(raw, record, count, 84)["corner"].reshape(-1, 3)
-                _, first = np.unique(corners, axis=0, return_index=True)
-                points = corners[np.sort(first)].astype(float)
-                for start in range(0, len(points), 65536):
-                    part = points[start:start + 65536]
-                    yield pd.DataFrame({"path": path, "point_id": np.arange(start, start + len(part)),
-                                        "x": part[:, 0], "y": part[:, 1], "z": part[:, 2]})
-
-    return _files(spark, root, pattern).select("path", "content").mapInPandas(
-        decode, "path string, point_id long, x double, y double, z double")
+        for path, corners in readable(batches, "mesh"):
+            _, first = np.unique(corners, axis=0, return_index=True)
+            points = corners[np.sort(first)].astype(float)
+            for start in range(0, len(points), 65536):
+                part = points[start:start + 65536]
+                yield pd.DataFrame({"path": path, "point_id": np.arange(start, start + len(part)), "x": part[:, 0], "y": part[:, 1], "z": part[:, 2]})
 
+    return files.select("path", "content").mapInPandas(decode, "path string, point_id long, x double, y double, z double")
 
-def mesh_bounds(points: DataFrame) -> DataFrame:
-    aggs = [f(c).alias(f"{tag}_{c}") for c in "xyz" for f, tag in ((F.min, "low"), (F.max, "high"))]
-    return points.groupBy("path").agg(*aggs)
 
+def decode_volumes(files: DataFrame, minimum: float) -> DataFrame:
+    """Voxels at or above ``minimum`` as rows (path, i, j, k, hu); one slab at a time becomes double."""
+    ship_package(files.sparkSession)
 
-def _nifti(raw: bytes):
-    import gzip
-
-    import numpy as np
+    def decode(batches):
+        for path, (volume, slope, inter) in readable(batches, "volume"):
+            for i in range(volume.shape[0]):
+                slab = volume[i].astype(float) * slope + inter
+                j, k = np.nonzero(slab >= minimum)
+                if len(j):
+                    yield pd.DataFrame({"path": path, "i": np.int32(i), "j": j.astype("int32"), "k": k.astype("int32"), "hu": slab[j, k]})
 
-    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    dims = np.frombuffer(data, "<i2", 8, 40)
-    kinds = {2: "u1", 4: "<i2", 8: "<i4", 16: "<f4", 64: "<f8", 512: "<u2"}
-    code = int(np.frombuffer(data, "<i2", 1, 70)[0])
-    offset = int(np.frombuffer(data, "<f4", 1, 108)[0])
-    slope, inter = np.frombuffer(data, "<f4", 2, 112)
-    affine = np.eye(4)
-    affine[:3] = np.frombuffer(data, "<f4", 12, 280).reshape(3, 4)
-    shape = tuple(int(d) for d in dims[1:4])
-    volume = np.frombuffer(data, kinds[code], int(np.prod(shape)), offset).reshape(shape, order="F").astype(float)
-    return volume * (slope if slope else 1.0) + (inter if slope else 0.0), affine
+    return files.select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, hu double")
 
 
-def read_volumes(spark: SparkSession, root: str, minimum: float, pattern: str = "*.nii*") -> DataFrame:
-    """Voxels at or above ``minimum`` as rows (path, i, j, k, hu); slabs are emitted one at a time."""
-    load = _by_value(_nifti)
+def decode_headers(files: DataFrame) -> DataFrame:
+    """Shape and affine of every volume; no voxel is unpacked."""
+    ship_package(files.sparkSession)
 
     def decode(batches):
-        import numpy as np
-        import pandas as pd
+        for path, (shape, affine, *_) in readable(batches, "header"):
+            yield pd.DataFrame({"path": [path], "nx": [shape[0]], "ny": [shape[1]], "nz": [shape[2]], "affine": [affine.reshape(-1).tolist()]})
 
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                volume, _ = load(raw)
-                for i in range(volume.shape[0]):
-                    j, k = np.nonzero(volume[i] >= minimum)
-                    if len(j):
-                        yield pd.DataFrame({"path": path, "i": np.int32(i), "j": j.astype("int32"), "k": k.astype("int32"), "hu": volume[i][j, k]})
+    return files.select("path", "content").mapInPandas(decode, "path string, nx int, ny int, nz int, affine array<double>")
 
-    return _files(spark, root, pattern).select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, hu double")
 
+def read_matrices(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
+    return decode_matrices(files_below(spark, root, pattern))
 
-def read_volume_headers(spark: SparkSession, root: str, pattern: str = "*.nii*") -> DataFrame:
-    """Shape and affine of every volume."""
-    load = _by_value(_nifti)
 
-    def decode(batches):
-        import pandas as pd
+def read_meshes(spark: SparkSession, root: str, pattern: str = "*.stl") -> DataFrame:
+    return decode_meshes(files_below(spark, root, pattern))
 
-        for batch in batches:
-            for path, raw in zip(batch["path"], batch["content"]):
-                volume, affine = load(raw)
-                nx, ny, nz = volume.shape
-                yield pd.DataFrame({"path": [path], "nx": [nx], "ny": [ny], "nz": [nz], "affine": [affine.reshape(-1).tolist()]})
 
-    return _files(spark, root, pattern).select("path", "content").mapInPandas(
-        decode, "path string, nx int, ny int, nz int, affine array<double>")
+def read_volumes(spark: SparkSession, root: str, minimum: float, pattern: str = "*.nii*") -> DataFrame:
+    return decode_volumes(files_below(spark, root, pattern), minimum)
+
 
+def read_volume_headers(spark: SparkSession, root: str, pattern: str = "*.nii*") -> DataFrame:
+    return decode_headers(files_below(spark, root, pattern))
 
-def _by_value(function):
-    """A helper that travels inside the closure, so workers need not import this package."""
-    import types
 
-    return types.FunctionType(function.__code__, {"__builtins__": __builtins__}, function.__name__)
+def mesh_bounds(points: DataFrame) -> DataFrame:
+    aggs = [f(c).alias(f"{tag}_{c}") for c in "xyz" for f, tag in ((F.min, "low"), (F.max, "high"))]
+    return points.groupBy("path").agg(*aggs)
 
 
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    return _files(spark, root, pattern).select("path", "length", F.sha2("content", 256).alias("digest"))
+    return files_below(spark, root, pattern).select("path", "length", F.sha2("content", 256).alias("digest"))
 
 
-def payload_hashes(spark: SparkSession, root: str, pattern: str = "*", cache: DataFrame | None = None) -> DataFrame:
-    """SHA-256 of the unpacked payload: the same bytes packed twice have one hash.
+def hash_payloads(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """SHA-256 of the unpacked payload of (path, length, mtime, content): the same bytes packed twice have one hash.
 
-    Files whose path, size and time are in the cache are not opened.
+    Files whose path, size and time are in the cache are not opened; their hash comes from it.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).withColumn("mtime", F.unix_micros("modificationTime"))
-    todo = listed if cache is None else listed.join(cache.select("path", "length", "mtime"), ["path", "length", "mtime"], "left_anti")
+    ship_package(files.sparkSession)
+    known = ["path", "length", "mtime"]
+    todo = files if cache is None else files.join(cache.select(*known), known, "left_anti")
 
-    def decode(batches):
-        import gzip
-        import hashlib
-
-        import pandas as pd
-
-        for batch in batches:
-            data = [gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw for raw in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "mtime": batch["mtime"],
-                                "digest": [hashlib.sha256(d).hexdigest() for d in data]})
+    @F.pandas_udf(T.StringType())
+    def digest(content: pd.Series) -> pd.Series:
+        out = []
+        for raw in content:
+            try:
+                out.append(hashlib.sha256(unpacked(bytes(raw))).hexdigest())
+            except BAD:
+                out.append(None)
+        return pd.Series(out, dtype=object)
 
-    fresh = todo.select("path", "length", "mtime", "content").mapInPandas(decode, "path string, length long, mtime long, digest string")
+    fresh = todo.select(*known, digest("content").alias("digest"))
     if cache is None:
         return fresh
-    kept = listed.select("path", "length", "mtime").join(cache, ["path", "length", "mtime"])
-    return fresh.unionByName(kept.select("path", "length", "mtime", "digest"))
+    return fresh.unionByName(files.select(*known).join(cache, known).select(*known, "digest"))
+
+
+def payload_hashes(spark: SparkSession, root: str, pattern: str = "*", cache: DataFrame | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    listed = reader.load(root).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    return hash_payloads(listed.withColumn("mtime", F.unix_micros("modificationTime")), cache)

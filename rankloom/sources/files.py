@@ -38,7 +38,12 @@ def _kind(name: Column, jaw: str) -> Column:
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     """One row per (split, case, jaw) of ``root/split/case/file``; complete = volume and mesh exist."""
-    files = list_files(spark, root).withColumn("_p", F.split("path", "/"))
+    return manifest_of(list_files(spark, root))
+
+
+def manifest_of(files: DataFrame) -> DataFrame:
+    """The manifest of a table of paths."""
+    files = files.withColumn("_p", F.split("path", "/"))
     files = files.select("path", F.element_at("_p", -1).alias("name"), F.element_at("_p", -2).alias("case_id"), F.element_at("_p", -3).alias("split"))
     parts = []
     for jaw in ("upper", "lower"):
@@ -55,7 +60,11 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def discover_cases(spark: SparkSession, root: str, requested: DataFrame | None = None) -> DataFrame:
     """Cases of an arbitrary tree; a case with a volume but without a mesh is an error."""
-    cases = build_manifest(spark, root)
+    return checked_cases(build_manifest(spark, root), requested)
+
+
+def checked_cases(cases: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """The requested cases of a manifest; a case with a volume but without a mesh is an error."""
     if requested is not None:
         cases = cases.join(requested.select("case_id"), "case_id", "left_semi")
     require_empty(cases.where(F.col("cbct_path").isNotNull() & F.col("ios_path").isNull()).select("case_id", "jaw"), "cases without a mesh")
@@ -79,7 +88,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("complete", F.coalesce(F.lower(F.trim("complete")), F.lit("true")) == "true")
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """CSV with a header; with ``order`` the files, taken by name, hold the rows in that order."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.write.mode("overwrite").option("header", "true").partitionBy(*partition_by).csv(path)
 
 
@@ -89,26 +101,40 @@ def _documents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return reader.text(root).withColumn("_p", F.split(F.col("_metadata.file_path"), "/"))
 
 
-def read_candidates(spark: SparkSession, runs: Sequence[str]) -> DataFrame:
-    """``run/<case>_<jaw>/candidates.json`` of several runs, numbered by run order and list position."""
-    parts = []
-    for order, run in enumerate(runs):
-        docs = _documents(spark, run, "candidates.json").withColumn("_g", F.element_at("_p", -2))
-        rows = docs.select(
-            F.regexp_extract("_g", r"^(.+)_(upper|lower)$", 1).alias("case_id"), F.regexp_extract("_g", r"^(.+)_(upper|lower)$", 2).alias("jaw"),
-            F.posexplode(F.from_json("value", T.ArrayType(schemas.CANDIDATE))).alias("_pos", "_row")).where(F.col("jaw") != "")
-        parts.append(rows.select("case_id", "jaw", F.lit(run).alias("candidate_run"), F.lit(order).alias("_run"), "_pos", "_row.*"))
+def _listed(docs: DataFrame, schema: T.DataType) -> tuple[DataFrame, DataFrame]:
+    """Rows (pos, _row) of documents that hold a JSON list, and the paths of those that do not.
+
+    A list that is cut off, or holds anything but objects, is no list: the whole document is rejected.
+    """
+    value = F.col("value")
+    parsed = F.from_json(value, T.ArrayType(schema))
+    whole = parsed.isNotNull() & F.rlike(value, F.lit(r"(?s)^\s*\[.*\]\s*$")) & F.coalesce(F.json_array_length(value) == F.size(parsed), F.lit(False))
+    tagged = docs.withColumn("_rows", F.when(whole, parsed))
+    good = tagged.where(F.col("_rows").isNotNull()).select("*", F.posexplode("_rows").alias("_pos", "_row")).drop("_rows", "value")
+    return good, tagged.where(F.col("_rows").isNull()).select(F.array_join("_p", "/").alias("path"), F.lit("unreadable").alias("reason"))
+
+
+def _over_runs(spark: SparkSession, runs: Sequence[str], pattern: str) -> DataFrame:
+    parts = [_documents(spark, run, pattern).select("value", "_p", F.lit(run).alias("_name"), F.lit(order).alias("_run")) for order, run in enumerate(runs)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    return out
+
+
+def read_candidates(spark: SparkSession, runs: Sequence[str], pattern: str = "candidates.json") -> tuple[DataFrame, DataFrame]:
+    """``run/<case>_<jaw>/candidates.json`` of several runs, numbered by run order and list position; and the unreadable files."""
+    rows, bad = _listed(_over_runs(spark, runs, pattern), schemas.CANDIDATE)
+    group = F.regexp_extract(F.element_at("_p", -2), r"^(?:[^=]*=)?(.+)_(upper|lower)$", 1), F.regexp_extract(F.element_at("_p", -2), r"^.+_(upper|lower)$", 1)
+    out = rows.select(group[0].alias("case_id"), group[1].alias("jaw"), F.col("_name").alias("candidate_run"), "_run", "_pos", "_row.*").where(F.col("jaw") != "")
     out = positions(out, ["case_id", "jaw"], [F.col("_run"), F.col("_pos")], "_n")
     flat = {c: F.flatten(c) for c in ("transform", "transform_initial")}
-    return out.withColumn("candidate_index", F.col("_n") - 1).withColumns(flat).drop("_n", "_run", "_pos")
+    return out.withColumn("candidate_index", F.col("_n") - 1).withColumns(flat).drop("_n", "_run", "_pos"), bad
 
 
-def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, root: str, pattern: str = "result.json") -> tuple[DataFrame, DataFrame]:
     """Result files that hold every section, and the rejected ones with a reason."""
-    docs = _documents(spark, root, "result.json").select(F.element_at("_p", -2).alias("folder"), F.from_json("value", schemas.RESULT).alias("r"))
+    docs = _documents(spark, root, pattern).select(F.regexp_replace(F.element_at("_p", -2), "^[^=]*=", "").alias("folder"), F.from_json("value", schemas.RESULT).alias("r"))
     named = F.concat_ws("_", "r.record.case_id", "r.record.jaw")
     reason = (F.when(F.col("r").isNull(), "unreadable").when(F.col("r.record").isNull() | F.col("r.target").isNull() | F.col("r.registration").isNull()
               | F.col("r.selection").isNull(), "section_missing").when(named != F.col("folder"), "wrong_case"))
@@ -119,15 +145,10 @@ def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return good, tagged.where(F.col("reason").isNotNull()).select("folder", "reason")
 
 
-def read_audits(spark: SparkSession, runs: Sequence[str]) -> DataFrame:
-    parts = []
-    for order, run in enumerate(runs):
-        rows = _documents(spark, run, "audit.json").select(F.posexplode(F.from_json("value", T.ArrayType(schemas.AUDIT))).alias("pos", "_row"))
-        parts.append(rows.select(F.lit(run).alias("run"), F.lit(order).alias("run_order"), "pos", "_row.*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def read_audits(spark: SparkSession, runs: Sequence[str], pattern: str = "audit.json") -> tuple[DataFrame, DataFrame]:
+    """Audit rows of several runs with run order and list position; and the unreadable files."""
+    rows, bad = _listed(_over_runs(spark, runs, pattern), schemas.AUDIT)
+    return rows.select(F.col("_name").alias("run"), F.col("_run").alias("run_order"), F.col("_pos").alias("pos"), "_row.*"), bad
 
 
 def read_hash_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -31,7 +31,11 @@ def test_candidate_scan_numbers_rows_over_runs(spark, tmp_path):
         rows = [{"selection_score_mm": 1, "transform": UNIT, "target_metadata": {"mode": "threshold"}} for _ in range(count)]
         (folder / "candidates.json").write_text(json.dumps(rows))
         runs.append(str(tmp_path / run))
-    got = A.read_candidates(spark, runs).orderBy("candidate_index").collect()
+    (tmp_path / "r2" / "002_lower").mkdir()
+    (tmp_path / "r2" / "002_lower" / "candidates.json").write_text('[{"selection_score_mm": 1}, {"selec')
+    rows, bad = A.read_candidates(spark, runs)
+    got = rows.orderBy("candidate_index").collect()
+    assert [r["path"].rsplit("/", 2)[1] for r in bad.collect()] == ["002_lower"]
     assert [(r["case_id"], r["jaw"], r["candidate_index"], r["candidate_run"]) for r in got] == [
         ("001_x", "upper", 0, runs[0]), ("001_x", "upper", 1, runs[0]), ("001_x", "upper", 2, runs[1])]
     assert got[0]["transform"] == np.eye(4).reshape(-1).tolist() and got[0]["target_metadata"]["mode"] == "threshold"
@@ -89,6 +93,13 @@ def test_binary_files(spark, tmp_path):
     vox = B.read_volumes(spark, str(tmp_path), 6.0).collect()
     assert sorted((r["i"], r["j"], r["k"], r["hu"]) for r in vox) == [(0, 1, 1, 6.0), (1, 1, 1, 7.0)]
     assert B.read_volume_headers(spark, str(tmp_path)).first()["affine"][0] == 2.0
+    (tmp_path / "t.stl").write_text("solid s\n facet normal 0 0 1\n outer loop\n vertex 0 0 0\n vertex 1 0 0\n vertex 0 2.5e0 0\n endloop\n endfacet\nendsolid\n")
+    (tmp_path / "cut.stl").write_bytes(b"\0" * 80 + np.uint32(9).tobytes())
+    (tmp_path / "cut.nii").write_bytes(b"x" * 20)
+    assert B.read_meshes(spark, str(tmp_path), "t.stl").agg({"y": "max"}).first()[0] == 2.5
+    assert B.read_meshes(spark, str(tmp_path)).select("path").distinct().count() == 2
+    assert [r["path"].rsplit("/", 1)[1] for r in B.rejected(B.files_below(spark, str(tmp_path), "*.stl"), "mesh").collect()] == ["cut.stl"]
+    assert B.read_volume_headers(spark, str(tmp_path)).count() == 1 and B.rejected(B.files_below(spark, str(tmp_path), "*.nii*"), "header").count() == 1
 
 
 def test_payload_hash_ignores_packing(spark, tmp_path):
@@ -117,7 +128,9 @@ def test_audits_and_case_discovery(spark, tmp_path):
     for run in ("r1", "r2"):
         (tmp_path / run).mkdir()
         (tmp_path / run / "audit.json").write_text(json.dumps([{"case_id": "001", "jaw": "upper", "method": run, "predicted_tre_mm": 1}]))
-    got = A.read_audits(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")]).orderBy("run_order").collect()
+    rows, bad = A.read_audits(spark, [str(tmp_path / "r1"), str(tmp_path / "r2")])
+    got = rows.orderBy("run_order").collect()
+    assert bad.isEmpty()
     assert [(r["method"], r["predicted_tre_mm"]) for r in got] == [("r1", 1.0), ("r2", 1.0)]
     case = tmp_path / "in" / "V" / "009"
     case.mkdir(parents=True)
@@ -137,3 +150,10 @@ def test_ensemble_is_saved_with_its_feature_order(spark, tmp_path):
     model = L.fit_regression(rows.withColumn("e", F.col("a")), ["b", "a"], "e", 1, trees=2, depth=2)
     L.save_ensemble({"m1": model}, str(tmp_path), ["b", "a"], spark, target="log1p")
     assert L.load_features(spark, str(tmp_path), "m1") == ["b", "a"]
+
+
+def test_ordered_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 7919 % 1000, str(i)) for i in range(1000)], "v int, t string").repartition(8)
+    A.write_csv(rows, str(tmp_path / "o"), order=["v"])
+    read = [line.split(",")[0] for part in sorted((tmp_path / "o").glob("part-*")) for line in part.read_text().splitlines()[1:]]
+    assert [int(v) for v in read] == sorted(int(v) for v in read) and len(read) == 1000
