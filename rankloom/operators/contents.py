@@ -227,7 +227,7 @@ def template_match(
         "transfer_confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.95), 1.0 - F.col("rms_mm") / max_rms)))
 
 
-def propagate_exact(bank: DataFrame, records: DataFrame, record_id: str, rounds: int = 20) -> DataFrame:
+def propagate_exact(bank: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
     """Grow the bank by exact content matches until nothing changes.
 
     Fixed-point rule: in each round every unmatched record that shares a hash
@@ -237,7 +237,9 @@ def propagate_exact(bank: DataFrame, records: DataFrame, record_id: str, rounds:
     pool = bank.select("entry_id", "jaw", "raw_hash", "payload_hash")
     left = records.select(record_id, "jaw", "raw_hash", "payload_hash")
     found = None
-    for generation in range(1, rounds + 1):
+    generation = 0
+    while True:
+        generation += 1
         hits = content_matches(left, pool, record_id, ["entry_id"])
         best = best_match(hits, record_id, [F.col("_k"), F.col("e_entry_id")])
         new = cut_lineage(best.select(record_id, "jaw", F.col("e_entry_id").alias("source_id"), "match_kind", F.lit(generation).alias("generation")))
@@ -245,9 +247,8 @@ def propagate_exact(bank: DataFrame, records: DataFrame, record_id: str, rounds:
             return found if found is not None else new
         found = new if found is None else found.unionByName(new)
         grown = left.join(new.select(record_id, "jaw"), [record_id, "jaw"])
-        pool = pool.unionByName(grown.select(F.col(record_id).alias("entry_id"), "jaw", "raw_hash", "payload_hash"))
-        left = left.join(new.select(record_id, "jaw"), [record_id, "jaw"], "left_anti")
-    raise RuntimeError("propagation did not settle; raise the number of rounds")
+        pool = cut_lineage(pool.unionByName(grown.select(F.col(record_id).alias("entry_id"), "jaw", "raw_hash", "payload_hash")))
+        left = cut_lineage(left.join(new.select(record_id, "jaw"), [record_id, "jaw"], "left_anti"))
 
 
 def transfer_candidates(candidates: DataFrame, links: DataFrame, keys: Sequence[str], truth: Sequence[str], score: str, n: int) -> DataFrame:

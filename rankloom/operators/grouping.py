@@ -3,7 +3,7 @@
 A window over ``partitionBy(keys)`` sends a whole group to one task. That is the
 best plan while groups are small, and a dead end once one group holds a large
 share of the table. Each function here counts the groups first (one narrow
-aggregate) and, when a group is over the limit, cuts the hot groups into ordered
+aggregate) and, when a group is over the limit, cuts that group alone into ordered
 buckets: bucket edges come from a hash sample of the group, rows are numbered
 inside (keys, bucket), and bucket totals give the offset of each bucket. The
 result is exactly that of the plain window.
@@ -16,12 +16,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 HOT_ROWS_SETTING = "spark.rankloom.hotGroupRows"
 HOT_ROWS_DEFAULT = 1_000_000
-BUCKETS = 256
+#: Buckets of a hot group for each time it holds the limit, so that a bucket stays well below it.
+BUCKETS_PER_LIMIT = 4
 SAMPLES_PER_BUCKET = 16
+#: Up to this k Spark limits a group on the map side (spark.sql.optimizer.windowGroupLimitThreshold).
+MAP_SIDE_K = 1000
+SALTS = 64
 
 
 def hot_limit(df: DataFrame, limit: int | None = None) -> int:
@@ -51,35 +56,31 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
 
 
-def _bucketed(df, keys, order, hot):
-    """Add ``_bucket``: 0 for small groups, an ordered slice number for hot ones."""
-    wanted = BUCKETS * SAMPLES_PER_BUCKET
+def _bucketed(df, keys, order, hot, limit):
+    """Add ``_bucket``, an ordered slice number, to the rows of hot groups.
+
+    A group is cut into as many slices as its size asks for. The slice of a row is found in two steps, among every
+    n-th edge and then among the n edges behind it, so many edges cost their square root.
+    """
+    hot = hot.withColumn("_cuts", F.greatest(F.lit(2), F.ceil(F.col("_rows") * BUCKETS_PER_LIMIT / F.lit(float(limit)))).cast("int"))
     sample = (
         join_null_safe(df.select(*keys, F.struct(*order).alias("_at")), hot, keys, "inner")
-        .where(F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / wanted)) == 0)
+        .where(F.pmod(F.xxhash64("_at"), F.ceil(F.col("_rows") / (F.col("_cuts") * SAMPLES_PER_BUCKET))) == 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_sorted"))
+        .agg(F.sort_array(F.collect_list("_at")).alias("_sorted"), F.max("_cuts").alias("_cuts"))
     )
     edges = sample.select(
         *keys,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(BUCKETS - 1)),
-                lambda i: F.get("_sorted", F.floor(i * F.size("_sorted") / BUCKETS).cast("int")),
-            )
-        ).alias("_edges"),
-    )
+        F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.col("_cuts") - 1), lambda i: F.get("_sorted", F.floor(i * F.size("_sorted") / F.col("_cuts")).cast("int")))).alias("_edges"),
+        F.ceil(F.sqrt("_cuts")).cast("int").alias("_step"),
+    ).withColumn("_coarse", F.filter("_edges", lambda edge, i: i % F.col("_step") == F.col("_step") - 1))
     at = F.struct(*order)
-    return (
-        join_null_safe(df, edges, keys, "left")
-        .withColumn(
-            "_bucket",
-            F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(
-                F.size(F.filter("_edges", lambda edge: edge <= at))
-            ),
-        )
-        .drop("_edges")
-    )
+    passed = F.size(F.filter("_coarse", lambda edge: edge <= at)) * F.col("_step")
+    behind = F.size(F.filter(F.slice("_edges", F.col("_passed") + 1, F.col("_step")), lambda edge: edge <= at))
+    tagged = join_null_safe(df, edges, keys, "left").withColumn("_passed", passed)
+    tagged = tagged.withColumn("_bucket", F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(F.col("_passed") + behind))
+    return tagged.drop("_edges", "_coarse", "_step", "_passed")
 
 
 def positions(
@@ -111,17 +112,29 @@ def positions(
         if hot.isEmpty():
             hot = None
     if hot is None:
-        window = W.partitionBy(*keys).orderBy(*order)
-        if weight:
-            number = F.sum(weight).over(window.rowsBetween(W.unboundedPreceding, 0)) - each + 1
-        else:
-            number = F.row_number().over(window)
-        out = df.withColumn(pos, number.cast("long"))
-        if total:
-            out = out.withColumn(total, F.sum(each).over(W.partitionBy(*keys)).cast("long"))
-        return out
+        return _plain_positions(df, keys, order, pos, total, weight, each)
+    if not keys:
+        return _hot_positions(df, keys, order, pos, total, weight, each, hot, limit)
+    # only the hot groups take the longer way
+    cold = _plain_positions(join_null_safe(df, hot, keys, "left_anti"), keys, order, pos, total, weight, each)
+    return cold.unionByName(_hot_positions(join_null_safe(df, hot.select(*keys), keys, "left_semi"), keys, order, pos, total, weight, each, hot, limit))
+
+
+def _plain_positions(df, keys, order, pos, total, weight, each):
+    window = W.partitionBy(*keys).orderBy(*order)
+    if weight:
+        number = F.sum(weight).over(window.rowsBetween(W.unboundedPreceding, 0)) - each + 1
+    else:
+        number = F.row_number().over(window)
+    out = df.withColumn(pos, number.cast("long"))
+    if total:
+        out = out.withColumn(total, F.sum(each).over(W.partitionBy(*keys)).cast("long"))
+    return out
+
+
+def _hot_positions(df, keys, order, pos, total, weight, each, hot, limit):
     parts = [*keys, "_bucket"]
-    tagged = _bucketed(df, keys, order, hot)
+    tagged = _bucketed(df, keys, order, hot, limit)
     sizes = tagged.groupBy(*parts).agg(F.sum(each).cast("long").alias("_size"))
     across = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -293,10 +306,15 @@ def robust_z(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) ->
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, pos: str | None = None) -> DataFrame:
     """First ``k`` rows of each group.
 
-    Spark limits each group on the map side (WindowGroupLimit) before the
-    shuffle, so a hot group contributes at most ``k`` rows per map task.
+    Up to k = 1000 Spark limits each group on the map side (WindowGroupLimit) before the shuffle. Above that the
+    group is first cut to ``k`` rows in each of 64 salted parts, so a hot group is sorted by as many tasks and the
+    last one sees at most 64 k of its rows.
     """
     name = pos or "_pos"
+    if k > MAP_SIDE_K:
+        plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
+        df = df.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_place") <= k).drop("_salt", "_place")
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     out = out.where(F.col(name) <= k)
     return out if pos else out.drop(name)

@@ -1,6 +1,6 @@
 """Nearest neighbours, radius counts and samples over point sets.
 
-Points of a set are put in Z-order and cut into blocks of bounded size; blocks
+Points of a set are put in Z-order over all coordinates and cut into blocks of bounded size; blocks
 nest into coarser blocks by integer division. A search walks pairs of blocks
 from coarse to fine and drops every pair whose boxes prove it cannot matter, so
 only close blocks meet point by point. All steps are equi joins on (set, block)
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.matrix import held
+from ..session import cut_lineage
 from .grouping import hot_limit, join_null_safe, largest_group, pick_quantiles, positions
 
 BLOCK = 64
@@ -24,36 +25,32 @@ FANOUT = 64
 BITS = 10
 
 
-def grid_cells(coords: Sequence[str], low: Sequence[Column], high: Sequence[Column]) -> Column:
-    """The first three coordinates as integer cells of the box of the set."""
-    cells = []
-    for c, lo, hi in zip(coords[:3], low, high):
-        share = (F.col(c) - lo) / F.greatest(hi - lo, F.lit(1e-300))
-        cells.append(F.least(F.floor(share * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("long"))
-    return held(cells)
+def z_order(coords: Sequence[str]) -> tuple[Column, Column]:
+    """Interleaved bits of all coordinates on one common scale.
 
-
-def z_order(cells: Sequence[Column]) -> Column:
-    """Interleaved bits of the cells."""
+    The cells have the size of the widest side of the set's box, halved again and again, so wide dimensions are split
+    before narrow ones, and a dimension that does not vary adds no bits that differ.
+    """
+    bits = max(1, min(BITS, 62 // len(coords)))
+    used = coords[:62]
+    cells = held([F.least(F.floor((F.col(c) - F.col(f"_lo{i}")) / F.col("_wide") * (1 << bits)), F.lit((1 << bits) - 1)).cast("long") for i, c in enumerate(used)])
     code = F.lit(0).cast("long")
-    for bit in range(BITS):
-        for axis, cell in enumerate(cells):
-            one = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long"))
-            code = code + F.shiftleft(one, bit * len(cells) + axis)
-    return code
+    for bit in range(bits):
+        for axis in range(len(used)):
+            one = F.shiftright(F.col("_cells")[axis], bit).bitwiseAND(F.lit(1).cast("long"))
+            code = code + F.shiftleft(one, bit * len(used) + axis)
+    return cells, code
 
 
 def into_blocks(df: DataFrame, sets: Sequence[str], coords: Sequence[str], tie: Sequence[str], bounded: bool = False) -> DataFrame:
     """Add ``_blk``: number of the block of at most BLOCK points along the Z-order."""
-    box = df.groupBy(*sets).agg(
-        *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(coords[:3])],
-        *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(coords[:3])],
-    )
-    n = len(coords[:3])
-    cells = grid_cells(coords, [F.col(f"_lo{i}") for i in range(n)], [F.col(f"_hi{i}") for i in range(n)])
+    ends = [(F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")) for i, c in enumerate(coords)]
+    box = df.groupBy(*sets).agg(*[e for pair in ends for e in pair])
+    wide = F.greatest(*[F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(len(coords))], F.lit(1e-300))
+    box = box.select(*sets, *[f"_lo{i}" for i in range(len(coords))], wide.alias("_wide"))
+    cells, code = z_order(coords)
     out = join_null_safe(df, box, sets, "left").withColumn("_cells", cells)
-    out = out.withColumn("_z", z_order([F.col("_cells")[i] for i in range(n)])).drop("_cells")
-    out = out.drop(*[f"_{e}{i}" for i in range(n) for e in ("lo", "hi")])
+    out = out.withColumn("_z", code).drop("_cells", "_wide", *[f"_lo{i}" for i in range(len(coords))])
     order = [F.col("_z"), *[F.col(c) for c in coords], *[F.col(t) for t in tie]]
     out = positions(out, sets, order, "_p", bounded=bounded).withColumn("_blk", F.floor((F.col("_p") - 1) / BLOCK))
     return out.drop("_z", "_p")
@@ -114,7 +111,11 @@ def _level_pairs(q, t, sets, coords, level, above, weight):
 def _meet(q, t, sets, coords, pairs, carry):
     """Point pairs of the surviving leaf blocks, with the squared distance."""
     leaf = pairs.select(*sets, F.col("qb").alias("_blk"), F.col("tb").alias("_tb"), *carry)
-    left = join_null_safe(q, leaf, [*sets, "_blk"], "inner").drop("_blk").withColumnRenamed("_tb", "_blk")
+    return _against(join_null_safe(q, leaf, [*sets, "_blk"], "inner").drop("_blk").withColumnRenamed("_tb", "_blk"), t, sets, coords)
+
+
+def _against(left, t, sets, coords):
+    """Rows of queries that name a target block, met with the points of that block."""
     right = t.select(*sets, "_blk", *[F.col(c).alias(f"_t_{c}") for c in t.columns if c not in (*sets, "_blk")])
     both = join_null_safe(left, right, [*sets, "_blk"], "inner")
     gap = F.lit(0.0)
@@ -145,17 +146,38 @@ def nearest(
         usable = F.col("_far") if not exclude_self else F.when(F.col("tw") > 1, F.col("_far"))
         best = F.min(usable).over(W.partitionBy(*sets, "qb"))
         pairs = pairs.withColumn("_best", F.coalesce(best, F.lit(float("inf")))).where(F.col("_near") <= F.col("_best"))
-    met = _meet(q, t, sets, coords, pairs, [])
+    pairs = cut_lineage(pairs)
+    # each block of queries first meets the block nearest to it; what lies beyond the bounds found there is dropped
+    order = F.struct("_far", "_near", "tb")
+    first = pairs.groupBy(*sets, "qb").agg(F.min(order).alias("_f")).select(*sets, "qb", F.col("_f.tb").alias("tb"))
+    known = _closest(_meet(q, t, sets, coords, first, []), sets, coords, target_id, exclude_self)
+    known = cut_lineage(known.select(*sets, "_qid", "_n"))
+    bounded_q = join_null_safe(q, known, [*sets, "_qid"], "left")
+    ends = [f"t{e}{i}" for i in range(len(coords)) for e in ("lo", "hi")]
+    rest = pairs.select(*sets, F.col("qb").alias("_blk"), F.col("tb").alias("_tb"), *ends)
+    rest = join_null_safe(rest, first.select(*sets, F.col("qb").alias("_blk"), F.col("tb").alias("_tb")), [*sets, "_blk", "_tb"], "left_anti")
+    asks = join_null_safe(bounded_q, rest, [*sets, "_blk"], "inner")
+    gap = F.lit(0.0)
+    for i, c in enumerate(coords):
+        apart = F.greatest(F.col(f"tlo{i}") - F.col(c), F.col(c) - F.col(f"thi{i}"), F.lit(0.0))
+        gap = gap + apart * apart
+    asks = asks.where(F.col("_n").isNull() | (gap <= F.col("_n._sq"))).drop("_blk", "_n", *ends).withColumnRenamed("_tb", "_blk")
+    more = _closest(_against(asks, t, sets, coords), sets, coords, target_id, exclude_self)
+    out = known.unionByName(more.select(*sets, "_qid", "_n")).groupBy(*sets, "_qid").agg(F.min("_n").alias("_n"))
+    return out.select(
+        *sets, F.col("_qid").alias(query_id), F.col(f"_n._t_{target_id}").alias("nearest_id"),
+        F.sqrt("_n._sq").alias("distance"),
+    )
+
+
+def _closest(met: DataFrame, sets: list[str], coords: list[str], target_id: str, exclude_self: bool) -> DataFrame:
+    """Smallest (squared distance, target) of each query among the pairs that met."""
     if exclude_self:
         same = F.lit(True)
         for c in coords:
             same = same & (F.col(c) == F.col(f"_t_{c}"))
         met = met.where(~same | (F.col("_t__w") > 1))
-    out = met.groupBy(*sets, "_qid").agg(F.min(F.struct("_sq", f"_t_{target_id}")).alias("_n"))
-    return out.select(
-        *sets, F.col("_qid").alias(query_id), F.col(f"_n._t_{target_id}").alias("nearest_id"),
-        F.sqrt("_n._sq").alias("distance"),
-    )
+    return met.groupBy(*sets, "_qid").agg(F.min(F.struct("_sq", f"_t_{target_id}")).alias("_n"))
 
 
 def near_counts(

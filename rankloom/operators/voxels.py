@@ -43,7 +43,7 @@ def threshold_masks(voxels: DataFrame, thresholds: Sequence[float], value: str =
     return kept.where(F.col(value) >= F.col("threshold"))
 
 
-def connected_components(mask: DataFrame, keys: Sequence[str], connectivity: int = 26, rounds: int = 60) -> DataFrame:
+def connected_components(mask: DataFrame, keys: Sequence[str], connectivity: int = 26) -> DataFrame:
     """Label every voxel with the smallest voxel number of its component.
 
     Edges come from joins on forward shifts. Labels shrink by alternating the
@@ -59,7 +59,7 @@ def connected_components(mask: DataFrame, keys: Sequence[str], connectivity: int
     half = shifted.join(nodes.withColumnRenamed("node", "b"), [*keys, *IJK]).select("a", "b")
     edges = cut_lineage(half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
+    while True:
         # smallest label among the neighbours, then hook the root of the own label on it
         around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         seen = labels.join(around, "node", "left").withColumn("_near", F.least("label", F.coalesce("_near", "label")))
@@ -73,8 +73,6 @@ def connected_components(mask: DataFrame, keys: Sequence[str], connectivity: int
         labels = moved.select("node", "label")
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle; raise the number of rounds")
     return nodes.join(labels, "node").select(*keys, *IJK, "label")
 
 

@@ -160,7 +160,7 @@ def template_match(spark, folder):
 @query("teacher_lookup", """
 WITH c AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS own FROM customer),
 p AS (SELECT o_custkey AS case_id, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
-l AS (SELECT o_custkey AS case_id, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+l AS (SELECT o_custkey AS case_id, max(o_totalprice) AS v FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
 SELECT case_id, CASE WHEN own IS NOT NULL THEN 'self' WHEN p.v IS NOT NULL THEN 'pseudo' ELSE 'labelled' END AS teacher_route,
   round(coalesce(own, p.v, l.v), 4) AS value FROM c LEFT JOIN p USING (case_id) LEFT JOIN l USING (case_id) WHERE coalesce(own, p.v, l.v) IS NOT NULL""")
 def teacher_lookup(spark, folder):
@@ -168,11 +168,11 @@ def teacher_lookup(spark, folder):
     rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("case_id"), own.alias("own"))
     orders = table(spark, folder, "orders")
 
-    def side(status):
-        return orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("case_id")).agg(
+    def side(where):
+        return orders.where(where).groupBy(F.col("o_custkey").alias("case_id")).agg(
             F.array(F.max("o_totalprice")).alias("transform"))
 
-    out = C.lookup_teacher(rows, ["case_id"], side("O"), side("F"), "own")
+    out = C.lookup_teacher(rows, ["case_id"], side(F.col("o_orderstatus") == "O"), side(F.col("o_orderstatus") != "O"), "own")
     return out.select("case_id", "teacher_route", rounded(F.col("teacher_transform")[0], 4).alias("value"))
 
 
@@ -215,11 +215,14 @@ def hash_reconciliation(spark, folder):
 
 @query("last_writer_wins", """
 WITH u AS (SELECT o_custkey AS k, max(o_totalprice) AS v, 0 AS part FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL
-  SELECT o_custkey, max(o_totalprice), 1 FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+  SELECT o_custkey, max(o_totalprice), 1 FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 UNION ALL
+  SELECT o_custkey, max(o_totalprice), 2 FROM orders WHERE o_orderstatus NOT IN ('F', 'P') GROUP BY 1)
 SELECT k, arg_max(v, part) AS v FROM u GROUP BY 1""")
 def last_writer_wins(spark, folder):
     orders = table(spark, folder, "orders")
-    parts = [orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v")) for s in ("F", "O")]
+    status = F.col("o_orderstatus")
+    parts = [orders.where(w).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+             for w in (status == "F", status == "P", ~status.isin("F", "P"))]
     return S.last_writer_wins(parts, ["k"])
 
 
@@ -227,7 +230,8 @@ def last_writer_wins(spark, folder):
 SELECT candidate_run, count(*) AS rows, count(CASE WHEN candidate_run <> 'A' THEN turn_deg END) AS with_turn FROM cand GROUP BY 1"""))
 def run_concat(spark, folder):
     rows = candidates(spark, folder)
-    parts = [rows.where(F.col("candidate_run") == r) for r in ("A", "N", "R")]
+    run = F.col("candidate_run")
+    parts = [rows.where(w) for w in (run == "A", run == "N", ~run.isin("A", "N"))]
     parts[0] = parts[0].drop("turn_deg")
     out = S.concat_runs(parts)
     return out.groupBy("candidate_run").agg(F.count(F.lit(1)).alias("rows"), F.count("turn_deg").alias("with_turn"))
