@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Memo, components, row_key, sized_batches, table, union_find
@@ -20,10 +20,13 @@ SIMILARITY = 0.8
 COORDINATES = 64
 #: A pair whose sketches agree in fewer coordinates is no candidate; at 0.8 a pair has fewer with a chance of 1e-4.
 AGREE = 38
-RECALL = 0.9999
+RECALL = 0.99999
 #: Rows of a bucket that are compared in one task; larger ones are split on further coordinates, or into blocks.
 BUCKET = 2048
 DEPTH = 3
+#: A set with so many of its chosen coordinates in buckets that need no split leaves the larger ones; a pair at the
+#: threshold shares none of them with a chance of 0.2 ** 8. Others go on in their smallest larger ones.
+ENOUGH, LARGER = 8, 2
 #: Shingles that one task verifies at once.
 WEIGHT = 1 << 21
 
@@ -99,11 +102,10 @@ def chosen(path: np.ndarray, run: int, similarity: float) -> np.ndarray:
 
 
 def split(batches: Iterable[pa.RecordBatch], runs: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Children (path, rep, sketch) of rows (path, rep, sketch): one for each chosen coordinate, named by its value."""
+    """Children (path, rep, parent, chosen) of rows (path, rep, sketch): one for each of the ``chosen`` coordinates, named by its value."""
     for batch in batches:
         path = batch.column("path").to_numpy().view(np.uint64)
-        drawn = batch.column("sketch")
-        values = np.frombuffer(b"".join(s.as_py() for s in drawn), "<u4").reshape(-1, COORDINATES) if batch.num_rows else np.zeros((0, COORDINATES), "<u4")
+        values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, COORDINATES)
         take = np.zeros((len(path), COORDINATES), bool)
         for run in range(runs):
             take |= chosen(path, run, similarity)
@@ -112,9 +114,9 @@ def split(batches: Iterable[pa.RecordBatch], runs: int, similarity: float) -> It
             child = (path[row] ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15) + values[row, at]
             child ^= child >> np.uint64(33)
             child *= np.uint64(0xFF51AFD7ED558CCD)
-        for i in range(0, len(row), 8192):
-            part = pa.array(row[i:i + 8192])
-            yield pa.record_batch([pa.array(child[i:i + 8192].view(np.int64)), batch.column("rep").take(part), drawn.take(part)], ["path", "rep", "sketch"])
+        part = pa.array(row)
+        yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("rep").take(part), batch.column("path").take(part), pa.array(take.sum(1)[row])],
+                              ["path", "rep", "parent", "chosen"])
 
 
 def bucket_stars(rep: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,30 +175,37 @@ def brute_force(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(sets: DataFrame, similarity: float, recall: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """Candidate edges (a, b) between sets (rep, sketch): stars within the candidate groups of each bucket."""
+    """Candidate edges (a, b) between sets (rep, sketch): stars within the candidate groups of each bucket.
+
+    Buckets of more than ``bucket`` sets come from passages that many texts share, and from large groups of copies. A set
+    whose other coordinates suffice for the recall leaves them; what stays is split again on coordinates chosen by
+    the path, and compared in pairs of blocks if it is still large on the last level.
+    """
     runs = runs_for(recall, similarity)
     now = sets.select(F.lit(0).cast("long").alias("path"), "rep", "sketch")
     edges = None
     for level in range(depth):
-        children = now.mapInArrow(lambda b: split(b, runs, similarity), "path bigint, rep bigint, sketch binary")
-        slim = children.select("path", "rep").distinct()
-        sizes = slim.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        kept = cut_lineage(slim.join(sizes, "path"))
+        children = cut_lineage(now.mapInArrow(lambda b: split(b, runs, similarity), "path bigint, rep bigint, parent bigint, chosen bigint"))
+        sizes = children.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        kept = cut_lineage(children.join(sizes, "path"))
         small, large = kept.filter(F.col("n") <= bucket), kept.filter(F.col("n") > bucket)
-        named = small.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
-        own = named.repartition("path").sortWithinPartitions("path").mapInArrow(brute_force, "a bigint, b bigint").distinct()
+        named = small.select("path", "rep").join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+        own = cut_lineage(named.repartition("path").sortWithinPartitions("path").mapInArrow(brute_force, "a bigint, b bigint").distinct())
         edges = own if edges is None else edges.union(own)
+        of_set = Window.partitionBy("parent", "rep")
+        open_ = large.withColumn("large", F.count("*").over(of_set)).filter(F.col("chosen") - F.col("large") < ENOUGH)
+        open_ = open_.withColumn("place", F.row_number().over(of_set.orderBy("n", "path"))).filter(F.col("place") <= LARGER)
+        large = cut_lineage(open_.select("path", "rep"))
         if large.isEmpty():
             return edges
         now = large.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
         if level == depth - 1:
-            return edges.union(block_edges(now, large, bucket))
+            return edges.union(block_edges(now, large.groupBy("path").agg(F.count("*").alias("n")), bucket))
     return edges
 
 
-def block_edges(rows: DataFrame, large: DataFrame, bucket: int) -> DataFrame:
+def block_edges(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
     """Candidate edges in buckets that further splits don't part: blocks of the bucket, each pair of blocks in a task of its own."""
-    sizes = large.groupBy("path").agg(F.max("n").alias("n"))
     blocks = F.ceil(F.col("n") * 2 / F.lit(bucket)).cast("int")
     dealt = rows.join(sizes, "path").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
