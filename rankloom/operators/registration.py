@@ -1,8 +1,8 @@
 """Many rigid alignments at once: every round is one search, one ranking and one fit for all jobs.
 
 A job is a row (job_id, set_id, transform): the source points of the set are
-moved by the matrix towards the target points of the same set. Jobs of one set
-share its target; nothing is replicated per job but the moved source points.
+moved by the matrix towards the target points of the same set. One-way searches of
+the jobs of a set share its target, indexed once; two-way scores hold a target per job.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..session import cut_lineage
 from .grouping import positions, top_k
 from .poses import interpolate_poses
 from .selection import first_per_key
-from .spatial import fit_score, keep_rows, nearest, principal_axes, rigid_fit, support_metrics, two_way_score
+from .spatial import Targets, fit_score, index_targets, keep_rows, nearest, principal_axes, rigid_fit, support_metrics, two_way_score
 
 ROUND = 9  # scores are compared at nine decimals so that equal poses stay equal
 
@@ -29,7 +29,7 @@ def moved_sources(jobs: DataFrame, source: DataFrame) -> DataFrame:
     return both.select("job_id", "set_id", F.struct("job_id", "point_id").alias("at"), *[a.alias(c) for a, c in zip(at, "xyz")])
 
 
-def distances(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distances(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets) -> tuple[DataFrame, DataFrame]:
     """Moved points and their nearest targets for all jobs."""
     moved = moved_sources(jobs, source)
     return moved, nearest(moved, target, ["set_id"], query_id="at")
@@ -42,7 +42,7 @@ def paired_clouds(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tupl
     return cut_lineage(moved), cut_lineage(goal)
 
 
-def score_jobs(jobs: DataFrame, source: DataFrame, target: DataFrame, trim: float = 0.7) -> DataFrame:
+def score_jobs(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets, trim: float = 0.7) -> DataFrame:
     """One-way fit score of every job (score, median, p90, share within 2)."""
     moved, near = distances(cut_lineage(jobs), source, target)
     rows = near.select(F.col("at.job_id").alias("job_id"), "at", "distance")
@@ -79,19 +79,20 @@ def axes_starts(source: DataFrame, target: DataFrame, parities: Sequence[int] =
 
 def trimmed_alignment(
     jobs: DataFrame, source: DataFrame, target: DataFrame, schedule: Sequence[float] = (8.0, 5.0, 3.0, 2.0, 1.25),
-    rounds: int = 8, trim: float = 0.7, least: int = 32, still: float = 1e-5,
+    rounds: int = 8, trim: float = 0.7, least: int = 32, still: float = 1e-5, index: Targets | None = None,
 ) -> DataFrame:
     """Trimmed iterative alignment of all jobs; adds ``correspondences``.
 
     At each distance level a job stops early with fewer than ``least`` neighbours
     or when its matrix hardly moves; stopped jobs leave the search by a filter.
     """
+    index = index or index_targets(target, ["set_id"])
     state = cut_lineage(jobs.withColumn("correspondences", F.lit(0).cast("long")).withColumn("_on", F.lit(True)))
     for level in schedule:
         state = state.withColumn("_on", F.lit(True))
         for _ in range(rounds):
             active = state.where("_on")
-            moved, near = distances(active, source, target)
+            moved, near = distances(active, source, index)
             valid = near.where(F.col("distance") <= level).withColumn("job_id", F.col("at.job_id"))
             ranked = positions(valid, ["job_id"], [F.round("distance", 12), F.col("at")], "_p", "_n", sized_by=moved)
             kept = ranked.where((F.col("_n") >= least) & (F.col("_p") <= keep_rows(F.col("_n"), trim, least, "floor")))
@@ -142,12 +143,13 @@ def basin_search(
     """Leave a local optimum: perturb, score, refine the best few, keep the best, stage by stage."""
     centre = source.groupBy("set_id").agg(*[F.avg(c).alias(f"s{c}") for c in "xyz"])
     state = jobs.select("job_id", "set_id", "transform")
+    index = index_targets(target, ["set_id"])
     for stage, (turn, shift) in enumerate(stages):
         pool = cut_lineage(perturbed(state, centre, samples, turn, shift, stage, seed))
-        scored = score_jobs(pool, source, target)
+        scored = score_jobs(pool, source, index)
         best = cut_lineage(top_k(scored, ["start_id"], [F.col("score"), F.col("job_id")], refine).select("job_id", "start_id", "set_id", "transform"))
-        refined = trimmed_alignment(best, source, target, schedule, rounds, least=least)
-        final = score_jobs(refined, source, target)
+        refined = trimmed_alignment(best, source, target, schedule, rounds, least=least, index=index)
+        final = score_jobs(refined, source, index)
         chosen = first_per_key(final.select("start_id", "set_id", "transform", "score", "correspondences", "job_id"), ["start_id"], [F.col("score"), F.col("job_id")])
         state = cut_lineage(chosen.select(F.col("start_id").alias("job_id"), "set_id", "transform", "score", "correspondences"))
     return state
@@ -158,17 +160,18 @@ def register(
     schedule: Sequence[float] = (8.0, 5.0, 3.0, 2.0, 1.25), rounds: int = 8, least: int = 32,
 ) -> DataFrame:
     """Ranked alignments of every set: best starts per parity (and given extra starts), refined and rescored."""
+    index = index_targets(target, ["set_id"])
     starts = cut_lineage(axes_starts(source, target, parities))
-    scored = cut_lineage(score_jobs(starts, source, target))
+    scored = cut_lineage(score_jobs(starts, source, index))
     best = top_k(scored, ["set_id", "parity"], [F.col("score"), F.col("job_id")], refine).select(
         "job_id", "set_id", "parity", "transform", F.lit("pca").alias("method"), F.col("score").alias("score_initial"))
     if extra is not None:
-        given = score_jobs(extra, source, target).select(
+        given = score_jobs(extra, source, index).select(
             "job_id", "set_id", "parity", "transform", F.lit("prior").alias("method"), F.col("score").alias("score_initial"))
         best = best.unionByName(given)
     best = cut_lineage(best.withColumn("transform_initial", F.col("transform")))
-    refined = trimmed_alignment(best, source, target, schedule, rounds, least=least)
-    final = cut_lineage(score_jobs(refined, source, target))
+    refined = trimmed_alignment(best, source, target, schedule, rounds, least=least, index=index)
+    final = cut_lineage(score_jobs(refined, source, index))
     return positions(final, ["set_id"], [F.col("score"), F.col("job_id")], "rank")
 
 
@@ -209,9 +212,9 @@ def support_refinement(
     start = cut_lineage(jobs.select("job_id", "set_id", "transform"))
     first = cut_lineage(symmetric(start)).withColumnRenamed("trim20", "initial_trim20")
     centre = source.groupBy("set_id").agg(*[F.avg(c).alias(f"s{c}") for c in "xyz"])
-    parts = []
+    parts, index = [], index_targets(target, ["set_id"])
     for name, schedule, trim in profiles:
-        moved = trimmed_alignment(start, source, target, schedule, rounds, trim, least).select("job_id", F.col("transform").alias("refined"))
+        moved = trimmed_alignment(start, source, target, schedule, rounds, trim, least, index=index).select("job_id", F.col("transform").alias("refined"))
         parts.append(start.join(moved, "job_id").withColumn("profile", F.lit(name)))
     both = parts[0]
     for part in parts[1:]:

@@ -11,6 +11,7 @@ merged first, so many copies of one point cost one point.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,14 +87,27 @@ def levels_for(points: int) -> int:
     return level
 
 
+class Targets(NamedTuple):
+    """Blocked distinct targets, written once, for searches that meet the same targets again and again."""
+
+    blocks: DataFrame
+    largest: int
+
+
+def index_targets(targets: DataFrame, sets: Sequence[str], coords: Sequence[str] = ("x", "y", "z"), target_id: str = "point_id") -> Targets:
+    sets, coords = list(sets), list(coords)
+    largest = largest_group(targets, sets)
+    distinct = merged(targets.select(*sets, target_id, *coords), sets, coords, target_id)
+    return Targets(cut_lineage(into_blocks(distinct, sets, coords, [target_id], bounded=largest <= hot_limit(targets))), largest)
+
+
 def prepared(queries, targets, sets, coords, query_id, target_id):
     """Blocked queries, blocked distinct targets and the number of coarser levels."""
-    sizes = [largest_group(queries, sets), largest_group(targets, sets)]
-    limit = hot_limit(queries)
-    distinct = merged(targets.select(*sets, target_id, *coords), sets, coords, target_id)
-    t = into_blocks(distinct, sets, coords, [target_id], bounded=sizes[1] <= limit)
-    q = into_blocks(queries.select(*sets, F.col(query_id).alias("_qid"), *coords), sets, coords, ["_qid"], bounded=sizes[0] <= limit)
-    return q, t, levels_for(max(sizes))
+    index = targets if isinstance(targets, Targets) else index_targets(targets, sets, coords, target_id)
+    size = largest_group(queries, sets)
+    q = into_blocks(queries.select(*sets, F.col(query_id).alias("_qid"), *coords), sets, coords, ["_qid"], bounded=size <= hot_limit(queries))
+    top = levels_for(max(size, index.largest))
+    return (cut_lineage(q) if top else q), index.blocks, top
 
 
 def _level_pairs(q, t, sets, coords, level, above, weight):
@@ -130,7 +144,7 @@ def merged(df: DataFrame, sets: Sequence[str], coords: Sequence[str], ident: str
 
 
 def nearest(
-    queries: DataFrame, targets: DataFrame, sets: Sequence[str], coords: Sequence[str] = ("x", "y", "z"),
+    queries: DataFrame, targets: DataFrame | Targets, sets: Sequence[str], coords: Sequence[str] = ("x", "y", "z"),
     query_id: str = "point_id", target_id: str = "point_id", exclude_self: bool = False,
 ) -> DataFrame:
     """Exact nearest target of every query of the same set: (sets, query_id, nearest_id, distance).
@@ -146,6 +160,8 @@ def nearest(
         usable = F.col("_far") if not exclude_self else F.when(F.col("tw") > 1, F.col("_far"))
         best = F.min(usable).over(W.partitionBy(*sets, "qb"))
         pairs = pairs.withColumn("_best", F.coalesce(best, F.lit(float("inf")))).where(F.col("_near") <= F.col("_best"))
+    if not top:  # so few blocks that another pass would cost more than it saves
+        return _named(_closest(_meet(q, t, sets, coords, pairs, []), sets, coords, target_id, exclude_self), sets, query_id, target_id)
     pairs = cut_lineage(pairs)
     # each block of queries first meets the block nearest to it; what lies beyond the bounds found there is dropped
     order = F.struct("_far", "_near", "tb")
@@ -163,11 +179,11 @@ def nearest(
         gap = gap + apart * apart
     asks = asks.where(F.col("_n").isNull() | (gap <= F.col("_n._sq"))).drop("_blk", "_n", *ends).withColumnRenamed("_tb", "_blk")
     more = _closest(_against(asks, t, sets, coords), sets, coords, target_id, exclude_self)
-    out = known.unionByName(more.select(*sets, "_qid", "_n")).groupBy(*sets, "_qid").agg(F.min("_n").alias("_n"))
-    return out.select(
-        *sets, F.col("_qid").alias(query_id), F.col(f"_n._t_{target_id}").alias("nearest_id"),
-        F.sqrt("_n._sq").alias("distance"),
-    )
+    return _named(known.unionByName(more.select(*sets, "_qid", "_n")).groupBy(*sets, "_qid").agg(F.min("_n").alias("_n")), sets, query_id, target_id)
+
+
+def _named(out: DataFrame, sets: list[str], query_id: str, target_id: str) -> DataFrame:
+    return out.select(*sets, F.col("_qid").alias(query_id), F.col(f"_n._t_{target_id}").alias("nearest_id"), F.sqrt("_n._sq").alias("distance"))
 
 
 def _closest(met: DataFrame, sets: list[str], coords: list[str], target_id: str, exclude_self: bool) -> DataFrame:

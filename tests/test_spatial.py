@@ -91,3 +91,36 @@ def test_components_equal_flood_fill(spark, connectivity):
     for r in V.connected_components(df, ["case_id"], connectivity).collect():
         groups.setdefault(r["label"], set()).add((r["i"], r["j"], r["k"]))
     assert {frozenset(g) for g in groups.values()} == flood(cells, connectivity)
+
+
+def test_nearest_in_many_dimensions(spark):
+    """More blocks than one level holds, in twelve dimensions with clusters: the bound of each query drops far blocks."""
+    import numpy as np
+
+    from rankloom.operators.spatial import nearest
+
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(40, 12))
+    points = np.concatenate([c + 0.05 * draw.normal(size=(130, 12)) for c in centres])
+    dims = [f"d{i}" for i in range(12)]
+    rows = [("s", i, *map(float, p)) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "set_id string, point_id long, " + ", ".join(f"{d} double" for d in dims))
+    got = {r["point_id"]: r["distance"] for r in nearest(frame, frame, ["set_id"], dims, exclude_self=True).collect()}
+    gaps = ((points ** 2).sum(1)[:, None] - 2 * points @ points.T + (points ** 2).sum(1)[None, :])
+    np.fill_diagonal(gaps, np.inf)
+    assert len(got) == len(points)
+    assert np.allclose([got[i] for i in range(len(points))], np.sqrt(np.maximum(gaps.min(1), 0)), atol=1e-6)
+
+
+def test_long_top_lists_are_salted(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.operators.grouping import top_k
+
+    rows = spark.range(6000).select((F.col("id") % 2).alias("g"), F.pmod(F.col("id") * 7919, F.lit(6007)).alias("v"))
+    for k in (1000, 1500):
+        got = top_k(rows, ["g"], [F.col("v")], k).groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("m")).collect()
+        lists = {g: sorted(r["v"] for r in rows.where(F.col("g") == g).collect())[:k] for g in (0, 1)}
+        assert {r["g"]: (r["n"], r["m"]) for r in got} == {g: (k, v[-1]) for g, v in lists.items()}
+    plan = top_k(rows, ["g"], [F.col("v")], 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= 2
