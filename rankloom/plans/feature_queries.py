@@ -143,7 +143,43 @@ def support_context(spark, folder):
     return out.select(*ID, *[r6(c).alias(c) for c in ("context_crown_symmetric_rank", "context_crown_centroid_rank", "context_crown_symmetric_robust_z")])
 
 
-@query("context_features")
+SUPPORT_RANKS = dict(zip(
+    ("context_crown_symmetric_rank", "context_crown_centroid_rank", "context_crown_overlap_deficit_rank", "context_crown_coverage_deficit_rank",
+     "context_crown_refinement_gain_rank", "context_crown_refinement_motion_rank"),
+    ("crown_symmetric_trim20", "crown_centroid_error_scaled", "1 - crown_source_overlap_2mm", "1 - crown_target_coverage_2mm",
+     "-crown_refinement_improvement", "crown_refinement_center_motion_scaled"), strict=True))
+SCALED = {**dict(zip(X.CONTEXT_NAMES[7:14], X.RANKED, strict=True)),
+          "context_crown_symmetric_robust_z": "crown_symmetric_trim20", "context_crown_centroid_robust_z": "crown_centroid_error_scaled"}
+CONTEXT_SQL = (
+    "b AS (SELECT *, " + ", ".join(f"({BASE_SQL[n]})::DOUBLE AS b_{n}" for n in X.FEATURE_NAMES) + " FROM r)",
+    "rk AS (SELECT case_id, jaw, candidate_index, " + ", ".join(
+        f"percent_rank() OVER (PARTITION BY case_id, jaw ORDER BY {e}) AS {n}" for n, e in {
+            **{n: f"b_{c}" for n, c in zip(X.CONTEXT_NAMES[:7], X.RANKED, strict=True)},
+            **{n: e.replace("crown_", "b_crown_") for n, e in SUPPORT_RANKS.items()}}.items()) + " FROM b)",
+    "qs AS (SELECT case_id, jaw, " + ", ".join(
+        f"quantile_cont(b_{c}, 0.5) AS m_{c}, greatest(quantile_cont(b_{c}, 0.75) - quantile_cont(b_{c}, 0.25), 1e-6::DOUBLE) AS s_{c}" for c in SCALED.values()) + " FROM b GROUP BY ALL)",
+    """sh AS (SELECT case_id, jaw, candidate_index, count(*) OVER (PARTITION BY case_id, jaw)::DOUBLE AS n, count(*) OVER (PARTITION BY case_id, jaw, target) AS nt,
+  count(*) OVER (PARTITION BY case_id, jaw, source_variant) AS ns, count(*) OVER (PARTITION BY case_id, jaw, target, source_variant) AS np FROM b)""",
+    """ds AS (SELECT z.case_id, z.jaw, z.candidate_index, coalesce(min(dist), 0) AS near, count(*) FILTER (WHERE dist <= 0.10) / greatest(count(dist), 1)::DOUBLE AS d10,
+  count(*) FILTER (WHERE dist <= 0.25) / greatest(count(dist), 1)::DOUBLE AS d25 FROM z LEFT JOIN pr ON pr.case_id = z.case_id AND pr.jaw = z.jaw AND pr.candidate_index = z.candidate_index GROUP BY ALL)""",
+    "nr AS (SELECT case_id, jaw, candidate_index, rb, min(dist) AS d FROM pr WHERE ra <> rb GROUP BY ALL)",
+    "g AS (SELECT case_id, jaw, candidate_index, min(d) AS lo, avg(d) AS mean, avg((d <= 0.10)::INTEGER) AS s10, avg((d <= 0.25)::INTEGER) AS s25 FROM nr GROUP BY ALL)",
+)
+CONTEXT_VALUES = {
+    **{n: f"b_{n}" for n in X.FEATURE_NAMES}, **{n: f"rk.{n}" for n in (*X.CONTEXT_NAMES[:7], *SUPPORT_RANKS)},
+    **{n: f"greatest(least((b_{c} - m_{c}) / s_{c}, 8), -8)" for n, c in SCALED.items()},
+    "context_same_target_fraction": "nt / n", "context_same_source_fraction": "ns / n", "context_same_target_source_fraction": "np / n",
+    "context_opposite_axial_target": "(CASE WHEN assignment <> '' THEN assignment IN ('upper', 'lower') AND assignment <> b.jaw ELSE contains(target, 'axial_' || CASE b.jaw WHEN 'upper' THEN 'lower' ELSE 'upper' END || '_') END)::INTEGER",
+    "context_jaw_upper": "(b.jaw = 'upper')::INTEGER", "context_transform_nearest_distance": "near", "context_transform_density_0p10": "d10",
+    "context_transform_density_0p25": "d25", "context_cross_run_available": "(lo IS NOT NULL)::INTEGER", "context_cross_run_nearest_distance": "coalesce(lo, 8)",
+    "context_cross_run_mean_nearest_distance": "coalesce(mean, 8)", "context_cross_run_support_0p10": "coalesce(s10, 0)", "context_cross_run_support_0p25": "coalesce(s25, 0)",
+    "context_roi_view": "0", "context_roi_low_profile": "0",
+}
+
+
+@query("context_features", with_sql(CANDIDATES_SQL, RICH_SQL, SPACE_SQL, *CONTEXT_SQL, body="SELECT b.case_id, b.jaw, b.candidate_index, " + ", ".join(
+    f"round(({e})::DOUBLE, 5) AS {n}" for n, e in CONTEXT_VALUES.items()) + """ FROM b JOIN rk USING (case_id, jaw, candidate_index) JOIN qs USING (case_id, jaw)
+  JOIN sh USING (case_id, jaw, candidate_index) JOIN ds USING (case_id, jaw, candidate_index) LEFT JOIN g USING (case_id, jaw, candidate_index)"""))
 def context_features(spark, folder):
     rows, names = X.context_features(rich(spark, folder), GROUP, region_view=True)
     assert len(names) == 102
