@@ -139,7 +139,17 @@ def top_voxels(spark, folder):
     return out.groupBy("case_id", "label", "requested").agg(F.count(F.lit(1)).alias("voxels"), r6(F.min("p")).alias("lowest"))
 
 
-@query("class_masks")
+CLASS_SQL = """cm AS (SELECT *, row_number() OVER (ORDER BY case_id, label, i, j, k) AS node FROM won WHERE label > 0 AND hu >= 100 AND p >= CASE label WHEN 1 THEN 0.38 ELSE 0.42 END),
+ce AS (SELECT a.node AS a, b.node AS b FROM cm a JOIN cm b ON a.case_id = b.case_id AND a.label = b.label AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+cr AS (SELECT node AS a, node AS b FROM cm UNION SELECT cr.a, ce.b FROM cr JOIN ce ON cr.b = ce.a),
+cl AS (SELECT a AS node, min(b) AS root FROM cr GROUP BY 1),
+cz AS (SELECT case_id, label, root, count(*) AS n FROM cm JOIN cl USING (node) GROUP BY ALL HAVING count(*) >= 3),
+cs AS (SELECT case_id, label, root FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY n DESC, root) AS r FROM cz) WHERE r <= 5)"""
+
+
+@query("class_masks", "WITH RECURSIVE " + with_sql(VOXELS_SQL, WON_SQL, CLASS_SQL, body="""
+SELECT case_id, label AS class, count(*) AS voxels, round(avg(p), 6) AS mean_p, round(abs(ln(count(*) / 2500.0::DOUBLE)), 6) AS rank_score
+FROM cm JOIN cl USING (node) JOIN cs USING (case_id, label, root) GROUP BY ALL""")[5:])
 def class_masks(spark, folder):
     out = V.class_masks(voxels(spark, folder), CASE, {1: 0.38, 2: 0.42}, 3, 5, minimum_hu=100.0)
     return out.groupBy("case_id", "class").agg(
