@@ -14,15 +14,15 @@ from .source_queries import scratch
 
 @query("policy_faults", """
 WITH p AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '0' WHEN 1 THEN (o_custkey * 200)::VARCHAR WHEN 2 THEN '2.5' WHEN 3 THEN 'true' END AS budget,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'true' END AS refine, round(o_totalprice / 100000, 4)::VARCHAR AS alpha, o_totalprice / 100000 AS a FROM orders)
+  CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'true' END AS refine, (o_custkey % 3) || '.' || (o_custkey % 10) AS alpha, o_custkey % 3 > 1 OR o_custkey % 3 = 1 AND o_custkey % 10 > 0 AS beyond FROM orders)
 SELECT o_orderkey, 'budget' AS setting, budget AS value FROM p WHERE budget IS NOT NULL AND NOT (regexp_full_match(budget, '[0-9]+') AND coalesce(TRY_CAST(budget AS BIGINT), 0) BETWEEN 1 AND 10000)
 UNION ALL SELECT o_orderkey, 'refine', refine FROM p WHERE refine NOT IN ('true', 'false')
-UNION ALL SELECT o_orderkey, 'alpha', alpha FROM p WHERE round(a, 4) > 1""")
+UNION ALL SELECT o_orderkey, 'alpha', alpha FROM p WHERE beyond""")
 def policy_faults(spark, folder):
     key = F.col("o_orderkey")
     text = (F.when(key % 5 == 0, "0").when(key % 5 == 1, (F.col("o_custkey") * 200).cast("string")).when(key % 5 == 2, "2.5").when(key % 5 == 3, "true"))
     rows = table(spark, folder, "orders").select("o_orderkey", text.alias("budget"), F.when(key % 3 == 0, "yes").otherwise("true").alias("refine"),
-                                                 F.round(F.col("o_totalprice") / 100000, 4).cast("string").alias("alpha"))
+                                                 F.concat((F.col("o_custkey") % 3).cast("string"), F.lit("."), (F.col("o_custkey") % 10).cast("string")).alias("alpha"))
     return P.policy_faults(rows, ["o_orderkey"], ["budget"], ["refine"], ["alpha"])
 
 

@@ -134,9 +134,9 @@ def read_candidates(spark: SparkSession, runs: Sequence[str], pattern: str = "ca
 
 def read_results(spark: SparkSession, root: str, pattern: str = "result.json") -> tuple[DataFrame, DataFrame]:
     """Result files that hold every section, and the rejected ones with a reason."""
-    docs = _documents(spark, root, pattern).select(F.regexp_replace(F.element_at("_p", -2), "^[^=]*=", "").alias("folder"), F.from_json("value", schemas.RESULT).alias("r"))
+    docs = _documents(spark, root, pattern).select(F.regexp_replace(F.element_at("_p", -2), "^[^=]*=", "").alias("folder"), F.from_json("value", schemas.RESULT).alias("r"), F.get_json_object("value", "$").isNull().alias("_broken"))
     named = F.concat_ws("_", "r.record.case_id", "r.record.jaw")
-    reason = (F.when(F.col("r").isNull(), "unreadable").when(F.col("r.record").isNull() | F.col("r.target").isNull() | F.col("r.registration").isNull()
+    reason = (F.when(F.col("r").isNull() | F.col("_broken"), "unreadable").when(F.col("r.record").isNull() | F.col("r.target").isNull() | F.col("r.registration").isNull()
               | F.col("r.selection").isNull(), "section_missing").when(named != F.col("folder"), "wrong_case"))
     tagged = docs.withColumn("reason", reason)
     good = tagged.where(F.col("reason").isNull()).select(

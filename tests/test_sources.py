@@ -47,9 +47,11 @@ def test_results_are_checked(spark, tmp_path):
     for folder, payload in (("001_upper", good), ("002_upper", good), ("003_upper", {"record": {"case_id": "003", "jaw": "upper"}})):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "result.json").write_text(json.dumps(payload))
+    (tmp_path / "004_upper").mkdir()
+    (tmp_path / "004_upper" / "result.json").write_text('{"record": {"case')
     ok, bad = A.read_results(spark, str(tmp_path))
     assert [r["case_id"] for r in ok.collect()] == ["001"]
-    assert {r["folder"]: r["reason"] for r in bad.collect()} == {"002_upper": "wrong_case", "003_upper": "section_missing"}
+    assert {r["folder"]: r["reason"] for r in bad.collect()} == {"002_upper": "wrong_case", "003_upper": "section_missing", "004_upper": "unreadable"}
 
 
 def test_hash_cache_scores_and_priors(spark, tmp_path):
