@@ -5,78 +5,79 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import sized_batches, table
-from rankloom.llm.packing import arrow_schema, to_batches
+from rankloom.llm.common import Memo, sized_batches, table
 from rankloom.session import cut_lineage, ship_package
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id.
 EXAMPLES = 16_384
-#: A term counts if its chi-square against the label reaches this over the examples, in at least LEAST of them.
-CHI_SQUARE, LEAST = 40.0, 5
+#: Every term of the examples counts. Its weight is the inverse document frequency times its correlation with the label, which doesn't
+#: depend on the number of examples, shrunk as if SHRINK more rows held it; FLOOR is what a term without correlation keeps.
+SHRINK, FLOOR = 5.0, 0.01
 NEIGHBOURS = 15
-BLOCK = 64
+#: Terms of more than 1 / COMMON of the examples are compared by a matrix product for GROUP texts at once, others by postings.
+COMMON, GROUP = 16, 64
 PREFIXES = (4, 5, 6, 8)
 EDGES = b".,;:!?\"'()[]{}|%&$#*+-_<>/\\="
 
 
+def word_terms(word: bytes) -> list[bytes]:
+    """A word without punctuation at its ends, and the first characters of a longer one."""
+    if not word:
+        return []
+    if word.isascii():
+        return [word, *(word[:size] + b"~" for size in PREFIXES if len(word) > size)]
+    letters = word.decode("utf-8", "replace")
+    return [word, *(letters[:size].encode() + b"~" for size in PREFIXES if len(letters) > size)]
+
+
 def term_counts(text: bytes | None) -> Counter:
-    """Words without punctuation at their ends, A-Z in lower case, and the first characters of longer ones."""
+    """Terms of all words of a text, A-Z in lower case."""
     found = Counter()
-    if not text:
-        return found
-    for word, n in Counter(text.lower().split()).items():
-        word = word.strip(EDGES)
-        if not word:
-            continue
-        found[word] += n
-        letters = word.decode("utf-8", "replace")
-        for size in PREFIXES:
-            if len(letters) > size:
-                found[letters[:size].encode() + b"~"] += n
+    for word, n in Counter(text.lower().split()).items() if text else ():
+        for term in word_terms(word.strip(EDGES)):
+            found[term] += n
     return found
 
 
+def term_hash(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
+
+
 class Vocabulary:
-    """Finds the selected terms of a text; a word's terms are looked up once."""
+    """Finds the terms of a text among ``hashes``, ascending; a word's terms are looked up once."""
 
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.of_word: dict[bytes, tuple[int, ...]] = {}
+    def __init__(self, hashes: np.ndarray):
+        self.number = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+        self.of_word = Memo(self.terms, 400_000)
 
     def terms(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.number[t] for t in term_counts(word) if t in self.number)
-        if len(word) <= 64:
-            self.of_word[word] = found
-        return found
+        found = (self.number.get(term_hash(t)) for t in word_terms(word.strip(EDGES)))
+        return tuple(i for i in found if i is not None)
 
-    def counts(self, text: bytes | None) -> Counter:
-        found: Counter = Counter()
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ascending term numbers, counts)."""
         if not text:
-            return found
-        known = self.of_word
-        if len(known) > 400_000:
-            known.clear()
-        for word in text.lower().split():
-            numbers = known.get(word)
-            if numbers is None:
-                numbers = self.terms(word)
-            for i in numbers:
-                found[i] += 1
-        return found
-
-
-def label_terms(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(term, rows, toxic rows) of a partition, and its totals under a null term."""
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.of_word.trim()
+        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, text.lower().split())), np.int64), return_counts=True)
+
+
+def label_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash of a term, rows, toxic rows) of a partition, and its totals under a null term."""
     both, toxic, totals = Counter(), Counter(), [0, 0]
 
     def rows():
-        return to_batches([(t, n, toxic[t]) for t, n in both.items()] + [(None, *totals)], schema)
+        terms = pa.array([*map(term_hash, both), None], pa.int64())
+        return pa.record_batch([terms, pa.array([*both.values(), totals[0]], pa.int64()), pa.array([*(toxic[t] for t in both), totals[1]], pa.int64())], ["term", "n", "toxic"])
 
     for batch in sized_batches(batches, "text"):
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
@@ -86,88 +87,92 @@ def label_terms(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterato
             if label:
                 toxic.update(terms)
                 totals[1] += 1
-        if len(both) > 1_000_000:
-            yield from rows()
+        if len(both) > 500_000:
+            yield rows()
             both, toxic, totals = Counter(), Counter(), [0, 0]
-    yield from rows()
-
-
-@dataclass
-class BlockMaxIndex:
-    """Postings of unit vectors in blocks, with the largest weight of each term in each block.
+    yield rows()
+
+
+class ExampleIndex:
+    """Exact cosines of texts with all examples: a matrix of the common terms and postings of all others."""
+
+    def __init__(self, terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list):
+        """``vectors``: ascending term numbers and weights of each example, with a length of 1."""
+        self.labels, self.ids, self.examples = labels, ids, len(vectors)
+        kind = np.min_scalar_type(len(vectors))
+        owner = np.repeat(np.arange(len(vectors), dtype=kind), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, kind)
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        weight = np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
+        self.row = self.matrix = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "row": None, "matrix": None}
+
+    def prepare(self) -> None:
+        """Fills the matrix, which is not sent to tasks."""
+        if self.matrix is None:
+            common = np.flatnonzero(np.diff(self.first) * COMMON > self.examples)
+            self.row, matrix = np.full(len(self.first) - 1, -1, np.int32), np.zeros((len(common), self.examples), np.float32)
+            self.row[common] = np.arange(len(common))
+            for row, term in enumerate(common.tolist()):
+                own = slice(self.first[term], self.first[term + 1])
+                matrix[row, self.owner[own]] = self.weight[own]
+            self.matrix = matrix
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest of each vector with a cosine above 0, ties to the smaller example."""
+        self.prepare()
+        for at in range(0, len(vectors), GROUP):
+            part = vectors[at:at + GROUP]
+            dense = np.zeros((len(part), len(self.matrix)), np.float32)
+            for i, (terms, weights) in enumerate(part):
+                row = self.row[terms]
+                dense[i, row[row >= 0]] = weights[row >= 0]
+            cosines = dense @ self.matrix
+            for i, (terms, weights) in enumerate(part):
+                rare = self.row[terms] < 0
+                terms, weights = terms[rare], weights[rare]
+                count = self.first[terms + 1] - self.first[terms]
+                place = np.repeat(self.first[terms] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                own = cosines[i] + np.bincount(self.owner[place], self.weight[place] * np.repeat(weights, count), self.examples)
+                if without is not None:
+                    own[without[at + i]] = 0
+                least = np.partition(own, -k)[-k] - 2e-6 if len(own) > k else 0.0
+                found = np.flatnonzero((own > 0) & (own >= least))
+                found = found[np.lexsort((found, -np.round(own[found], 6)))[:k]]
+                yield found, own[found]
 
-    A query takes blocks in the order of their upper bound and stops when no other can reach its k-th score, so
-    the result is exact.
-    """
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_of([(terms, weights)], k, [without] if without >= 0 else None))
 
-    terms: int
-    vectors: list[tuple[np.ndarray, np.ndarray]]  # ascending term numbers, weights
-    labels: np.ndarray
-    ids: list
-    first: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        n = len(self.vectors)
-        owner = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order].astype(np.int64)
-        self.blocks = (n + BLOCK - 1) // BLOCK
-        cell = term * self.blocks + self.owner // BLOCK
-        self.first = np.searchsorted(cell, np.arange(self.terms * self.blocks + 1))
-        self.most = np.zeros(self.terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(self.terms, self.blocks)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller example."""
-        bound = weights @ self.most[terms]
-        found, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] * (1 + 1e-9) < worst:
-                break
-            cell = terms * self.blocks + block
-            start, end = self.first[cell], self.first[cell + 1]
-            own = np.zeros(BLOCK)
-            for a, b, w in zip(start, end, weights, strict=True):
-                if b > a:
-                    own[self.owner[a:b] - block * BLOCK] += w * self.weight[a:b]
-            if block * BLOCK <= without < (block + 1) * BLOCK:
-                own[without - block * BLOCK] = 0
-            keep = np.flatnonzero(own > 0)
-            found, scores = np.append(found, keep + block * BLOCK), np.append(scores, own[keep])
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k]
-                found, scores = found[best], scores[best]
-                worst = scores[-1]
-        order = np.lexsort((found, -scores))
-        return found[order], scores[order]
+BlockMaxIndex = ExampleIndex  # its earlier name
 
 
 @dataclass
 class ToxicityModel:
-    terms: list[bytes]
-    idf: np.ndarray
-    index: BlockMaxIndex | None = None
+    terms: np.ndarray  # ascending hashes
+    weight: np.ndarray  # of each term
+    index: ExampleIndex | None = None
     raw: np.ndarray = field(default_factory=lambda: np.zeros(1))  # ascending votes and their calibrated scores
     calibrated: np.ndarray = field(default_factory=lambda: np.zeros(1))
     without: float = 0.0  # score of texts without a neighbour
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms] if len(terms) else np.zeros(0)
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.weight[terms]
         return terms, weights / np.sqrt((weights ** 2).sum()) if len(terms) else weights
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, list]:
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float | None, list]]:
         """Votes of the nearest, each weighted by the inverse of its cosine distance; their ids are the evidence."""
-        if not len(terms) or self.index is None or not self.index.blocks:
-            return None, []
-        found, cosine = self.index.nearest(terms, weights, NEIGHBOURS, without)
-        if not len(found):
-            return None, []
-        weight = 1 / (1.02 - np.minimum(cosine, 1.0))
-        return float((weight * self.index.labels[found]).sum() / weight.sum()), [self.index.ids[i] for i in found]
+        if self.index is None or not self.index.examples:
+            yield from ((None, []) for _ in vectors)
+            return
+        for found, cosine in self.index.nearest_of(vectors, NEIGHBOURS, without):
+            weight = 1 / (1.02 - np.minimum(cosine, 1.0))
+            yield (float((weight * self.index.labels[found]).sum() / weight.sum()) if len(found) else None), [self.index.ids[i] for i in found]
 
     def score(self, vote: float | None) -> float:
         return self.without if vote is None else float(np.interp(vote, self.raw, self.calibrated))
@@ -189,7 +194,7 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(documents: DataFrame, labels: DataFrame, training: str, examples: int = EXAMPLES) -> ToxicityModel:
-    """Selects terms, counts them over all ``documents`` and indexes the examples.
+    """Weighs all terms of the examples by their frequency over all ``documents`` and by the labels, and indexes the examples.
 
     ``labels`` (doc_id, toxic): of repeated ids the largest label counts; null labels are none. Only ids for which the SQL
     expression ``training`` holds are learnt from, at most ``examples`` of them, which bounds what
@@ -201,65 +206,71 @@ def fit(documents: DataFrame, labels: DataFrame, training: str, examples: int =
     known = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(examples)
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     sample = cut_lineage(rows.join(F.broadcast(known), "doc_id"))
-    schema = arrow_schema(spark, "term binary, n bigint, toxic bigint")
-    counted = sample.select("text", "toxic").mapInArrow(lambda b: label_terms(b, schema), "term binary, n bigint, toxic bigint")
-    counted = cut_lineage(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")))
-    total = counted.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counted = sample.select("text", "toxic").mapInArrow(label_terms, "term bigint, n bigint, toxic bigint")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # terms of the examples
+    term, n, toxic = (c.to_numpy() for c in counted.filter(pc.is_valid(counted["term"])).columns)
+    total = [pc.sum(c).as_py() or 0 for c in counted.filter(pc.is_null(counted["term"])).columns[1:]]
     if not total[0] or not total[1] or total[0] == total[1]:
-        return ToxicityModel([], np.zeros(0), without=float(total[1] / total[0]) if total[0] else 0.0)
-    expected = F.col("n") * (total[1] / total[0])
-    gap = F.col("toxic") - expected
-    selected = counted.filter(F.col("term").isNotNull() & (F.col("n") >= LEAST) & (gap * gap / expected + gap * gap / (F.col("n") - expected) >= CHI_SQUARE))
-    terms = sorted(bytes(r[0]) for r in selected.select("term").collect())
-    shared = spark.sparkContext.broadcast(terms)
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), without=float(total[1] / total[0]) if total[0] else 0.0)
+    order = np.argsort(term)
+    term, n, toxic = term[order].astype(np.int64), n[order].astype(float), toxic[order]
+    rate = total[1] / total[0]
+    correlation = np.abs(toxic - n * rate) / np.sqrt(n * rate * (1 - rate) * total[0])
+    shared = spark.sparkContext.broadcast(term)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, count, n = Vocabulary(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
+        own, count, rows = Vocabulary(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
         for batch in sized_batches(batches, "text"):
             for text in batch.column("text"):
-                count[list(own.counts(text.as_py()))] += 1
-                n += 1
-        count[-1] = n
-        yield pa.record_batch([pa.array(np.arange(len(count))), pa.array(count)], ["term", "n"])
-
-    frequency = np.zeros(len(terms) + 1)
-    for term, n in rows.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
-        frequency[term] = n
-    model = ToxicityModel(terms, np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1)
-    ids, kinds, vectors = [], [], []
+                count[own.counts(text.as_py())[0]] += 1
+                rows += 1
+        count[-1] = rows
+        used = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(used), pa.array(count[used])], ["term", "n"])
+
+    frequency = np.zeros(len(term) + 1)
+    seen = rows.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency[seen["term"].to_numpy()] = seen["n"].to_numpy()
+    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
+    model = ToxicityModel(term, idf * (correlation * n / (n + SHRINK) + FLOOR))
     first = spark.sparkContext.broadcast(model)
 
     def vectors_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(first.value.terms)
-        for batch in sized_batches(batches, "text"):
-            found = [first.value.vector(own.counts(t.as_py())) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array([v[0].tolist() for v in found], pa.list_(pa.int64())),
-                                   pa.array([v[1].tolist() for v in found], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
+        for batch in sized_batches(batches, "text", 4 << 20):
+            found = [first.value.vector(*own.counts(t.as_py())) for t in batch.column("text")]
+            yield pa.record_batch([batch.column("number"), batch.column("doc_id"), batch.column("toxic"), pa.array([v[0] for v in found], pa.list_(pa.int32())),
+                                   pa.array([v[1] for v in found], pa.list_(pa.float32()))], ["number", "doc_id", "toxic", "terms", "weights"])
 
     kind = {f.name: f.dataType.simpleString() for f in sample.schema}
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(vectors_of, f"doc_id {kind['doc_id']}, toxic {kind['toxic']}, terms array<bigint>, weights array<double>")
-    rows_found = sorted(found.collect(), key=lambda r: (max(zip(r[3], r[2], strict=True), default=(0, -1))[1], r[0]))
-    for doc, toxic, own_terms, weights in rows_found:
-        ids.append(doc)
-        kinds.append(int(toxic))
-        vectors.append((np.array(own_terms, np.int64), np.array(weights)))
-    model.index = BlockMaxIndex(len(terms), vectors, np.array(kinds, float), ids)
-    held = spark.sparkContext.broadcast(model)
-    numbers = spark.range(len(ids)).repartition(max(1, len(ids) // 512), "id")
+    numbered = sample.select(F.monotonically_increasing_id().alias("number"), "doc_id", "toxic", "text")
+    found = numbered.mapInArrow(vectors_of, f"number bigint, doc_id {kind['doc_id']}, toxic {kind['toxic']}, terms array<int>, weights array<float>").toArrow()
+    by_id = sorted(zip(found["doc_id"].to_pylist(), found["number"].to_pylist(), range(len(found)), strict=True))
+    ids, numbers, order = ([r[i] for r in by_id] for i in range(3))
+    vectors = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(found["terms"], found["weights"], strict=True)]
+    model.index = ExampleIndex(len(term), [vectors[i] for i in order], found["toxic"].to_numpy().astype(float)[order], ids)
+    del vectors, found, seen
+    numbers = np.array(numbers)
+    place = np.argsort(numbers)
+    held = spark.sparkContext.broadcast((model, numbers[place], place))
 
     def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for batch in batches:
-            at = batch.column("id").to_pylist()
-            votes = [own.vote(*own.index.vectors[i], without=i)[0] for i in at]
-            yield pa.record_batch([pa.array(votes, pa.float64()), pa.array([own.index.labels[i] for i in at], pa.float64())], ["vote", "label"])
-
-    judged = numbers.mapInArrow(left_out, "vote double, label double").collect()  # one row an example
+        own, known_numbers, places = held.value
+        vocabulary = Vocabulary(own.terms)
+        for batch in sized_batches(batches, "text", 4 << 20):
+            at = places[np.searchsorted(known_numbers, batch.column("number").to_numpy())].tolist()
+            given = [own.vector(*vocabulary.counts(t.as_py())) for t in batch.column("text")]
+            votes = [v for v, _ in own.votes(given, at)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), pa.array(own.index.labels[at], pa.float64())], ["vote", "label"])
+
+    judged = numbered.select("number", "text").mapInArrow(left_out, "vote double, label double").collect()  # one row an example
     votes = np.array([r[0] if r[0] is not None else np.nan for r in judged])
     truth = np.array([r[1] for r in judged])
     near = ~np.isnan(votes)
     if near.any():
         model.raw, model.calibrated = isotonic(votes[near], truth[near])
+    for used in (shared, first, held):
+        used.unpersist()
     model.without = float((truth[~near].sum() + total[1] / total[0]) / ((~near).sum() + 1))
     return model
 
@@ -277,15 +288,15 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
             memory["vocabulary"], memory["seen"] = Vocabulary(own.terms), {}
         vocabulary, seen = memory["vocabulary"], memory["seen"]
         out = []
-        for text in texts:
-            counts = vocabulary.counts(text.as_py())
-            key = tuple(sorted(counts.items()))
-            if key not in seen:
-                if len(seen) > 50_000:
-                    seen.clear()
-                vote, evidence = own.vote(*own.vector(counts))
+        for start in range(0, len(texts), GROUP):
+            counted = [vocabulary.counts(text.as_py()) for text in texts[start:start + GROUP]]
+            keys = [xxhash.xxh128_digest(terms.tobytes() + n.tobytes()) for terms, n in counted]
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {key: own.vector(*pair) for key, pair in zip(keys, counted, strict=True) if key not in seen}
+            for key, (vote, evidence) in zip(new, own.votes([*new.values()]), strict=True):
                 seen[key] = {"score": own.score(vote), "evidence": evidence}
-            out.append(seen[key])
+            out += [seen[key] for key in keys]
         return pa.array(out, kind)
 
     return score(text.cast("binary"))
@@ -294,9 +305,9 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
 def score_toxicity(documents: DataFrame, labels: DataFrame, training: str, text: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """Adds score (0 to 1), predicted (1 from 0.5) and evidence to every row.
 
-    Each text is compared with the labelled examples by cosine over TF-IDF of the terms that the labels
-    depend on; votes of the 15 nearest are calibrated by isotonic regression on left-out examples. Texts without such terms,
-    null and empty ones among them, get the rate of examples without a neighbour. Without labels of both kinds all texts get
+    Each text is compared with the labelled examples by cosine over TF-IDF of all terms of the examples, weighed by
+    how much the labels depend on them; votes of the 15 nearest are calibrated by isotonic regression on left-out examples. Texts without
+    such terms, null and empty ones among them, get the rate of examples without a neighbour. Without labels of both kinds all texts get
     the share of toxic labels (0 if none). Repeated rows score alike; an empty table gives no rows; other columns stay, those of the
     three names are replaced. Documents are not shuffled: each pass is a scan.
     """

@@ -108,6 +108,19 @@ def test_held_out_accuracy(spark):
     assert np.mean(pairs) > 0.75
 
 
+def test_few_examples(spark, folder):
+    """Labelled toxic rows are rejected on the smallest tables, and a copy of any example finds it."""
+    documents, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    training = f"NOT {toxicity.HELD_OUT}"
+    toxic = {r.doc_id for r in labels.filter(training).filter("toxic = 1").collect()}
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(documents, labels, training).collect()}
+    assert toxic and all(scored[i].predicted == 1 for i in toxic)
+    assert sum(r.predicted for r in scored.values()) < 0.3 * len(scored)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in labels.filter(training).collect():
+        assert any(texts[i].split() == texts[r.doc_id].split() for i in scored[r.doc_id].evidence)
+
+
 def test_odd_rows(spark, odd):
     found = personal_data.find_personal_data(odd, redact=True)
     by = {r.doc_id: r for r in found.collect()}
