@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Memo, components, row_key, sized_batches, table, union_find
@@ -21,12 +21,10 @@ COORDINATES = 64
 #: A pair whose sketches agree in fewer coordinates is no candidate; at 0.8 a pair has fewer with a chance of 1e-4.
 AGREE = 38
 RECALL = 0.99999
-#: Rows of a bucket that are compared in one task; larger ones are split on further coordinates, or into blocks.
-BUCKET = 2048
+#: Rows of a bucket that are compared in one task; buckets of up to DIRECT times as many are compared in pairs of blocks, larger ones
+#: are split on further coordinates first, DEPTH levels at most.
+BUCKET, DIRECT = 2048, 8
 DEPTH = 3
-#: A set with so many of its chosen coordinates in buckets that need no split leaves the larger ones; a pair at the
-#: threshold shares none of them with a chance of 0.2 ** 8. Others go on in their smallest larger ones.
-ENOUGH, LARGER = 8, 2
 #: Shingles that one task verifies at once.
 WEIGHT = 1 << 21
 
@@ -82,57 +80,49 @@ def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["key", "size", "set_hash", "sketch"])
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """Runs until a pair at the threshold is missed by all with a chance of at most 1 - recall.
-
-    A run chooses each coordinate with chance 1 / (similarity * coordinates), so such a pair shares one chosen
-    coordinate on average and is missed with a chance of about 1 / e.
-    """
-    return math.ceil(math.log(1 - recall) / math.log(1 - 1 / (similarity * COORDINATES)) / (similarity * COORDINATES))
+def coordinates_for(recall: float, similarity: float, depth: int) -> int:
+    """Coordinates to split on, so that a pair at the threshold agrees in none of them on some level with a chance of at most 1 - recall."""
+    return min(COORDINATES, math.ceil(math.log((1 - recall) / depth) / math.log(max(1 - similarity, 1e-9))))
 
 
-def chosen(path: np.ndarray, run: int, similarity: float) -> np.ndarray:
-    """For each path, which coordinates a run splits on."""
+def chosen(path: np.ndarray, take: int) -> np.ndarray:
+    """For each path, the coordinates to split on; they depend on nothing else, so both sets of a pair choose the same."""
     with np.errstate(over="ignore"):
-        mixed = path[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(COORDINATES, dtype=np.uint64) * np.uint64(2654435761) + np.uint64(run * 977 + 1))[None, :]
+        mixed = path[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(COORDINATES, dtype=np.uint64)[None, :] * np.uint64(2654435761) + np.uint64(1)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-    return mixed < np.uint64(int((1 << 64) / (similarity * COORDINATES)))
+    return np.argsort(mixed, 1, kind="stable")[:, :take]
 
 
-def split(batches: Iterable[pa.RecordBatch], runs: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Children (path, rep, parent, chosen) of rows (path, rep, sketch): one for each of the ``chosen`` coordinates, named by its value."""
+def split(batches: Iterable[pa.RecordBatch], take: int) -> Iterator[pa.RecordBatch]:
+    """Children (path, rep) of rows (path, rep, sketch): one for each chosen coordinate, named by its value."""
     for batch in batches:
         path = batch.column("path").to_numpy().view(np.uint64)
         values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        take = np.zeros((len(path), COORDINATES), bool)
-        for run in range(runs):
-            take |= chosen(path, run, similarity)
-        row, at = np.nonzero(take)
+        at = chosen(path, take).ravel()
+        row = np.repeat(np.arange(len(path)), take)
         with np.errstate(over="ignore"):
             child = (path[row] ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15) + values[row, at]
             child ^= child >> np.uint64(33)
             child *= np.uint64(0xFF51AFD7ED558CCD)
-        part = pa.array(row)
-        yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("rep").take(part), batch.column("path").take(part), pa.array(take.sum(1)[row])],
-                              ["path", "rep", "parent", "chosen"])
+        yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(row))], ["path", "rep"])
 
 
 def bucket_stars(rep: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compares all sketches of a bucket; returns each member of a candidate group with the group's smallest one."""
+    """Each member of a candidate group of a bucket with the group's smallest one; members of one group aren't compared again."""
     order = np.argsort(rep)
     rep, values = rep[order], values[order]
-    left, right = [], []
-    if len(rep) == 2:
-        if (values[0] == values[1]).sum() >= AGREE:
-            return rep[1:], rep[:1]
-        return rep[:0], rep[:0]
-    for i in range(len(rep) - 1):
-        near = np.flatnonzero((values[i + 1:] == values[i]).sum(1) >= AGREE) + i + 1
-        left.append(np.full(len(near), i))
-        right.append(near)
-    root = union_find(len(rep), np.concatenate(left), np.concatenate(right))
+    root, rest, left = np.arange(len(rep)), np.arange(len(rep)), values
+    while len(rest) > 1:
+        first, open_ = rest[0], [rest[0]]
+        rest, left = rest[1:], left[1:]
+        while open_ and len(rest):
+            near = (left == values[open_.pop()]).sum(1) >= AGREE
+            if near.any():
+                open_ += rest[near].tolist()
+                root[rest[near]] = first
+                rest, left = rest[~near], left[~near]
     joined = np.flatnonzero(root != np.arange(len(rep)))
     return rep[joined], rep[root[joined]]
 
@@ -177,35 +167,37 @@ def brute_force(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(sets: DataFrame, similarity: float, recall: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """Candidate edges (a, b) between sets (rep, sketch): stars within the candidate groups of each bucket.
 
-    Buckets of more than ``bucket`` sets come from passages that many texts share, and from large groups of copies. A set
-    whose other coordinates suffice for the recall leaves them; what stays is split again on coordinates chosen by
-    the path, and compared in pairs of blocks if it is still large on the last level.
+    Buckets of more than ``bucket`` sets come from passages that many texts share, and from large groups of copies. They are
+    compared in pairs of blocks or, beyond DIRECT times the limit, split again on coordinates chosen by the path, and
+    compared in pairs of blocks on the last level. No set leaves a bucket, so a pair is met if it agrees in one
+    of the chosen coordinates, whatever the sizes of the buckets.
     """
-    runs = runs_for(recall, similarity)
+    take = coordinates_for(recall, similarity, depth)
     now = sets.select(F.lit(0).cast("long").alias("path"), "rep", "sketch")
     edges = None
     for level in range(depth):
-        children = cut_lineage(now.mapInArrow(lambda b: split(b, runs, similarity), "path bigint, rep bigint, parent bigint, chosen bigint"))
+        children = cut_lineage(now.mapInArrow(lambda b: split(b, take), "path bigint, rep bigint"))
         sizes = children.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         kept = cut_lineage(children.join(sizes, "path"))
-        small, large = kept.filter(F.col("n") <= bucket), kept.filter(F.col("n") > bucket)
-        named = small.select("path", "rep").join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+        most = bucket * DIRECT if level < depth - 1 else None
+        named = kept.filter(F.col("n") <= bucket).select("path", "rep").join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
         own = cut_lineage(named.repartition("path").sortWithinPartitions("path").mapInArrow(brute_force, "a bigint, b bigint").distinct())
         edges = own if edges is None else edges.union(own)
-        of_set = Window.partitionBy("parent", "rep")
-        open_ = large.withColumn("large", F.count("*").over(of_set)).filter(F.col("chosen") - F.col("large") < ENOUGH)
-        open_ = open_.withColumn("place", F.row_number().over(of_set.orderBy("n", "path"))).filter(F.col("place") <= LARGER)
-        large = cut_lineage(open_.select("path", "rep"))
-        if large.isEmpty():
-            return edges
-        now = large.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
-        if level == depth - 1:
-            return edges.union(block_edges(now, large.groupBy("path").agg(F.count("*").alias("n")), bucket))
+        large = kept.filter(F.col("n") > bucket)
+        direct = large.filter(F.col("n") <= most) if most else large
+        if not direct.isEmpty():
+            rows = direct.select("path", "rep").join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+            edges = edges.union(cut_lineage(block_edges(rows, direct.groupBy("path").agg(F.count("*").alias("n")), bucket)))
+        if not most:
+            break
+        now = large.filter(F.col("n") > most).select("path", "rep").join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+        if now.isEmpty():
+            break
     return edges
 
 
 def block_edges(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
-    """Candidate edges in buckets that further splits don't part: blocks of the bucket, each pair of blocks in a task of its own."""
+    """Candidate edges in buckets that one task can't hold: blocks of the bucket, each pair of blocks in a task of its own."""
     blocks = F.ceil(F.col("n") * 2 / F.lit(bucket)).cast("int")
     dealt = rows.join(sizes, "path").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -283,9 +275,9 @@ def near_copies(documents: DataFrame, text: str = "text", id_column: str = "doc_
     ``kept`` marks one row a class, the first by (id, key). ``key`` is the 64-bit hash of (id, text).
 
     Rows with equal sets are merged first and counted. The chosen-path join then splits the sets recursively on sampled
-    coordinates of their sketches, in so many runs that a pair at the threshold is met with chance ``recall``; buckets of up
-    to ``bucket`` sets are compared by brute force, larger ones split again and, if copies don't part, compared in
-    pairs of blocks. Candidate groups are verified on the whole shingle sets, so no link is false; neither pairs of
+    coordinates of their sketches, so many that a pair at the threshold is met with chance ``recall``; buckets of up
+    to ``bucket`` sets are compared in one task, larger ones in pairs of blocks, and very large ones are split again
+    before. Candidate groups are verified on the whole shingle sets, so no link is false; neither pairs of
     copies nor pairs of a group are written anywhere.
 
     Null and empty texts have no shingles and link with nothing. A text of fewer than five words is one shingle. Repeated rows

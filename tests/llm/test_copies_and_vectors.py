@@ -67,6 +67,20 @@ def test_large_groups(spark, bucket, weight):
     check_copies(near_copies.near_copies(frame, bucket=bucket, weight=weight).collect(), texts)
 
 
+def test_pairs_with_only_large_buckets(spark):
+    """Texts of one common passage and one of two common endings; the endings' buckets are smaller than the passage's."""
+    texts = {}
+    for f in range(8):
+        passage, ends = [f"p{f}_{i}" for i in range(110)], [[f"e{f}_{e}_{i}" for i in range(11)] for e in range(2)]
+        for e in range(2):
+            texts[1000 * f + e] = " ".join(passage + ends[e])
+            texts |= {1000 * f + 100 * (e + 1) + i: " ".join(ends[e] + [f"s{f}_{e}_{i}_{j}" for j in range(4)]) for i in range(14)}
+        texts |= {1000 * f + 300 + i: " ".join(passage + [f"t{f}_{i}_{j}" for j in range(50)]) for i in range(60)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in near_copies.near_copies(frame, bucket=8).collect()}
+    assert [(found[1000 * f + e].n_links, found[1000 * f + e].class_id) for f in range(8) for e in range(2)] == [(1, 1000 * f) for f in range(8) for _ in range(2)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 900)] + [(950, 950), (1000, 1001)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
