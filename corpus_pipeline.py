@@ -21,11 +21,16 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; of rows equal in id and text one stays."""
-    kept = near_copies.near_copies(docs).filter("kept").select("key").distinct()
-    found = docs.withColumn("key", row_key("doc_id", "text")).join(kept, "key")
+    """The document with the smallest id of each class of near copies; of rows equal in id and text one stays.
+
+    Texts without a word, null ones among them, are copies of nothing: all their rows stay.
+    """
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    worded = docs.filter(has_words)
+    kept = near_copies.near_copies(worded).filter("kept").select("key").distinct()
+    found = worded.withColumn("key", row_key("doc_id", "text")).join(kept, "key")
     first = F.row_number().over(Window.partitionBy("key").orderBy("source", "lang"))
-    return found.withColumn("first", first).filter("first = 1").select(*docs.columns)
+    return found.withColumn("first", first).filter("first = 1").select(*docs.columns).union(docs.filter(~has_words))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

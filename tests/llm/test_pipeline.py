@@ -60,3 +60,10 @@ def test_odd_rows(spark, odd, folder):
         assert found.count() >= 0
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.keep_one_of_near_copies(spark, docs, folder).filter("doc_id IN (1, 8)").count() == 1
+
+
+def test_texts_without_words_stay(spark, folder):
+    rows = [(None, None, "en", "a", 0), (None, None, "en", "b", 0), (1, "", "en", "a", 0), (1, "", "de", "b", 0), (2, " \t", "en", "a", 2), (3, "one two", "en", "a", 7), (3, "one two", "en", "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = [tuple(r) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, folder).collect()]
+    assert sorted(found, key=str) == sorted(rows[:-1], key=str)
