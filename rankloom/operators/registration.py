@@ -1,7 +1,8 @@
 """Many rigid alignments at once: every round is one search, one ranking and one fit for all jobs.
 
 A job is a row (job_id, set_id, transform): the source points of the set are
-moved by the matrix towards the target points of the same set. One-way searches of
+moved by the matrix towards the target points of the same set. With a column ``source_id`` the source is
+that set of the source points instead, so several sources meet one target. One-way searches of
 the jobs of a set share its target, indexed once; two-way scores hold a target per job.
 """
 
@@ -18,13 +19,15 @@ from ..session import cut_lineage
 from .grouping import positions, top_k
 from .poses import interpolate_poses
 from .selection import first_per_key
-from .spatial import Targets, fit_score, index_targets, keep_rows, nearest, principal_axes, rigid_fit, support_metrics, two_way_score
+from .spatial import Targets, fit_score, hashed_sample, index_targets, keep_rows, nearest, principal_axes, rigid_fit, support_metrics, two_way_score
 
 ROUND = 9  # scores are compared at nine decimals so that equal poses stay equal
 
 
 def moved_sources(jobs: DataFrame, source: DataFrame) -> DataFrame:
-    both = jobs.select("job_id", "set_id", "transform").join(source.select("set_id", "point_id", "x", "y", "z"), "set_id")
+    link = F.col("source_id" if "source_id" in jobs.columns else "set_id").alias("_source")
+    points = source.select(F.col("set_id").alias("_source"), "point_id", "x", "y", "z")
+    both = jobs.select("job_id", "set_id", "transform", link).join(points, "_source").drop("_source")
     at = M.apply_point("transform", F.col("x"), F.col("y"), F.col("z"))
     return both.select("job_id", "set_id", F.struct("job_id", "point_id").alias("at"), *[a.alias(c) for a, c in zip(at, "xyz")])
 
@@ -50,16 +53,24 @@ def score_jobs(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets,
     return jobs.join(out.withColumn("score", F.round("score", ROUND)), "job_id")
 
 
-def axes_starts(source: DataFrame, target: DataFrame, parities: Sequence[int] = (1,)) -> DataFrame:
-    """24 starts per set and parity: principal axes of the source on signed permutations of the target's."""
+def axes_starts(source: DataFrame, target: DataFrame, parities: Sequence[int] = (1,), pairs: DataFrame | None = None) -> DataFrame:
+    """24 starts per set and parity: principal axes of the source on signed permutations of the target's.
+
+    ``pairs`` (set_id of the target, source_id, and parity where only some are wanted for a pair) names who meets whom; without it equal sets meet.
+    """
     perms = M.signed_permutations()
-    parts = []
+    parts, ident = [], ["set_id"] if pairs is None else ["set_id", "source_id"]
     for parity in parities:
         flipped = source.withColumn("x", F.col("x") * float(parity))
         s = principal_axes(flipped, ["set_id"]).select("set_id", *[F.col(f"c{c}").alias(f"s{c}") for c in "xyz"], F.col("axes").alias("_s"))
         t = principal_axes(target, ["set_id"]).select("set_id", *[F.col(f"c{c}").alias(f"t{c}") for c in "xyz"], F.col("axes").alias("_t"))
         grid = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.array(*[F.lit(float(v)) for v in p]).alias("p")) for i, p in enumerate(perms)]))
-        rows = s.join(t, "set_id").withColumn("_g", grid)
+        if pairs is None:
+            met = s.join(t, "set_id")
+        else:
+            asked = pairs.where(F.col("parity") == parity).drop("parity") if "parity" in pairs.columns else pairs
+            met = s.withColumnRenamed("set_id", "source_id").join(asked.select("set_id", "source_id"), "source_id").join(t, "set_id")
+        rows = met.withColumn("_g", grid)
         p9 = [F.col("_g.p")[i] for i in range(9)]
         first = M.multiply3(M.transpose3([F.col("_t")[i] for i in range(9)]), p9)
         rows = rows.withColumn("_m", M.held(first))
@@ -69,7 +80,7 @@ def axes_starts(source: DataFrame, target: DataFrame, parities: Sequence[int] =
         shift = [F.col(f"t{c}") - (r[3 * k] * F.col("sx") + r[3 * k + 1] * F.col("sy") + r[3 * k + 2] * F.col("sz")) for k, c in enumerate("xyz")]
         entries = [e * float(parity) if i % 3 == 0 else e for i, e in enumerate(r)]
         parts.append(rows.select(
-            F.concat_ws("/", "set_id", F.lit(str(parity)), F.col("_g.n")).alias("job_id"), "set_id", F.lit(parity).alias("parity"),
+            F.concat_ws("/", *ident, F.lit(str(parity)), F.col("_g.n")).alias("job_id"), *ident, F.lit(parity).alias("parity"),
             F.slice(M.from_parts(entries, shift), 1, 16).alias("transform")))
     out = parts[0]
     for part in parts[1:]:
@@ -115,7 +126,8 @@ def trimmed_alignment(
 
 def perturbed(jobs: DataFrame, centre: DataFrame, samples: int, turn_deg: float, shift: float, stage: int, seed: int = 0) -> DataFrame:
     """The job itself and ``samples`` small random moves of it about its moved centre."""
-    grid = jobs.join(centre, "set_id").withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    ident = [c for c in ("set_id", "source_id") if c in jobs.columns]
+    grid = jobs.join(centre.withColumnRenamed("set_id", ident[-1]), ident[-1]).withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(samples))))
     text = F.concat_ws("|", F.lit(f"{seed}/{stage}"), "job_id", "_n")
 
     def draw(tag: str, scale: float) -> Column:
@@ -131,7 +143,7 @@ def perturbed(jobs: DataFrame, centre: DataFrame, samples: int, turn_deg: float,
     r, c = [F.col("_r")[i] for i in range(9)], [F.col("_c")[i] for i in range(3)]
     off = [c[k] - (r[3 * k] * c[0] + r[3 * k + 1] * c[1] + r[3 * k + 2] * c[2]) + F.col(f"_t{a}") for k, a in enumerate("xyz")]
     delta = grid.withColumn("_delta", F.slice(M.from_parts(r, off), 1, 16))
-    return delta.select(F.concat_ws("#", "job_id", "_n").alias("job_id"), F.col("job_id").alias("start_id"), "set_id",
+    return delta.select(F.concat_ws("#", "job_id", "_n").alias("job_id"), F.col("job_id").alias("start_id"), *ident,
                         M.compose("_delta", "transform").alias("transform"))
 
 
@@ -141,52 +153,87 @@ def basin_search(
     schedule: Sequence[float] = (4.0, 2.0, 1.25), rounds: int = 5, least: int = 32, seed: int = 0,
 ) -> DataFrame:
     """Leave a local optimum: perturb, score, refine the best few, keep the best, stage by stage."""
+    ident = [c for c in ("set_id", "source_id") if c in jobs.columns]
     centre = source.groupBy("set_id").agg(*[F.avg(c).alias(f"s{c}") for c in "xyz"])
-    state = jobs.select("job_id", "set_id", "transform")
+    state = jobs.select("job_id", *ident, "transform")
     index = index_targets(target, ["set_id"])
     for stage, (turn, shift) in enumerate(stages):
         pool = cut_lineage(perturbed(state, centre, samples, turn, shift, stage, seed))
         scored = score_jobs(pool, source, index)
-        best = cut_lineage(top_k(scored, ["start_id"], [F.col("score"), F.col("job_id")], refine).select("job_id", "start_id", "set_id", "transform"))
+        best = cut_lineage(top_k(scored, ["start_id"], [F.col("score"), F.col("job_id")], refine).select("job_id", "start_id", *ident, "transform"))
         refined = trimmed_alignment(best, source, target, schedule, rounds, least=least, index=index)
         final = score_jobs(refined, source, index)
-        chosen = first_per_key(final.select("start_id", "set_id", "transform", "score", "correspondences", "job_id"), ["start_id"], [F.col("score"), F.col("job_id")])
-        state = cut_lineage(chosen.select(F.col("start_id").alias("job_id"), "set_id", "transform", "score", "correspondences"))
+        chosen = first_per_key(final.select("start_id", *ident, "transform", "score", "correspondences", "job_id"), ["start_id"], [F.col("score"), F.col("job_id")])
+        state = cut_lineage(chosen.select(F.col("start_id").alias("job_id"), *ident, "transform", "score", "correspondences"))
     return state
 
 
+def best_starts(starts: DataFrame, source: DataFrame, index: Targets, groups: Sequence[str], keep: int, samples: Sequence[int] = (96, 384)) -> DataFrame:
+    """The ``keep`` best starts of each group by fit score, found by halving.
+
+    Starts are scored on growing hash samples of their source; the better half of a group, never fewer than twice ``keep``, goes on to the
+    next sample, and what is left is scored on all points. A sample as large as the source costs no extra round. ``samples=()`` scores all at once.
+    """
+    groups = list(groups)
+    now = cut_lineage(starts)
+    largest = source.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    order = [F.col("score"), F.col("job_id")]
+    for size in samples:
+        if size >= largest:
+            break
+        scored = score_jobs(now, cut_lineage(hashed_sample(source, ["set_id"], "point_id", size)), index)
+        ranked = positions(scored, groups, order, "_p", "_n")
+        half = F.greatest(F.ceil(F.col("_n") / 2), F.lit(2 * keep))
+        now = cut_lineage(ranked.where(F.col("_p") <= half).select(*starts.columns))
+    return cut_lineage(top_k(score_jobs(now, source, index), groups, order, keep))
+
+
 def register(
     source: DataFrame, target: DataFrame, parities: Sequence[int] = (1, -1), refine: int = 4, extra: DataFrame | None = None,
-    schedule: Sequence[float] = (8.0, 5.0, 3.0, 2.0, 1.25), rounds: int = 8, least: int = 32,
+    schedule: Sequence[float] = (8.0, 5.0, 3.0, 2.0, 1.25), rounds: int = 8, least: int = 32, pairs: DataFrame | None = None,
+    samples: Sequence[int] = (96, 384), coarse: int = 1024,
 ) -> DataFrame:
-    """Ranked alignments of every set: best starts per parity (and given extra starts), refined and rescored."""
+    """Ranked alignments of every set (or of every pair of ``pairs``): best starts per parity and given extra starts, refined and rescored.
+
+    One target index serves all searches. Starts are halved on growing samples; all levels but the last two are aligned on at most ``coarse``
+    hashed points of a source, which only bring a pose into reach of the last two levels on all points (0: all levels on all points).
+    Rows of ``extra`` (job_id, set_id, parity, transform, and source_id with ``pairs``) are refined without a choice, as method "prior".
+    """
     index = index_targets(target, ["set_id"])
-    starts = cut_lineage(axes_starts(source, target, parities))
-    scored = cut_lineage(score_jobs(starts, source, index))
-    best = top_k(scored, ["set_id", "parity"], [F.col("score"), F.col("job_id")], refine).select(
-        "job_id", "set_id", "parity", "transform", F.lit("pca").alias("method"), F.col("score").alias("score_initial"))
+    ident = ["set_id"] if pairs is None else ["set_id", "source_id"]
+    starts = axes_starts(source, target, parities, pairs)
+    best = best_starts(starts, source, index, [*ident, "parity"], refine, samples).select(
+        "job_id", *ident, "parity", "transform", F.lit("pca").alias("method"), F.col("score").alias("score_initial"))
     if extra is not None:
         given = score_jobs(extra, source, index).select(
-            "job_id", "set_id", "parity", "transform", F.lit("prior").alias("method"), F.col("score").alias("score_initial"))
+            "job_id", *ident, "parity", "transform", F.lit("prior").alias("method"), F.col("score").alias("score_initial"))
         best = best.unionByName(given)
-    best = cut_lineage(best.withColumn("transform_initial", F.col("transform")))
-    refined = trimmed_alignment(best, source, target, schedule, rounds, least=least, index=index)
+    now = cut_lineage(best.withColumn("transform_initial", F.col("transform")))
+    if coarse and len(schedule) > 2:
+        few = cut_lineage(hashed_sample(source, ["set_id"], "point_id", coarse))
+        now = trimmed_alignment(now, few, target, schedule[:-2], rounds, least=least, index=index).drop("correspondences")
+        schedule = schedule[-2:]
+    refined = trimmed_alignment(now, source, target, schedule, rounds, least=least, index=index)
     final = cut_lineage(score_jobs(refined, source, index))
-    return positions(final, ["set_id"], [F.col("score"), F.col("job_id")], "rank")
+    return positions(final, ident, [F.col("score"), F.col("job_id")], "rank")
 
 
-def rescored(jobs: DataFrame, source: DataFrame, target: DataFrame, prior_angle: Column, penalty: float = 0.002, limit: float = 90.0) -> DataFrame:
-    """Two-way score, penalty on the prior angle, acceptance and rank among accepted rows of a set."""
-    from .selection import accepted_rank
-
+def two_way_rescored(jobs: DataFrame, source: DataFrame, target: DataFrame, prior_angle: Column, penalty: float = 0.002, limit: float = 90.0) -> DataFrame:
+    """Two-way score, penalty on the prior angle and acceptance of every job."""
     jobs = cut_lineage(jobs)
     moved, goal = paired_clouds(jobs, source, target)
     both = cut_lineage(two_way_score(moved, goal, ["job_id"]))
     out = jobs.drop("score", "median", "p90").join(both, "job_id").withColumn("prior_angle_deg", prior_angle)
-    out = out.withColumns({
+    return out.withColumns({
         "selection_score_mm": F.round(F.col("score"), ROUND), "prior_accepted": (F.col("prior_angle_deg") <= limit).cast("int"),
         "rank_score_mm": F.round(F.col("score") + penalty * F.col("prior_angle_deg"), ROUND)})
-    out = out.withColumn("candidate_index", F.col("job_id"))
+
+
+def rescored(jobs: DataFrame, source: DataFrame, target: DataFrame, prior_angle: Column, penalty: float = 0.002, limit: float = 90.0) -> DataFrame:
+    """As ``two_way_rescored``, with the rank among accepted rows of a set."""
+    from .selection import accepted_rank
+
+    out = two_way_rescored(jobs, source, target, prior_angle, penalty, limit).withColumn("candidate_index", F.col("job_id"))
     return accepted_rank(out, ["set_id"], "rank_score_mm", "prior_accepted", "unsupervised_rank").drop("candidate_index")
 
 

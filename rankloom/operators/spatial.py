@@ -34,13 +34,9 @@ def z_order(coords: Sequence[str]) -> tuple[Column, Column]:
     """
     bits = max(1, min(BITS, 62 // len(coords)))
     used = coords[:62]
-    cells = held([F.least(F.floor((F.col(c) - F.col(f"_lo{i}")) / F.col("_wide") * (1 << bits)), F.lit((1 << bits) - 1)).cast("long") for i, c in enumerate(used)])
-    code = F.lit(0).cast("long")
-    for bit in range(bits):
-        for axis in range(len(used)):
-            one = F.shiftright(F.col("_cells")[axis], bit).bitwiseAND(F.lit(1).cast("long"))
-            code = code + F.shiftleft(one, bit * len(used) + axis)
-    return cells, code
+    cells = held([F.expr(f"cast(least(floor((`{c}` - _lo{i}) / _wide * {1 << bits}), {(1 << bits) - 1}) as long)") for i, c in enumerate(used)])
+    terms = [f"shiftleft(shiftright(_cells[{axis}], {bit}) & 1L, {bit * len(used) + axis})" for bit in range(bits) for axis in range(len(used))]
+    return cells, F.expr(" + ".join(terms))
 
 
 def into_blocks(df: DataFrame, sets: Sequence[str], coords: Sequence[str], tie: Sequence[str], bounded: bool = False) -> DataFrame:
