@@ -5,158 +5,121 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import Memo, sized_batches, table
 from rankloom.session import cut_lineage, ship_package
 
-#: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id.
-EXAMPLES = 16_384
-#: Every term of the examples counts. Its weight is the inverse document frequency times its correlation with the label, which doesn't
-#: depend on the number of examples, shrunk as if SHRINK more rows held it; FLOOR is what a term without correlation keeps.
-SHRINK, FLOOR = 5.0, 0.01
+#: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id, and at most so many of their characters.
+EXAMPLES, CHARACTERS = 4_096, 48 << 20
 NEIGHBOURS = 15
-#: Terms of more than 1 / COMMON of the examples are compared by a matrix product for GROUP texts at once, others by postings.
-COMMON, GROUP = 16, 64
-PREFIXES = (4, 5, 6, 8)
+#: Every word of the examples counts. Its weight is the inverse document frequency times its correlation with the label, which doesn't
+#: depend on the number of examples, shrunk as if SHRINK more rows held it; FLOOR is what a word without correlation keeps.
+SHRINK, FLOOR = 5.0, 0.02
+#: Examples come in blocks of so many; a term of more than one in LONG examples is compared block by block, others by their postings.
+BLOCK, LONG = 32, 4
+GROUP = 64
 EDGES = b".,;:!?\"'()[]{}|%&$#*+-_<>/\\="
 
 
-def word_terms(word: bytes) -> list[bytes]:
-    """A word without punctuation at its ends, and the first characters of a longer one."""
-    if not word:
-        return []
-    if word.isascii():
-        return [word, *(word[:size] + b"~" for size in PREFIXES if len(word) > size)]
-    letters = word.decode("utf-8", "replace")
-    return [word, *(letters[:size].encode() + b"~" for size in PREFIXES if len(letters) > size)]
+def term_hash(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
-def term_counts(text: bytes | None) -> Counter:
-    """Terms of all words of a text, A-Z in lower case."""
-    found = Counter()
+def words_of(text: bytes | None) -> Counter:
+    """Words of a text without punctuation at their ends, A-Z in lower case."""
+    found: Counter = Counter()
     for word, n in Counter(text.lower().split()).items() if text else ():
-        for term in word_terms(word.strip(EDGES)):
-            found[term] += n
+        found[word.strip(EDGES)] += n
+    found.pop(b"", None)
     return found
 
 
-def term_hash(term: bytes) -> int:
-    return xxhash.xxh64_intdigest(term) - (1 << 63)
-
-
 class Vocabulary:
-    """Finds the terms of a text among ``hashes``, ascending; a word's terms are looked up once."""
+    """Finds the words of a text among ``hashes``, ascending; a written form is looked up once. Number ``len(hashes)`` stands for all others."""
 
     def __init__(self, hashes: np.ndarray):
-        self.number = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
-        self.of_word = Memo(self.terms, 400_000)
-
-    def terms(self, word: bytes) -> tuple[int, ...]:
-        found = (self.number.get(term_hash(t)) for t in word_terms(word.strip(EDGES)))
-        return tuple(i for i in found if i is not None)
+        self.number, self.other = dict(zip(hashes.tolist(), range(len(hashes)), strict=True)), len(hashes)
+        self.of_word = Memo(lambda word: self.number.get(term_hash(word.strip(EDGES)), self.other), 600_000)
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """(ascending term numbers, counts)."""
         if not text:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.of_word.trim()
-        return np.unique(np.fromiter(chain.from_iterable(map(self.of_word.__getitem__, text.lower().split())), np.int64), return_counts=True)
-
+        terms, n = np.unique(np.fromiter(map(self.of_word.__getitem__, text.lower().split()), np.int64), return_counts=True)
+        return (terms[:-1], n[:-1]) if len(terms) and terms[-1] == self.other else (terms, n)
 
-def label_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash of a term, rows, toxic rows) of a partition, and its totals under a null term."""
-    both, toxic, totals = Counter(), Counter(), [0, 0]
 
-    def rows():
-        terms = pa.array([*map(term_hash, both), None], pa.int64())
-        return pa.record_batch([terms, pa.array([*both.values(), totals[0]], pa.int64()), pa.array([*(toxic[t] for t in both), totals[1]], pa.int64())], ["term", "n", "toxic"])
+class BlockMaxIndex:
+    """Exact cosines with the nearest examples, with upper bounds for blocks of BLOCK examples.
 
-    for batch in sized_batches(batches, "text"):
-        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            terms = term_counts(text.as_py()).keys()
-            both.update(terms)
-            totals[0] += 1
-            if label:
-                toxic.update(terms)
-                totals[1] += 1
-        if len(both) > 500_000:
-            yield rows()
-            both, toxic, totals = Counter(), Counter(), [0, 0]
-    yield rows()
-
-
-class ExampleIndex:
-    """Exact cosines of texts with all examples: a matrix of the common terms and postings of all others."""
+    Short postings are added up for all examples. Of a term that many examples hold, each block keeps its largest weight; the sums
+    of these bound what the long terms can add in a block, and only examples that could still be among the nearest have them added.
+    """
 
     def __init__(self, terms: int, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list):
         """``vectors``: ascending term numbers and weights of each example, with a length of 1."""
         self.labels, self.ids, self.examples = labels, ids, len(vectors)
-        kind = np.min_scalar_type(len(vectors))
-        owner = np.repeat(np.arange(len(vectors), dtype=kind), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, kind)
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        weight = np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+        self.blocks = -(-len(vectors) // BLOCK)
+        owner = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(np.float32)
+        size = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(size * LONG > len(vectors))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        far = self.row[term] >= 0
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)  # long postings, with a place for every example
+        self.dense[self.row[term[far]], owner[far]] = weight[far]
+        self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if self.blocks else np.zeros((len(common), 0), np.float32)
+        term, owner, weight = term[~far], owner[~far], weight[~far]
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
-        self.row = self.matrix = None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "row": None, "matrix": None}
-
-    def prepare(self) -> None:
-        """Fills the matrix, which is not sent to tasks."""
-        if self.matrix is None:
-            common = np.flatnonzero(np.diff(self.first) * COMMON > self.examples)
-            self.row, matrix = np.full(len(self.first) - 1, -1, np.int32), np.zeros((len(common), self.examples), np.float32)
-            self.row[common] = np.arange(len(common))
-            for row, term in enumerate(common.tolist()):
-                own = slice(self.first[term], self.first[term + 1])
-                matrix[row, self.owner[own]] = self.weight[own]
-            self.matrix = matrix
-
-    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(examples, cosines) of the k nearest of each vector with a cosine above 0, ties to the smaller example."""
-        self.prepare()
-        for at in range(0, len(vectors), GROUP):
-            part = vectors[at:at + GROUP]
-            dense = np.zeros((len(part), len(self.matrix)), np.float32)
-            for i, (terms, weights) in enumerate(part):
-                row = self.row[terms]
-                dense[i, row[row >= 0]] = weights[row >= 0]
-            cosines = dense @ self.matrix
-            for i, (terms, weights) in enumerate(part):
-                rare = self.row[terms] < 0
-                terms, weights = terms[rare], weights[rare]
-                count = self.first[terms + 1] - self.first[terms]
-                place = np.repeat(self.first[terms] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                own = cosines[i] + np.bincount(self.owner[place], self.weight[place] * np.repeat(weights, count), self.examples)
-                if without is not None:
-                    own[without[at + i]] = 0
-                least = np.partition(own, -k)[-k] - 2e-6 if len(own) > k else 0.0
-                found = np.flatnonzero((own > 0) & (own >= least))
-                found = found[np.lexsort((found, -np.round(own[found], 6)))[:k]]
-                yield found, own[found]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_of([(terms, weights)], k, [without] if without >= 0 else None))
-
-
-BlockMaxIndex = ExampleIndex  # its earlier name
+        """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller example."""
+        row = self.row[terms]
+        long, heavy = row[row >= 0], weights[row >= 0].astype(np.float32)
+        short, light = terms[row < 0], weights[row < 0]
+        count = self.first[short + 1] - self.first[short]
+        place = np.repeat(self.first[short] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        part = np.zeros(self.blocks * BLOCK)
+        part[:self.examples] = np.bincount(self.owner[place], self.weight[place] * np.repeat(light, count), self.examples)
+        bound = heavy @ self.most[long]
+        reach = part.reshape(-1, BLOCK).max(1) + bound
+        least, seen, found, score = 1e-9, np.zeros(self.blocks, bool), [], []
+        best_first = np.argsort(-reach, kind="stable")
+        step, at = 4, 0
+        while at < self.blocks and reach[best_first[at]] >= least - 1e-6:
+            some = best_first[at:at + step]
+            some = some[reach[some] >= least - 1e-6]
+            at, step, seen[some] = at + step, 2 * step, True
+            own = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            own = own[part[own] + np.repeat(bound[some], BLOCK) >= least - 1e-6]
+            own = own[(own < self.examples) & (own != without)]
+            found.append(own)
+            score.append(part[own] + heavy @ self.dense[np.ix_(long, own)] if len(long) else part[own])
+            have = np.concatenate(score)
+            if len(have) >= k:
+                least = max(least, float(np.partition(have, -k)[-k]))
+        found, score = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(score or [np.zeros(0)])
+        found, score = found[score > 1e-9], score[score > 1e-9]
+        order = np.lexsort((found, -np.round(score, 6)))[:k]
+        return found[order], score[order]
 
 
 @dataclass
 class ToxicityModel:
     terms: np.ndarray  # ascending hashes
     weight: np.ndarray  # of each term
-    index: ExampleIndex | None = None
+    index: BlockMaxIndex | None = None
     raw: np.ndarray = field(default_factory=lambda: np.zeros(1))  # ascending votes and their calibrated scores
     calibrated: np.ndarray = field(default_factory=lambda: np.zeros(1))
     without: float = 0.0  # score of texts without a neighbour
@@ -167,12 +130,13 @@ class ToxicityModel:
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float | None, list]]:
         """Votes of the nearest, each weighted by the inverse of its cosine distance; their ids are the evidence."""
-        if self.index is None or not self.index.examples:
-            yield from ((None, []) for _ in vectors)
-            return
-        for found, cosine in self.index.nearest_of(vectors, NEIGHBOURS, without):
+        for i, (terms, weights) in enumerate(vectors):
+            if self.index is None or not self.index.examples:
+                yield None, []
+                continue
+            found, cosine = self.index.nearest(terms, weights, NEIGHBOURS, without[i] if without is not None else -1)
             weight = 1 / (1.02 - np.minimum(cosine, 1.0))
-            yield (float((weight * self.index.labels[found]).sum() / weight.sum()) if len(found) else None), [self.index.ids[i] for i in found]
+            yield (float((weight * self.index.labels[found]).sum() / weight.sum()) if len(found) else None), [self.index.ids[j] for j in found]
 
     def score(self, vote: float | None) -> float:
         return self.without if vote is None else float(np.interp(vote, self.raw, self.calibrated))
@@ -193,29 +157,51 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return raw, (rate * size + 0.5 * (rate > 0.5) + 0.25 * (rate == 0.5)) / (size + 0.5)
 
 
-def fit(documents: DataFrame, labels: DataFrame, training: str, examples: int = EXAMPLES) -> ToxicityModel:
-    """Weighs all terms of the examples by their frequency over all ``documents`` and by the labels, and indexes the examples.
+def example_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes and counts of each example."""
+    for batch in sized_batches(batches, "text"):
+        found = [words_of(t.as_py()) for t in batch.column("text")]
+        columns = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([[term_hash(w) for w in c] for c in found], pa.list_(pa.int64())),
+                   pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "terms", "counts"])
+
 
-    ``labels`` (doc_id, toxic): of repeated ids the largest label counts; null labels are none. Only ids for which the SQL
-    expression ``training`` holds are learnt from, at most ``examples`` of them, which bounds what
-    is broadcast and what reaches the driver; document frequencies come from all rows of ``documents``.
+def chosen_examples(documents: DataFrame, labels: DataFrame, training: str, examples: int, characters: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``examples`` labelled ids and, beyond the first, ``characters`` characters, in the order of a hash of the id."""
+    known = labels.filter(training).filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")]
+    known = known.orderBy(*order).limit(examples)
+    texts = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = cut_lineage(texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    few = texts.select("doc_id", so_far.alias("so_far"), F.length("text").alias("own"))  # a row an example
+    few = few.filter(F.col("so_far").isNull() | (F.col("so_far") + F.coalesce("own", F.lit(0)) <= characters))
+    return texts.join(F.broadcast(few.select("doc_id")), "doc_id")
+
+
+def fit(documents: DataFrame, labels: DataFrame, training: str, examples: int = EXAMPLES, characters: int = CHARACTERS) -> ToxicityModel:
+    """Weighs all words of the examples by their frequency over all ``documents`` and by the labels, and indexes the examples.
+
+    ``labels`` (doc_id, toxic): of repeated ids the largest label counts, null labels are none; of documents with one id the smallest text
+    is the example. Only ids for which the SQL expression ``training`` holds are learnt from, at most ``examples`` of them with ``characters``
+    characters in all, which bounds what is broadcast and what reaches the driver; document frequencies come from all rows of ``documents``.
     """
     spark = documents.sparkSession
     ship_package(spark)
-    known = labels.filter(training).filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(examples)
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sample = cut_lineage(rows.join(F.broadcast(known), "doc_id"))
-    counted = sample.select("text", "toxic").mapInArrow(label_terms, "term bigint, n bigint, toxic bigint")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # terms of the examples
-    term, n, toxic = (c.to_numpy() for c in counted.filter(pc.is_valid(counted["term"])).columns)
-    total = [pc.sum(c).as_py() or 0 for c in counted.filter(pc.is_null(counted["term"])).columns[1:]]
-    if not total[0] or not total[1] or total[0] == total[1]:
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), without=float(total[1] / total[0]) if total[0] else 0.0)
-    order = np.argsort(term)
-    term, n, toxic = term[order].astype(np.int64), n[order].astype(float), toxic[order]
-    rate = total[1] / total[0]
-    correlation = np.abs(toxic - n * rate) / np.sqrt(n * rate * (1 - rate) * total[0])
+    sample = chosen_examples(documents, labels, training, examples, characters)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    table_ = sample.mapInArrow(example_words, f"doc_id {kind}, toxic int, terms array<bigint>, counts array<int>").toArrow()
+    order = np.argsort(np.array(table_["doc_id"].to_pylist(), object), kind="stable")
+    ids, label = [table_["doc_id"][int(i)].as_py() for i in order], table_["toxic"].to_numpy().astype(float)[order]
+    total, toxic_rows = len(ids), float(label.sum())
+    if not total or not 0 < toxic_rows < total:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), without=toxic_rows / total if total else 0.0)
+    lists = [(table_["terms"][int(i)].values.to_numpy(), table_["counts"][int(i)].values.to_numpy()) for i in order]
+    del table_
+    term, place, n = np.unique(np.concatenate([t for t, _ in lists]), return_inverse=True, return_counts=True)
+    toxic = np.bincount(place, np.repeat(label, [len(t) for t, _ in lists]), len(term))
+    rate = toxic_rows / total
+    correlation = np.abs(toxic - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate) * total, 1e-12))
     shared = spark.sparkContext.broadcast(term)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,59 +215,46 @@ def fit(documents: DataFrame, labels: DataFrame, training: str, examples: int =
         yield pa.record_batch([pa.array(used), pa.array(count[used])], ["term", "n"])
 
     frequency = np.zeros(len(term) + 1)
-    seen = rows.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = documents.select(F.col("text").cast("binary").alias("text"))
+    seen = rows.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # words of the examples
     frequency[seen["term"].to_numpy()] = seen["n"].to_numpy()
-    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
-    model = ToxicityModel(term, idf * (correlation * n / (n + SHRINK) + FLOOR))
-    first = spark.sparkContext.broadcast(model)
-
-    def vectors_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(first.value.terms)
-        for batch in sized_batches(batches, "text", 4 << 20):
-            found = [first.value.vector(*own.counts(t.as_py())) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("number"), batch.column("doc_id"), batch.column("toxic"), pa.array([v[0] for v in found], pa.list_(pa.int32())),
-                                   pa.array([v[1] for v in found], pa.list_(pa.float32()))], ["number", "doc_id", "toxic", "terms", "weights"])
-
-    kind = {f.name: f.dataType.simpleString() for f in sample.schema}
-    numbered = sample.select(F.monotonically_increasing_id().alias("number"), "doc_id", "toxic", "text")
-    found = numbered.mapInArrow(vectors_of, f"number bigint, doc_id {kind['doc_id']}, toxic {kind['toxic']}, terms array<int>, weights array<float>").toArrow()
-    by_id = sorted(zip(found["doc_id"].to_pylist(), found["number"].to_pylist(), range(len(found)), strict=True))
-    ids, numbers, order = ([r[i] for r in by_id] for i in range(3))
-    vectors = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(found["terms"], found["weights"], strict=True)]
-    model.index = ExampleIndex(len(term), [vectors[i] for i in order], found["toxic"].to_numpy().astype(float)[order], ids)
-    del vectors, found, seen
-    numbers = np.array(numbers)
-    place = np.argsort(numbers)
-    held = spark.sparkContext.broadcast((model, numbers[place], place))
-
-    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known_numbers, places = held.value
-        vocabulary = Vocabulary(own.terms)
-        for batch in sized_batches(batches, "text", 4 << 20):
-            at = places[np.searchsorted(known_numbers, batch.column("number").to_numpy())].tolist()
-            given = [own.vector(*vocabulary.counts(t.as_py())) for t in batch.column("text")]
-            votes = [v for v, _ in own.votes(given, at)]
+    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1]))
+    model = ToxicityModel(term, np.maximum(idf, 1e-3) * (correlation * n / (n + SHRINK) + FLOOR))
+    vectors, at = [], 0
+    for terms, counts in lists:
+        own = place[at:at + len(terms)]
+        by_term = np.argsort(own)
+        vectors.append(model.vector(own[by_term], counts[by_term]))
+        at += len(terms)
+    model.index = BlockMaxIndex(len(term), vectors, label, ids)
+    held = spark.sparkContext.broadcast((model, vectors))
+
+    def left_out(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, given = held.value
+        for batch in parts:
+            at = batch.column("id").to_pylist()
+            votes = [v for v, _ in own.votes([given[i] for i in at], at)]
             yield pa.record_batch([pa.array(votes, pa.float64()), pa.array(own.index.labels[at], pa.float64())], ["vote", "label"])
 
-    judged = numbered.select("number", "text").mapInArrow(left_out, "vote double, label double").collect()  # one row an example
+    judged = spark.range(0, total, 1, 16).mapInArrow(left_out, "vote double, label double").collect()  # one row an example
     votes = np.array([r[0] if r[0] is not None else np.nan for r in judged])
     truth = np.array([r[1] for r in judged])
     near = ~np.isnan(votes)
     if near.any():
         model.raw, model.calibrated = isotonic(votes[near], truth[near])
-    for used in (shared, first, held):
-        used.unpersist()
-    model.without = float((truth[~near].sum() + total[1] / total[0]) / ((~near).sum() + 1))
+    shared.unpersist()
+    held.unpersist()
+    model.without = float((truth[~near].sum() + rate) / ((~near).sum() + 1))
     return model
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
-    """struct(score, evidence) of a text column; evidence lists the ids of its nearest examples."""
+    """struct(score, evidence) of a text column; evidence lists the ids of its nearest examples, as text."""
     held = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
+    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.string()))])
     memory: dict = {}
 
-    @F.arrow_udf("struct<score: double, evidence: array<bigint>>")
+    @F.arrow_udf("struct<score: double, evidence: array<string>>")
     def score(texts: pa.Array) -> pa.Array:
         own = held.value
         if "vocabulary" not in memory:
@@ -295,7 +268,7 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
                 seen.clear()
             new = {key: own.vector(*pair) for key, pair in zip(keys, counted, strict=True) if key not in seen}
             for key, (vote, evidence) in zip(new, own.votes([*new.values()]), strict=True):
-                seen[key] = {"score": own.score(vote), "evidence": evidence}
+                seen[key] = {"score": own.score(vote), "evidence": [str(i) for i in evidence]}
             out += [seen[key] for key in keys]
         return pa.array(out, kind)
 
@@ -305,11 +278,11 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
 def score_toxicity(documents: DataFrame, labels: DataFrame, training: str, text: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """Adds score (0 to 1), predicted (1 from 0.5) and evidence to every row.
 
-    Each text is compared with the labelled examples by cosine over TF-IDF of all terms of the examples, weighed by
+    Each text is compared with the labelled examples by cosine over TF-IDF of all words of the examples, weighed by
     how much the labels depend on them; votes of the 15 nearest are calibrated by isotonic regression on left-out examples. Texts without
-    such terms, null and empty ones among them, get the rate of examples without a neighbour. Without labels of both kinds all texts get
+    such words, null and empty ones among them, get the rate of examples without a neighbour. Without labels of both kinds all texts get
     the share of toxic labels (0 if none). Repeated rows score alike; an empty table gives no rows; other columns stay, those of the
-    three names are replaced. Documents are not shuffled: each pass is a scan.
+    three names are replaced; evidence (ids as text) lists the nearest examples. Documents are not shuffled: each pass is a scan.
     """
     model = fit(documents.select("doc_id", F.col(text).alias("text")), labels.select("doc_id", "toxic"), training, examples)
     scored = documents.withColumn("__score", score_column(documents.sparkSession, model, F.col(text)))

@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -108,6 +109,60 @@ def test_held_out_accuracy(spark):
     assert np.mean(pairs) > 0.75
 
 
+def test_scores_equal_brute_force(spark, folder, documents):
+    """Scores and evidence of the query next to cosines of all pairs in plain Python."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    training = f"NOT {toxicity.HELD_OUT}"
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(documents, labels, training).collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.filter(training).collect() if r.toxic is not None}
+    counts = {r.doc_id: toxicity.words_of(r.text.encode() if r.text else None) for r in documents.collect()}
+    known = sorted(i for i in toxic if i in counts)
+    n, hits = Counter(), Counter()
+    for i in known:
+        n.update(counts[i].keys())
+        hits.update({w: toxic[i] for w in counts[i]})
+    total, df = len(known), Counter(w for c in counts.values() for w in c)
+    rate = sum(toxic[i] for i in known) / total
+    weight = {}
+    for w in n:
+        correlation = abs(hits[w] - n[w] * rate) / np.sqrt(n[w] * rate * (1 - rate) * total)
+        weight[w] = max(np.log((1 + len(counts)) / (1 + df[w])), 1e-3) * (correlation * n[w] / (n[w] + 5) + 0.02)
+
+    def vector(i):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in counts[i].items() if w in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in counts}
+
+    def vote(i, without=None):
+        cosines = {j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in known if j != without}
+        best = [j for j in sorted(known, key=lambda j: (-round(cosines.get(j, -1), 6), j)) if cosines.get(j, 0) > 1e-9][:15]
+        shares = {j: 1 / (1.02 - min(cosines[j], 1)) for j in best}
+        return (sum(shares[j] * toxic[j] for j in best) / sum(shares.values()) if best else None), best
+
+    votes = [vote(i, i)[0] for i in known]
+    near = [k for k, v in enumerate(votes) if v is not None]
+    raw, calibrated = toxicity.isotonic(np.array([votes[k] for k in near]), np.array([float(toxic[known[k]]) for k in near]))
+    for i in sorted(counts)[::3]:
+        value, best = vote(i)
+        if value is not None:
+            assert abs(scored[i].score - np.interp(value, raw, calibrated)) < 2e-3
+            assert len(set(map(str, best)) & set(scored[i].evidence)) >= len(best) - 1
+
+
+def test_text_ids_and_repeated_ids(spark):
+    words = ["good day to all of you", "you are an idiot and a fool", "what a fine morning it is", "such an idiot, you fool"]
+    rows = [(f"d{i}", words[i % 4]) for i in range(40)] + [("d1", "you are an idiot and a fool")] * 5
+    documents = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, toxic int")
+    assert toxicity.chosen_examples(documents, labels, "true", 10, 1 << 20).count() == 10
+    assert toxicity.chosen_examples(documents, labels, "true", 40, 100).agg({"doc_id": "count"}).first()[0] <= 5
+    found = toxicity.score_toxicity(documents, labels, "true").collect()
+    assert len(found) == 45 and all(r.predicted == ("idiot" in r.text) for r in found)
+    assert all(e.startswith("d") for r in found for e in r.evidence)
+
+
 def test_few_examples(spark, folder):
     """Labelled toxic rows are rejected on the smallest tables, and a copy of any example finds it."""
     documents, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
@@ -118,7 +173,7 @@ def test_few_examples(spark, folder):
     assert sum(r.predicted for r in scored.values()) < 0.3 * len(scored)
     texts = {r.doc_id: r.text for r in documents.collect()}
     for r in labels.filter(training).collect():
-        assert any(texts[i].split() == texts[r.doc_id].split() for i in scored[r.doc_id].evidence)
+        assert any(texts[int(i)].split() == texts[r.doc_id].split() for i in scored[r.doc_id].evidence)
 
 
 def test_odd_rows(spark, odd):
