@@ -120,7 +120,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_column:
     double precision; a pair is found if either of both visits the other.
 
     Null labels, and vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing:
-    0 links, their own component, kept. Repeated rows link with each other. Rows with a null id are never
+    0 links, their own component, kept. Repeated rows link with each other. A vec_id may repeat: each of its vectors is one of its own. Rows with a null id are never
     the smallest of a component unless alone. An empty table gives no rows; other columns are not read.
     Hot cells are cut into blocks; sums and stars are written, never pairs.
     """
@@ -131,8 +131,8 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, id_column:
     length = common_length(valid, "vector")
     valid = valid.filter(F.size("vector") == length)
     least = F.min("vec_id")
-    sets = valid.groupBy("label", "vector").agg(F.coalesce(least.cast("long"), F.xxhash64(F.first("vector"), F.first("label"))).alias("id"), least.alias("least"), F.count("*").alias("copies"))
-    sets = cut_lineage(sets)
+    sets = valid.groupBy("label", "vector").agg(least.alias("least"), F.count("*").alias("copies"))
+    sets = cut_lineage(sets.withColumn("id", F.xxhash64("label", "vector")))  # vec_id may repeat
     n, labels = sets.agg(F.count("*"), F.countDistinct("label")).first()
     sample = sample_vectors(sets, "vector", SAMPLE, length)
     per_half = min(MOST_CENTRES, max(2, round(math.sqrt(n / (max(1, labels) * CELL)))))

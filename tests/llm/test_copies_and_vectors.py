@@ -197,3 +197,12 @@ def test_nearest(spark):
     assert [v for v, _ in found[600]] == [1, 601, 602, 603, 604]
     assert kmeans_tree.nearest(frame.limit(0), "true").count() == 0
     assert kmeans_tree.nearest(frame.filter("vec_id < 3"), "vec_id = 0").count() == 2
+
+
+def test_links_of_repeated_ids(spark):
+    """One vec_id with different vectors or labels: each row links for itself."""
+    v, w, far = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, v, 0), (2, w, 0), (2, v, 1), (3, w, 1), (4, v, 2), (4, w, 2), (5, far, 2), (5, far, 0)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in product_grid.near_vectors(frame).collect())
+    assert found == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True), (5, 0, 5, True)])
