@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..session import cut_lineage
+from .grouping import join_null_safe
 from .spatial import hashed_sample, near_pairs
 
 
@@ -128,38 +129,61 @@ def evidence_consensus(
     return table.groupBy(*keys).agg(F.min_by(fields, order).alias("_b")).select(*keys, "_b.*")
 
 
+def largest_cliques(edges: DataFrame, keys: Sequence[str], least: int = 2) -> DataFrame:
+    """All largest cliques of every group: (keys, members, size, total), members ascending, total the sum of the gaps of their pairs.
+
+    ``edges`` (keys, a, b, gap_mm), a < b, one row a pair; the edges of one group are few, since they join its runs. A row of a round is a clique
+    with the vertices that extend it. It grows by those vertices only that the pivot, the one with most neighbours among
+    them, has no edge to, so a group in which all agree takes one row a round; rows that cannot reach the largest clique found, or ``least``, leave.
+    """
+    keys = list(keys)
+    both = edges.select(*keys, F.explode(F.expr("array(struct(a AS v, b AS w, gap_mm), struct(b AS v, a AS w, gap_mm))")).alias("_e")).select(*keys, "_e.*")
+    lists = both.groupBy(*keys, "v").agg(F.map_from_entries(F.collect_list(F.struct("w", "gap_mm"))).alias("_g"))
+    graph = cut_lineage(lists.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "_g"))).alias("_graph")))
+    none = F.array().cast("array<int>")
+    state = graph.select(*keys, none.alias("members"), F.array_sort(F.map_keys("_graph")).alias("open"), F.lit(0.0).alias("total"))
+    found, first = None, True
+    while first or not state.isEmpty():
+        rows = join_null_safe(state, graph, keys, "inner")
+        rows = rows.withColumn("_pivot", F.expr("-array_max(transform(open, u -> struct(size(array_intersect(open, map_keys(_graph[u]))) AS n, -u AS u))).u"))
+        rows = rows.withColumn("_ways", F.expr("array_except(open, map_keys(_graph[_pivot]))")).select("*", F.posexplode("_ways").alias("_i", "_v"))
+        grown = rows.select(
+            *keys, F.array_sort(F.concat("members", F.array("_v"))).alias("members"),
+            F.expr("array_intersect(array_except(open, slice(_ways, 1, _i)), map_keys(_graph[_v]))").alias("open"),
+            F.expr("total + aggregate(members, 0D, (s, r) -> s + _graph[_v][r])").alias("total"))
+        grown = cut_lineage(grown.where(F.size("members") + F.size("open") >= least))
+        done = grown.where(F.size("open") == 0).drop("open")
+        found = done if found is None else found.unionByName(done)
+        size = found.groupBy(*keys).agg(F.max(F.size("members")).alias("_best"))
+        found = cut_lineage(join_null_safe(found, size, keys, "inner").where(F.size("members") == F.col("_best")).drop("_best"))
+        state = join_null_safe(grown.where(F.size("open") > 0), size, keys, "left")
+        state = cut_lineage(state.where(F.size("members") + F.size("open") >= F.coalesce("_best", F.lit(least))).drop("_best"))
+        first = False
+    return found.select(*keys, "members", F.size("members").alias("size"), "total")
+
+
 def consistent_cluster(
-    runs: DataFrame, keys: Sequence[str], run: str, names: Sequence[str], limit: float, least: int,
+    runs: DataFrame, keys: Sequence[str], run: str, names: Sequence[str] | None, limit: float, least: int,
 ) -> DataFrame:
-    """Largest set of runs whose poses agree pairwise within ``limit`` and share parity.
+    """Largest set of runs whose poses agree pairwise within ``limit`` and share parity, of any number of runs.
 
-    One row per (group, run). All subsets of the (few) runs are a literal table
-    that meets the pair distances by equi join.
+    One row per (group, run), of the runs in ``names`` (None: all). Of equally large sets the one with the smallest mean gap counts, then the
+    first by run names. Groups in which no ``least`` (2 or more) runs agree have no row.
     """
-    from itertools import combinations
-
-    if len(names) > 12:
-        raise ValueError("subsets are listed explicitly for at most 12 runs")
-    keys, names = list(keys), sorted(names)
-    subsets = [s for size in range(max(least, 2), len(names) + 1) for s in combinations(range(len(names)), size)]
-    number = None
-    for i, name in enumerate(names):
-        number = F.when(F.col(run) == name, i) if number is None else number.when(F.col(run) == name, i)
-    rows = runs.withColumn("_i", number).withColumn("sign", M.det_sign("transform"))
+    keys = list(keys)
+    rows = runs.where(F.col(run).isNotNull()) if names is None else runs.where(F.col(run).isin(list(names)))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(run)).alias("_names"))  # runs of a group are few
+    rows = join_null_safe(rows, listed, keys, "inner").withColumn("_i", F.array_position("_names", F.col(run)).cast("int")).withColumn("sign", M.det_sign("transform"))
+    rows = cut_lineage(rows.select(*keys, "_i", "transform", "sign", "sample"))
     a = rows.select(*keys, F.col("_i").alias("a"), F.col("transform").alias("_ta"), F.col("sign").alias("_sa"), "sample")
     b = rows.select(*keys, F.col("_i").alias("b"), F.col("transform").alias("_tb"), F.col("sign").alias("_sb"))
     pairs = a.join(b, keys).where((F.col("a") < F.col("b")) & (F.col("_sa") == F.col("_sb")))
-    pairs = pairs.withColumn("gap_mm", mean_gap("_ta", "_tb")).where(F.col("gap_mm") <= limit)
-    entries = [F.struct(F.lit(i).alias("s"), F.lit(len(s)).alias("size"), F.lit(x).alias("a"), F.lit(y).alias("b"))
-               for i, s in enumerate(subsets) for x, y in combinations(s, 2)]
-    listed = pairs.withColumn("_e", F.explode(F.filter(F.array(*entries), lambda e: (e["a"] == F.col("a")) & (e["b"] == F.col("b")))))
-    found = listed.groupBy(*keys, F.col("_e.s").alias("subset"), F.col("_e.size").alias("size")).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("gap_mm").alias("mean_gap_mm")).where(
-        F.col("_n") * 2 == F.col("size") * (F.col("size") - 1))
-    order = F.struct(-F.col("size"), F.round("mean_gap_mm", 9), F.col("subset"))
-    best = found.groupBy(*keys).agg(F.min_by(F.struct("subset", "size", "mean_gap_mm"), order).alias("_b"))
-    members = F.array(*[F.lit(",".join(names[i] for i in s)) for s in subsets])
-    return best.select(*keys, "_b.size", "_b.mean_gap_mm", F.get(members, F.col("_b.subset")).alias("runs"))
+    pairs = cut_lineage(pairs.withColumn("gap_mm", mean_gap("_ta", "_tb")).where(F.col("gap_mm") <= limit).select(*keys, "a", "b", "gap_mm"))
+    table = largest_cliques(pairs, keys, max(least, 2)).withColumn("mean_gap_mm", F.col("total") / (F.col("size") * (F.col("size") - 1) / 2.0))
+    order = F.struct(F.round("mean_gap_mm", 9), "members")
+    best = table.groupBy(*keys).agg(F.min_by(F.struct("members", "size", "mean_gap_mm"), order).alias("_b")).select(*keys, "_b.*")
+    chosen = join_null_safe(best, listed, keys, "inner")
+    return chosen.select(*keys, "size", "mean_gap_mm", F.array_join(F.transform("members", lambda i: F.get("_names", i - 1)), ",").alias("runs"))
 
 
 def cross_family_sweep(

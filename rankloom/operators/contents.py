@@ -56,6 +56,57 @@ def grouped_folds(cases: DataFrame, group: str, folds: int, seed: int = 0, sign:
     return ranked.select(group, "sign", "size", fold.cast("int").alias("fold"))
 
 
+def dealt_runs(sizes: Sequence[tuple[int, int]], loads: list[int]) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, folds): the fold of every group when each goes to the smallest fold, ties to the first fold.
+
+    ``sizes`` holds (size, groups of that size) in falling order; positions count the groups of a size from 0, and the groups from ``first`` to
+    ``last`` go to ``folds`` in turn. Equal sizes are dealt in a round among the lowest folds, into which a further fold comes once the others
+    have reached it: at most one line for each fold and size, whatever the number of groups. ``loads`` is brought up to date.
+    """
+    out = []
+    for size, groups in sizes:
+        at = 0
+        while at < groups:
+            order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
+            lowest = loads[order[0]]
+            # the folds that the lowest one meets before it has taken another group
+            ring = [i for i in order if (loads[i], i) < (lowest + size, order[0])]
+            rest = order[len(ring):]
+            turns = -(-(groups - at) // len(ring))
+            if rest and size > 0:  # whole rounds in which even the last fold of the ring comes before the next fold outside
+                last, (ahead, left) = ring[-1], divmod(loads[rest[0]] - loads[ring[-1]], size)
+                turns = min(turns, ahead + (left > 0 or last < rest[0]))
+            take = min(groups - at, turns * len(ring))
+            out.append((size, at, at + take - 1, ring))
+            for j, i in enumerate(ring):
+                loads[i] += size * (take // len(ring) + (j < take % len(ring)))
+            at += take
+    return out
+
+
+def greedy_folds(cases: DataFrame, group: str, folds: int, seed: int = 0, sign: str | None = None) -> DataFrame:
+    """Fold of every content group by the greedy rule: largest groups first, each into the fold with the fewest cases so far.
+
+    Signs are dealt one after the other, the smaller first, and loads carry on; equal sizes go in hash order. Only the number of groups of each
+    (sign, size) reaches the driver, at most the square root of twice the cases for a sign, so no group is visited one by one, and a group
+    with a third of all cases leaves the others to the remaining folds.
+    """
+    if folds < 2:
+        raise ValueError("at least two folds are needed")
+    groups = cut_lineage(group_table(cases, group, sign))
+    counts = groups.groupBy("sign", "size").agg(F.count(F.lit(1)).alias("n")).orderBy("sign", F.desc("size")).collect()
+    loads, lines = [0] * folds, []
+    for value in dict.fromkeys(r["sign"] for r in counts):
+        lines += [(value, *line) for line in dealt_runs([(r["size"], r["n"]) for r in counts if r["sign"] == value], loads)]
+    kind = groups.schema["sign"].dataType.simpleString()
+    table = groups.sparkSession.createDataFrame(lines, f"sign {kind}, size bigint, first bigint, last bigint, folds array<int>")
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group)), 256)
+    ranked = positions(groups, ["sign", "size"], [draw, F.col(group)], "_p").withColumn("_p", F.col("_p") - 1)
+    near = ranked["sign"].eqNullSafe(table["sign"]) & (ranked["size"] == table["size"]) & F.col("_p").between(F.col("first"), F.col("last"))
+    turn = F.pmod(F.col("_p") - F.col("first"), F.size("folds")).cast("int")
+    return ranked.join(table, near).select(ranked[group], ranked["sign"], ranked["size"], F.get("folds", turn).alias("fold"))
+
+
 def sign_first_folds(cases: DataFrame, group: str, sign: str, folds: int, seed: int = 0) -> DataFrame:
     """Older rule that splits by sign before grouping: a mixed group can land in two folds."""
     tagged = cases.withColumn("_part", F.concat_ws("|", F.col(group), F.col(sign).cast("string")))
