@@ -49,7 +49,7 @@ def lower_ascii(text: str) -> str:
 
 
 class Memo(dict):
-    """Remembers ``make(key)``; emptied by ``trim`` once it holds ``limit`` entries, so memory is bounded."""
+    """Remembers ``make(key)``. Once it holds ``limit`` entries, ``trim`` keeps the short keys alone, which come again most often, so memory is bounded."""
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
@@ -63,7 +63,10 @@ class Memo(dict):
 
     def trim(self):
         if len(self) > self.limit:
+            short = {k: v for k, v in self.items() if len(k) <= 6}
             self.clear()
+            if 2 * len(short) <= self.limit:
+                self.update(short)
 
 
 def sized_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterable[pa.RecordBatch]:

@@ -44,7 +44,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.pattern = regex.compile(json.loads(definition)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = {i: c for i, c in byte_characters().items() if chr(i) != c}
-        self.words, self.pieces = Memo(self.word, 600_000), Memo(self.piece, 300_000)
+        self.words, self.pieces = Memo(self.word, 1_000_000), Memo(self.piece, 500_000)
+        self.plain = all("<" in s for s in self.special)
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -52,6 +53,14 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word(self, word: str) -> bytes:
+        if self.plain and word.isascii() and "<" not in word:
+            low = word.lower()
+            if low.isalpha():
+                return self.pieces[low]
+            core = low.rstrip(_MARKS)
+            if core.isalpha():
+                return self.pieces[core] + self.pieces[low[len(core):]]
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(low)))
         if any(s in word for s in self.special):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if max(word) < "\u0250":  # Latin letters are in normal form, and each has its lower case whatever stands beside it
