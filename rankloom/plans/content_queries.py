@@ -39,6 +39,17 @@ def grouped_folds(spark, folder):
     return C.grouped_folds(cases, "content_group", 5, 11, "sign")
 
 
+@query("greedy_folds", "WITH RECURSIVE " + with_sql(CONTENTS_SQL, SIGNED_SQL, """od AS (SELECT *, row_number() OVER (ORDER BY sign, size DESC, sha256('11|' || content_group), content_group) AS n FROM gr),
+dl AS (SELECT 0::BIGINT AS n, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL SELECT od.n, (list_position(loads, list_min(loads)) - 1)::INTEGER, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + size ELSE v END)
+  FROM dl JOIN od ON od.n = dl.n + 1)""", body="""
+SELECT content_group, sign, size, fold FROM od JOIN dl USING (n)""").removeprefix("WITH "))
+def greedy_folds(spark, folder):
+    cases = contents(spark, folder).select(
+        F.col("content_hash").alias("content_group"), F.when(F.pmod("n_chars", F.lit(5)) == 0, -1).otherwise(1).alias("sign"))
+    return C.greedy_folds(cases, "content_group", 5, 11, "sign")
+
+
 PSEUDO_SQL = """pseudo AS (SELECT doc_id AS case_id, (doc_id * 7) % (SELECT count(*) FROM documents) AS source_case,
   CASE WHEN quality = 1 AND toxic = 0 THEN 'exact' WHEN quality = 1 THEN 'geometry' WHEN toxic = 1 THEN 'threshold' ELSE 'cross' END AS teacher FROM labels)"""
 

@@ -178,12 +178,12 @@ CONTEXT_VALUES = {
 
 
 @query("context_features", with_sql(CANDIDATES_SQL, RICH_SQL, SPACE_SQL, *CONTEXT_SQL, body="SELECT b.case_id, b.jaw, b.candidate_index, " + ", ".join(
-    f"round(({e})::DOUBLE, 5) AS {n}" for n, e in CONTEXT_VALUES.items()) + """ FROM b JOIN rk USING (case_id, jaw, candidate_index) JOIN qs USING (case_id, jaw)
+    f"round(round(({e})::DOUBLE, 9), 5) AS {n}" for n, e in CONTEXT_VALUES.items()) + """ FROM b JOIN rk USING (case_id, jaw, candidate_index) JOIN qs USING (case_id, jaw)
   JOIN sh USING (case_id, jaw, candidate_index) JOIN ds USING (case_id, jaw, candidate_index) LEFT JOIN g USING (case_id, jaw, candidate_index)"""))
 def context_features(spark, folder):
     rows, names = X.context_features(rich(spark, folder), GROUP, region_view=True)
     assert len(names) == 102
-    return X.align_features(rows.select(*ID, *names), names).select(*ID, *[rounded(n, 5).alias(n) for n in names])
+    return X.align_features(rows.select(*ID, *names), names).select(*ID, *[rounded(rounded(n, 9), 5).alias(n) for n in names])
 
 
 @query("usable_scores", with_sql(CANDIDATES_SQL, body="""
