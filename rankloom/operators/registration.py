@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import matrix as M
 from ..functions.keys import hash_normal
 from ..session import cut_lineage
-from .grouping import positions, top_k
+from .grouping import hot_limit, largest_group, positions, top_k
 from .poses import interpolate_poses
 from .selection import first_per_key
 from .spatial import Targets, fit_score, hashed_sample, index_targets, keep_rows, nearest, principal_axes, rigid_fit, support_metrics, two_way_score
@@ -45,11 +45,16 @@ def paired_clouds(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tupl
     return cut_lineage(moved), cut_lineage(goal)
 
 
+def small_sources(source: DataFrame) -> bool:
+    """Whether no set is a hot group: the points of a job are those of one source."""
+    return largest_group(source, ["set_id"]) <= hot_limit(source)
+
+
 def score_jobs(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets, trim: float = 0.7) -> DataFrame:
     """One-way fit score of every job (score, median, p90, share within 2)."""
     moved, near = distances(cut_lineage(jobs), source, target)
     rows = near.select(F.col("at.job_id").alias("job_id"), "at", "distance")
-    out = fit_score(rows, ["job_id"], ["at"], [("score", trim)], sized_by=moved)
+    out = fit_score(rows, ["job_id"], ["at"], [("score", trim)], sized_by=moved, bounded=small_sources(source))
     return jobs.join(out.withColumn("score", F.round("score", ROUND)), "job_id")
 
 
@@ -98,6 +103,7 @@ def trimmed_alignment(
     or when its matrix hardly moves; stopped jobs leave the search by a filter.
     """
     index = index or index_targets(target, ["set_id"])
+    bounded = small_sources(source)
     state = cut_lineage(jobs.withColumn("correspondences", F.lit(0).cast("long")).withColumn("_on", F.lit(True)))
     for level in schedule:
         state = state.withColumn("_on", F.lit(True))
@@ -105,7 +111,7 @@ def trimmed_alignment(
             active = state.where("_on")
             moved, near = distances(active, source, index)
             valid = near.where(F.col("distance") <= level).withColumn("job_id", F.col("at.job_id"))
-            ranked = positions(valid, ["job_id"], [F.round("distance", 12), F.col("at")], "_p", "_n", sized_by=moved)
+            ranked = positions(valid, ["job_id"], [F.round("distance", 12), F.col("at")], "_p", "_n", bounded=bounded, sized_by=moved)
             kept = ranked.where((F.col("_n") >= least) & (F.col("_p") <= keep_rows(F.col("_n"), trim, least, "floor")))
             hits = target.select("set_id", F.col("point_id").alias("nearest_id"), *[F.col(c).alias(n) for c, n in zip("xyz", "uvw")])
             pairs = kept.select("set_id", "job_id", "at", "nearest_id").join(moved.drop("job_id"), ["set_id", "at"]).join(hits, ["set_id", "nearest_id"])

@@ -23,6 +23,7 @@ from .grouping import hot_limit, join_null_safe, largest_group, pick_quantiles,
 
 BLOCK = 64
 FANOUT = 64
+DIRECT = 1 << 18  # pairs of a set that meet without blocks, which would cost more than they save
 BITS = 10
 
 
@@ -124,10 +125,10 @@ def _meet(q, t, sets, coords, pairs, carry):
     return _against(join_null_safe(q, leaf, [*sets, "_blk"], "inner").drop("_blk").withColumnRenamed("_tb", "_blk"), t, sets, coords)
 
 
-def _against(left, t, sets, coords):
-    """Rows of queries that name a target block, met with the points of that block."""
-    right = t.select(*sets, "_blk", *[F.col(c).alias(f"_t_{c}") for c in t.columns if c not in (*sets, "_blk")])
-    both = join_null_safe(left, right, [*sets, "_blk"], "inner")
+def _against(left, t, sets, coords, block=("_blk",)):
+    """Rows of queries that name a target block, met with the points of that block (of the whole set without ``block``)."""
+    right = t.select(*sets, *block, *[F.col(c).alias(f"_t_{c}") for c in t.columns if c not in (*sets, "_blk")])
+    both = join_null_safe(left, right, [*sets, *block], "inner")
     gap = F.lit(0.0)
     for c in coords:
         gap = gap + (F.col(c) - F.col(f"_t_{c}")) * (F.col(c) - F.col(f"_t_{c}"))
@@ -149,6 +150,11 @@ def nearest(
     neighbour, but a copy of it is. A query whose set has no target gives no row.
     """
     sets, coords = list(sets), list(coords)
+    most = targets.largest if isinstance(targets, Targets) else largest_group(targets, sets)
+    if most * largest_group(queries, sets) <= DIRECT:
+        t = targets.blocks if isinstance(targets, Targets) else merged(targets.select(*sets, target_id, *coords), sets, coords, target_id)
+        met = _against(queries.select(*sets, F.col(query_id).alias("_qid"), *coords), t, sets, coords, [])
+        return _named(_closest(met, sets, coords, target_id, exclude_self), sets, query_id, target_id)
     q, t, top = prepared(queries, targets, sets, coords, query_id, target_id)
     pairs = None
     for level in range(top, -1, -1):
@@ -295,11 +301,11 @@ def trimmed_mean(
 def fit_score(
     distances: DataFrame, keys: Sequence[str], tie: Sequence[str], trims: Sequence[tuple[str, float]] = (("score", 0.7),),
     least: int = 32, rule: str = "floor", within: Sequence[float] = (2.0,), prefix: str = "",
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | None = None, bounded: bool = False,
 ) -> DataFrame:
     """Trimmed means, median, p90 and shares within limits, all from one ordering of the distances."""
     keys = list(keys)
-    ranked = positions(distances, keys, [F.col("distance"), *[F.col(t) for t in tie]], "_pos", "_n", sized_by=sized_by)
+    ranked = positions(distances, keys, [F.col("distance"), *[F.col(t) for t in tie]], "_pos", "_n", bounded=bounded, sized_by=sized_by)
     d, n, pos = F.col("distance"), F.col("_n"), F.col("_pos")
     base = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"{prefix}points"),
