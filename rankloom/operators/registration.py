@@ -32,10 +32,10 @@ def moved_sources(jobs: DataFrame, source: DataFrame) -> DataFrame:
     return both.select("job_id", "set_id", F.struct("job_id", "point_id").alias("at"), *[a.alias(c) for a, c in zip(at, "xyz")])
 
 
-def distances(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets) -> tuple[DataFrame, DataFrame]:
-    """Moved points and their nearest targets for all jobs."""
+def distances(jobs: DataFrame, source: DataFrame, target: DataFrame | Targets, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Moved points and their nearest targets for all jobs; ``most`` bounds the moved points that meet one target."""
     moved = moved_sources(jobs, source)
-    return moved, nearest(moved, target, ["set_id"], query_id="at")
+    return moved, nearest(moved, target, ["set_id"], query_id="at", most_queries=most)
 
 
 def paired_clouds(jobs: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,13 +103,14 @@ def trimmed_alignment(
     or when its matrix hardly moves; stopped jobs leave the search by a filter.
     """
     index = index or index_targets(target, ["set_id"])
-    bounded = small_sources(source)
+    largest = largest_group(source, ["set_id"])
+    bounded, most = largest <= hot_limit(source), largest * largest_group(jobs, ["set_id"])
     state = cut_lineage(jobs.withColumn("correspondences", F.lit(0).cast("long")).withColumn("_on", F.lit(True)))
     for level in schedule:
         state = state.withColumn("_on", F.lit(True))
         for _ in range(rounds):
             active = state.where("_on")
-            moved, near = distances(active, source, index)
+            moved, near = distances(active, source, index, most)
             valid = near.where(F.col("distance") <= level).withColumn("job_id", F.col("at.job_id"))
             ranked = positions(valid, ["job_id"], [F.round("distance", 12), F.col("at")], "_p", "_n", bounded=bounded, sized_by=moved)
             kept = ranked.where((F.col("_n") >= least) & (F.col("_p") <= keep_rows(F.col("_n"), trim, least, "floor")))

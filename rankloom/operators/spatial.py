@@ -142,16 +142,18 @@ def merged(df: DataFrame, sets: Sequence[str], coords: Sequence[str], ident: str
 
 def nearest(
     queries: DataFrame, targets: DataFrame | Targets, sets: Sequence[str], coords: Sequence[str] = ("x", "y", "z"),
-    query_id: str = "point_id", target_id: str = "point_id", exclude_self: bool = False,
+    query_id: str = "point_id", target_id: str = "point_id", exclude_self: bool = False, most_queries: int | None = None,
 ) -> DataFrame:
     """Exact nearest target of every query of the same set: (sets, query_id, nearest_id, distance).
 
+    ``most_queries`` bounds the queries of a set where the caller knows it, which saves counting them.
+
     ``exclude_self`` is for a set searched against itself: a point is not its own
     neighbour, but a copy of it is. A query whose set has no target gives no row.
     """
     sets, coords = list(sets), list(coords)
     most = targets.largest if isinstance(targets, Targets) else largest_group(targets, sets)
-    if most * largest_group(queries, sets) <= DIRECT:
+    if most * (largest_group(queries, sets) if most_queries is None else most_queries) <= DIRECT:
         t = targets.blocks if isinstance(targets, Targets) else merged(targets.select(*sets, target_id, *coords), sets, coords, target_id)
         met = _against(queries.select(*sets, F.col(query_id).alias("_qid"), *coords), t, sets, coords, [])
         return _named(_closest(met, sets, coords, target_id, exclude_self), sets, query_id, target_id)

@@ -95,7 +95,7 @@ def test_prior_basin_and_local_targets(spark, job, tmp_path):
     from dataclasses import replace
 
     plan = replace(PLAN, refine=1, basin_top=2, basin_choice="source-diverse", basin_samples=6, basin_stages=((4.0, 2.0),), basin_refine=2,
-                   basin_schedule=(2.0, 1.0), basin_rounds=2, adaptive_top=1, adaptive_least=20, adaptive_schedule=(2.0, 1.0), adaptive_radius=4.0)
+                   basin_schedule=(2.0,), basin_rounds=1, adaptive_top=1, adaptive_least=20, adaptive_schedule=(2.0,), adaptive_radius=4.0, rounds=1)
     only = job["wanted"].where("set_id = 'a'")
     prior = spark.createDataFrame([("a", 1, [float(v) for v in job["rot"].ravel()])], "set_id string, parity int, rotation array<double>")
     regions = job["targets"].where("set_id = 'a' AND target = 't1'").withColumn("target", G.F.lit("roi"))
@@ -115,7 +115,7 @@ def test_prior_basin_and_local_targets(spark, job, tmp_path):
 def test_halving_finds_the_exhaustive_best(spark, job):
     source = job["sources"].where("set_id = 'a' AND variant = 'full'").drop("variant")
     target = job["targets"].where("set_id = 'a' AND target = 't1'").drop("target")
-    settings = {"parities": (1, -1), "refine": 2, "schedule": (6.0, 3.0, 1.5), "rounds": 4, "least": 16}
+    settings = {"parities": (1, -1), "refine": 2, "schedule": (6.0, 3.0, 1.5), "rounds": 2, "least": 16}
     whole = R.register(source, target, samples=(), coarse=0, **settings).where("rank = 1").collect()[0]
     quick = R.register(source, target, samples=(24, 48), coarse=40, **settings).where("rank = 1").collect()[0]
     assert quick.parity == whole.parity == 1
@@ -140,8 +140,8 @@ def test_surface_matches(spark):
                                      "entry_id string, point_id long, x double, y double, z double")
     pairs = {(r.query_id, r.entry_id, r.match_kind) for r in G.content_pairs(queries, entries, 1.5).collect()}
     assert pairs == {("q1", "e1", "raw"), ("q1", "e4", "raw"), ("q2", "e1", "payload"), ("q4", "e3", "raw")}
-    limits = G.MatchLimits(refine=3, least=24)
-    found = {r.query_id: r for r in G.surface_matches(queries, points, entries, surfaces, limits, (6.0, 3.0, 1.0), 4).collect()}
+    limits = G.MatchLimits(refine=1, least=24)
+    found = {r.query_id: r for r in G.surface_matches(queries, points, entries, surfaces, limits, (3.0, 1.0), 2).collect()}
     assert set(found) == {"q1", "q2"}  # q3 is the other side, q4 fails the gates
     truth = known.copy()
     truth[:3, :3], truth[:3, 3] = rot, shift + known[:3, 3]
