@@ -45,7 +45,7 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.number, self.other = dict(zip(hashes.tolist(), range(len(hashes)), strict=True)), len(hashes)
-        self.of_word = Memo(lambda word: self.number.get(term_hash(word.strip(EDGES)), self.other), 600_000)
+        self.of_word = Memo(lambda word: self.number.get(term_hash(word.strip(EDGES)), self.other), 250_000)
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """(ascending term numbers, counts)."""
@@ -264,7 +264,7 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
         for start in range(0, len(texts), GROUP):
             counted = [vocabulary.counts(text.as_py()) for text in texts[start:start + GROUP]]
             keys = [xxhash.xxh128_digest(terms.tobytes() + n.tobytes()) for terms, n in counted]
-            if len(seen) > 50_000:
+            if len(seen) > 8_000:
                 seen.clear()
             new = {key: own.vector(*pair) for key, pair in zip(keys, counted, strict=True) if key not in seen}
             for key, (vote, evidence) in zip(new, own.votes([*new.values()]), strict=True):
