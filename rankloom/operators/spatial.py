@@ -23,7 +23,7 @@ from .grouping import hot_limit, join_null_safe, largest_group, pick_quantiles,
 
 BLOCK = 64
 FANOUT = 64
-DIRECT = 1 << 18  # pairs of a set that meet without blocks, which would cost more than they save
+DIRECT = 1 << 22  # pairs of a set that meet without blocks, which would cost more than they save
 BITS = 10
 
 

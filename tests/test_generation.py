@@ -145,10 +145,12 @@ def test_surface_matches(spark):
     assert set(found) == {"q1", "q2"}  # q3 is the other side, q4 fails the gates
     truth = known.copy()
     truth[:3, :3], truth[:3, 3] = rot, shift + known[:3, 3]
+    # entry and query hold every second point, so a slide by one point of the reference fits as well as the truth
+    spacing = np.linalg.norm(np.diff(reference, axis=0), axis=1).mean()
     for q, kind in (("q1", "raw"), ("q2", "payload")):
         assert found[q].match_kind == kind and found[q].entry_id == "e1"
         m = matrix(found[q])
-        assert np.linalg.norm(query @ (m - truth)[:3, :3].T + (m - truth)[:3, 3], axis=1).mean() < 0.3
+        assert np.linalg.norm(query @ (m - truth)[:3, :3].T + (m - truth)[:3, 3], axis=1).mean() < 1.2 * spacing
 
 
 def test_bundles_are_built_once(spark, tmp_path):
