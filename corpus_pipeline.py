@@ -60,8 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents in sequences of 2048 ids; executors still hold what earlier stages left, so fewer words are remembered."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=250_000)
 
 
 STAGES = [

@@ -23,6 +23,8 @@ from rankloom.session import cut_lineage, ship_package
 END_ID = 1
 WINDOW = 2048
 K1, B = 1.2, 0.75
+#: Words whose ids a task remembers; about 250 bytes each.
+REMEMBERED = 1_000_000
 PIECES = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, near bigint"
 PACKED = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -38,13 +40,13 @@ class WordEncoder:
     strings, or beyond the Latin blocks, go to the tokenizer whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.pattern = regex.compile(json.loads(definition)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = {i: c for i, c in byte_characters().items() if chr(i) != c}
-        self.words, self.pieces = Memo(self.word, 1_000_000), Memo(self.piece, 500_000)
+        self.words, self.pieces = Memo(self.word, remembered), Memo(self.piece, remembered // 2)
         self.plain = all("<" in s for s in self.special)
 
     def piece(self, piece: str) -> bytes:
@@ -83,9 +85,9 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
 
 
-@lru_cache(maxsize=2)
-def encoder(definition: str) -> WordEncoder:
-    return WordEncoder(definition)
+@lru_cache(maxsize=1)
+def encoder(definition: str, remembered: int = REMEMBERED) -> WordEncoder:
+    return WordEncoder(definition, remembered)
 
 
 def lexical_key(ids: np.ndarray) -> int:
@@ -97,9 +99,9 @@ def lexical_key(ids: np.ndarray) -> int:
     return int(one.min()) << 31 | int(two.min())
 
 
-def cut_documents(batches: Iterable[pa.RecordBatch], definition: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def cut_documents(batches: Iterable[pa.RecordBatch], definition: str, schema: pa.Schema, remembered: int) -> Iterator[pa.RecordBatch]:
     """One row for each full window inside a document and one for what is left, with its ids."""
-    own = encoder(definition)
+    own = encoder(definition, remembered)
     for batch in sized_batches(batches, "text"):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -217,7 +219,8 @@ def pack_partition(batches: Iterable[pa.RecordBatch], schema: pa.Schema, shard_t
         yield from to_batches(flush(), schema)
 
 
-def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", shard_tokens: int = 1 << 20) -> DataFrame:
+def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", shard_tokens: int = 1 << 20,
+         remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 ids, near texts together.
 
     A document's ids are cut into full windows, which are sequences of their own, and a tail. Tails are
@@ -227,7 +230,8 @@ def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text: str =
     last window of a shard is padded. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have the final id alone. Null ids stay null. Repeated rows are packed each.
-    An empty table gives no rows. Other columns are not read. Memory per task is one shard. The cut documents are
+    An empty table gives no rows. Other columns are not read. Memory per task is one shard, or the ids of
+    ``remembered`` words, which changes the time but no row. The cut documents are
     written to the checkpoint folder before the shuffle, so texts are tokenized once and a lost task repeats its shard alone.
     """
     spark = documents.sparkSession
@@ -239,7 +243,7 @@ def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text: str =
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     cut = arrow_schema(spark, PIECES.format(id=kind))
-    pieces = cut_lineage(rows.mapInArrow(lambda batches: cut_documents(batches, shared.value, cut), PIECES.format(id=kind)))
+    pieces = cut_lineage(rows.mapInArrow(lambda batches: cut_documents(batches, shared.value, cut, remembered), PIECES.format(id=kind)))
     total = pieces.agg(F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.col("length"))), F.lit(0))).first()[0]
     shards = max(1, round(total / shard_tokens))
     order = ["near", F.xxhash64(F.lit(11), "doc_id", "start")]
