@@ -232,10 +232,10 @@ def training_rows(spark, folder):
     return cut_lineage(rows.select(*ID, "fold", "weight", "mean_tre_mm", *[f for f in FEATURES if f != "mean_tre_mm"]))
 
 
-def oof_regression(rows, trees=4, depth=4, seeds=(1, 2)):
+def oof_regression(rows, trees=4, depth=4, seeds=(1, 2), kind="forest"):
     return L.out_of_fold(
         rows, "fold", [0, 1], seeds,
-        lambda train, seed: L.fit_regression(train, FEATURES, "mean_tre_mm", seed, trees=trees, depth=depth),
+        lambda train, seed: L.fit_regression(train, FEATURES, "mean_tre_mm", seed, kind=kind, trees=trees, depth=depth),
         lambda model, held, seed: L.score_regression({seed: model}, held, FEATURES, ID))
 
 
@@ -249,6 +249,13 @@ def out_of_fold_scores(spark, folder):
     return L.selected_errors(predictions, rows, GROUP, "mean_tre_mm", "vote").select(*GROUP, "candidate_index", "ensemble_method", "mean_tre_mm")
 
 
+@query("random_tree_scores")
+def random_tree_scores(spark, folder):
+    rows = training_rows(spark, folder)
+    predictions = oof_regression(rows, kind="random_trees", seeds=(1,))
+    return L.selected_errors(predictions, rows, GROUP, "mean_tre_mm", "vote").select(*GROUP, "candidate_index", "ensemble_method", "mean_tre_mm")
+
+
 @query("grid_sweep")
 def grid_sweep(spark, folder):
     rows = training_rows(spark, folder)
