@@ -11,8 +11,8 @@ from pyspark.sql.window import Window as W
 from ..functions import keys as K
 from ..functions import matrix as M
 from ..session import cut_lineage
-from .grouping import hot_groups, hot_limit, join_null_safe, lowest_fraction, robust_z
-from .spatial import near_counts, nearest
+from .grouping import hot_groups, hot_limit, join_null_safe, largest_group, lowest_fraction, robust_z
+from .spatial import HELD, held_pairs, near_counts, nearest
 
 # The names under which features are recorded with a model, in order.
 FEATURE_NAMES = [
@@ -185,6 +185,11 @@ def descriptor_space(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, lis
 def density_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str], ident: str = "candidate_index") -> DataFrame:
     """Nearest other row and share of other rows within 0.10 and 0.25, per row."""
     keys = list(keys)
+    if largest_group(space, keys) <= HELD:
+        sq, others = F.col("_sq"), F.greatest(F.count(F.lit(1)) - 1, F.lit(1))
+        return held_pairs(space, keys, dims, ident).groupBy(*keys, F.col("q_id").alias(ident)).agg(
+            F.coalesce(F.sqrt(F.min(F.when(F.col("q_id") != F.col("t_id"), sq))), F.lit(0.0)).alias("nearest"),
+            *[((F.count_if(sq <= r * r) - 1) / others).alias(name) for r, name in ((0.10, "density_010"), (0.25, "density_025"))])
     near = nearest(space, space, keys, dims, ident, ident, exclude_self=True).select(*keys, ident, F.col("distance").alias("nearest"))
     counts = near_counts(space, space, keys, dims, [0.10, 0.25], ident, ident)
     sizes = space.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -201,18 +206,27 @@ def cross_run_features(space: DataFrame, keys: Sequence[str], dims: Sequence[str
     A group with a single run gets (0, 8, 8, 0, 0).
     """
     keys = list(keys)
+    defaults = {"run_available": 0.0, "run_nearest": 8.0, "run_mean": 8.0, "run_share_010": 0.0, "run_share_025": 0.0}
+    if largest_group(space, keys) <= HELD:
+        pairs = held_pairs(space, keys, dims, ident, [run])
+        other = F.when(~F.col(f"q_{run}").eqNullSafe(F.col(f"t_{run}")), F.col("_sq"))
+        per = pairs.groupBy(*keys, F.col("q_id").alias(ident), f"t_{run}").agg(F.sqrt(F.min(other)).alias("distance"))
+        return per.groupBy(*keys, ident).agg(*[F.coalesce(e, F.lit(defaults[n])).alias(n) for n, e in _run_summary().items()])
     runs = space.select(*keys, F.col(run).alias("_other")).distinct()
     asks = join_null_safe(space.select(*keys, run, ident, *dims), runs, keys, "inner").where(~F.col(run).eqNullSafe(F.col("_other")))
     targets = space.select(*keys, F.col(run).alias("_other"), ident, *dims)
     per = nearest(asks, targets, [*keys, "_other"], dims, ident, ident)
-    table = per.groupBy(*keys, ident).agg(
-        F.lit(1.0).alias("run_available"), F.min("distance").alias("run_nearest"), F.avg("distance").alias("run_mean"),
-        F.avg((F.col("distance") <= 0.10).cast("double")).alias("run_share_010"), F.avg((F.col("distance") <= 0.25).cast("double")).alias("run_share_025"))
+    table = per.groupBy(*keys, ident).agg(*[e.alias(n) for n, e in _run_summary().items()])
     out = join_null_safe(space.select(*keys, ident), table, [*keys, ident], "left")
-    defaults = {"run_available": 0.0, "run_nearest": 8.0, "run_mean": 8.0, "run_share_010": 0.0, "run_share_025": 0.0}
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
+def _run_summary() -> dict[str, Column]:
+    d = F.col("distance")
+    return {"run_available": F.max(F.when(d.isNotNull(), 1.0)), "run_nearest": F.min(d), "run_mean": F.avg(d),
+            "run_share_010": F.avg((d <= 0.10).cast("double")), "run_share_025": F.avg((d <= 0.25).cast("double"))}
+
+
 #: Columns that are ranked and scaled within the group, in the order of CONTEXT_NAMES.
 RANKED = ("selection_score", "source_fit", "target_fit", "full_trim_20", "full_distance_median", "full_distance_p90", "prior_angle_scaled")
 

@@ -119,7 +119,7 @@ def neighbour_density(spark, folder):
 def described(spark, folder):
     rows, _ = X.base_features(rich(spark, folder))
     space, dims = X.descriptor_space(rows, GROUP)
-    return cut_lineage(space.select(*ID, "candidate_run", *dims)), dims
+    return space.select(*ID, "candidate_run", *dims), dims
 
 
 @query("cross_run_support", with_sql(CANDIDATES_SQL, SPACE_SQL, """n AS (SELECT case_id, jaw, candidate_index, rb, min(dist) AS d FROM pr WHERE ra <> rb GROUP BY ALL),
