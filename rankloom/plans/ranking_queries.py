@@ -255,12 +255,7 @@ def policy_curve(spark, folder):
     from ..operators.summaries import summarize
 
     alphas = [i * 0.05 for i in range(21)]
-    ranked = S.rank_blend(
-        candidates(spark, folder), GROUP, "fit_score_mm", "selection_score_mm", alphas
-    ).withColumn("blend_score", F.round("blend_score", 9))
-    chosen = ranked.groupBy("alpha", *GROUP).agg(
-        F.min_by("mean_tre_mm", F.struct("blend_score", "candidate_index")).alias("error")
-    )
+    chosen = S.blended_choices(candidates(spark, folder), GROUP, "fit_score_mm", "selection_score_mm", alphas, "mean_tre_mm").withColumnRenamed("mean_tre_mm", "error")
     out = summarize(chosen, ["alpha"], "error", success=())
     return out.select(
         r6("alpha").alias("alpha"),
