@@ -48,3 +48,37 @@ def test_scaled_columns_take_one_shuffle_and_equal_the_hot_way(spark, space):
         spark.conf.unset("spark.rankloom.hotGroupRows")
     want = {(r["g"], r["i"]): (r["za"], r["zb"]) for r in longer}
     assert {(r["g"], r["i"]): (pytest.approx(r["za"]), pytest.approx(r["zb"])) for r in short.collect()} == want
+
+
+def test_pose_pairs_take_one_shuffle_and_equal_the_blocks(spark, monkeypatch):
+    from rankloom.operators import consensus as Q
+
+    rng = np.random.default_rng(8)
+    unit = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    rows = []
+    for g in range(4):
+        for i in range(12):
+            m = list(unit)
+            m[0], m[3], m[7] = (-1.0 if i % 5 == 0 else 1.0), *map(float, rng.uniform(0, 4, 2))
+            rows.append((g, i, m, [(0.0, 0.0, 0.0), (1.0, 2.0, 3.0)], 0.5, 1.0, 1.5))
+    df = spark.createDataFrame(rows, "g long, candidate_index long, transform array<double>, sample array<struct<x:double,y:double,z:double>>, sx double, sy double, sz double")
+    short = Q.pose_pairs(df.repartition(3), ["g"], 2.0)
+    assert shuffles(short) == 1
+    monkeypatch.setattr(Q, "HELD", 0)
+    first, second = ({(r["g"], r["candidate_index"], r["other"]): r["gap_mm"] for r in d.collect()} for d in (short, Q.pose_pairs(df, ["g"], 2.0)))
+    assert first.keys() == second.keys() and len(first) > 48
+    assert all(first[k] == pytest.approx(second[k]) for k in first)
+
+
+def test_blended_choices_do_not_multiply_rows(spark):
+    from rankloom.operators import selection as S
+
+    rng = np.random.default_rng(9)
+    rows = [(int(g), int(i), float(a), float(b), float(i)) for g in range(4) for i, (a, b) in enumerate(rng.integers(0, 5, (9, 2)))]
+    df = spark.createDataFrame(rows, "g long, candidate_index long, a double, b double, e double")
+    got = {(r["g"], r["alpha"]): r["e"] for r in S.blended_choices(df, ["g"], "a", "b", [0.0, 0.3, 1.0], "e").collect()}
+    want = {}
+    for r in S.rank_blend(df, ["g"], "a", "b", [0.0, 0.3, 1.0]).collect():
+        key, score = (r["g"], r["alpha"]), (round(r["blend_score"], 9), r["candidate_index"])
+        want[key] = min(want.get(key, (score, r["e"])), (score, r["e"]))
+    assert got == {k: v[1] for k, v in want.items()}
