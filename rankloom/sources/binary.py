@@ -12,6 +12,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -141,30 +142,43 @@ def decode_meshes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, "path string, point_id long, x double, y double, z double")
 
 
+def pooled(parts: Iterable[dict], rows: int = 65536) -> Iterator[pd.DataFrame]:
+    """Columns of many small files in frames of about ``rows`` rows; a part is a dictionary of equally long columns."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part["path"])
+        if size >= rows:
+            yield pd.DataFrame({c: list(chain.from_iterable(p[c] for p in held)) if c in ("path", "affine") else np.concatenate([p[c] for p in held]) for c in part})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({c: list(chain.from_iterable(p[c] for p in held)) if c in ("path", "affine") else np.concatenate([p[c] for p in held]) for c in held[0]})
+
+
 def decode_volumes(files: DataFrame, minimum: float) -> DataFrame:
     """Voxels at or above ``minimum`` as rows (path, i, j, k, hu); one slab at a time becomes double."""
     ship_package(files.sparkSession)
 
-    def decode(batches):
+    def slabs(batches):
         for path, (volume, slope, inter) in readable(batches, "volume"):
             for i in range(volume.shape[0]):
                 slab = volume[i].astype(float) * slope + inter
                 j, k = np.nonzero(slab >= minimum)
                 if len(j):
-                    yield pd.DataFrame({"path": path, "i": np.int32(i), "j": j.astype("int32"), "k": k.astype("int32"), "hu": slab[j, k]})
+                    yield {"path": [path] * len(j), "i": np.full(len(j), i, "int32"), "j": j.astype("int32"), "k": k.astype("int32"), "hu": slab[j, k]}
 
-    return files.select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, hu double")
+    return files.select("path", "content").mapInPandas(lambda batches: pooled(slabs(batches)), "path string, i int, j int, k int, hu double")
 
 
 def decode_headers(files: DataFrame) -> DataFrame:
     """Shape and affine of every volume; no voxel is unpacked."""
     ship_package(files.sparkSession)
 
-    def decode(batches):
+    def heads(batches):
         for path, (shape, affine, *_) in readable(batches, "header"):
-            yield pd.DataFrame({"path": [path], "nx": [shape[0]], "ny": [shape[1]], "nz": [shape[2]], "affine": [affine.reshape(-1).tolist()]})
+            yield {"path": [path], "nx": [shape[0]], "ny": [shape[1]], "nz": [shape[2]], "affine": [affine.reshape(-1).tolist()]}
 
-    return files.select("path", "content").mapInPandas(decode, "path string, nx int, ny int, nz int, affine array<double>")
+    return files.select("path", "content").mapInPandas(lambda batches: pooled(heads(batches)), "path string, nx int, ny int, nz int, affine array<double>")
 
 
 def read_matrices(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
