@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Memo, components, row_key, sized_batches, table, union_find
+from rankloom.llm.common import Memo, components, released, row_key, sized_batches, table, union_find
 from rankloom.session import cut_lineage, ship_package
 
 WORDS = 5
@@ -293,7 +293,7 @@ def near_copies(documents: DataFrame, text: str = "text", id_column: str = "doc_
             for found in describe([batch]):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found.columns], ["doc_id", *found.schema.names])
 
-    drawn = cut_lineage(rows.mapInArrow(described, f"doc_id {kind}, key bigint, size bigint, set_hash binary, sketch binary"))
+    drawn = cut_lineage(rows.mapInArrow(lambda b: released(described(b)), f"doc_id {kind}, key bigint, size bigint, set_hash binary, sketch binary"))
     sets = drawn.filter("size > 0").groupBy("set_hash").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least"),
                                                             F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets)
@@ -307,7 +307,7 @@ def near_copies(documents: DataFrame, text: str = "text", id_column: str = "doc_
     dealt = dealt.select("rep", "copies", "block", (F.col("block") == F.col("other")).alias("within"), F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
     texts = rows.select(F.col("key").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     tasks = dealt.join(texts, "rep").select("task", "rep", "copies", "block", "within", "text").repartition("task").sortWithinPartitions("task")
-    found = cut_lineage(tasks.mapInArrow(lambda b: verify(b, similarity), "rep bigint, links bigint, root bigint"))
+    found = cut_lineage(tasks.mapInArrow(lambda b: released(verify(b, similarity)), "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
     labelled = cut_lineage(sets.select("set_hash", "rep", "copies", "least").join(links, "rep", "left").join(joined, "rep", "left")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import row_key, sized_batches, table
+from rankloom.llm.common import release_memory, row_key, sized_batches, table
 from rankloom.session import cut_lineage, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -283,7 +283,10 @@ def find_column(spark: SparkSession, field: Field, text: Column, redact: bool =
             counts = [sum(k == i for _, k, _ in base) for i in range(len(KINDS))]
             out.append({"n_email": counts[0], "n_ip": counts[1], "n_card": counts[2], "n_phone": counts[3], "base": written(base),
                         "spans": written(spans), "redacted": masked(text, spans) if redact else None})
-        return pa.array(out, RESULT)
+        found = pa.array(out, RESULT)
+        del out
+        release_memory()
+        return found
 
     return find(text.cast("binary"))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Memo, sized_batches, table
+from rankloom.llm.common import Memo, release_memory, sized_batches, table
 from rankloom.session import cut_lineage, ship_package
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id, and at most so many of their characters.
@@ -270,7 +270,10 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
             for key, (vote, evidence) in zip(new, own.votes([*new.values()]), strict=True):
                 seen[key] = {"score": own.score(vote), "evidence": [str(i) for i in evidence]}
             out += [seen[key] for key in keys]
-        return pa.array(out, kind)
+        scored = pa.array(out, kind)
+        del out
+        release_memory()
+        return scored
 
     return score(text.cast("binary"))
 
