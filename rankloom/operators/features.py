@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..functions import keys as K
 from ..functions import matrix as M
 from ..session import cut_lineage
 from .grouping import hot_groups, hot_limit, join_null_safe, largest_group, lowest_fraction, robust_z
+from .held_context import context_udf
 from .spatial import HELD, held_pairs, near_counts, nearest
 
 # The names under which features are recorded with a model, in order.
@@ -233,16 +234,22 @@ RANKED = ("selection_score", "source_fit", "target_fit", "full_trim_20", "full_d
 
 def support_context(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Ranks and scaled values of the support columns (deficits, negated gain)."""
-    ranks = {
+    ranks, scaled = support_ranks(), SUPPORT_SCALED
+    out = robust_z(lowest_fractions(df, keys, ranks), keys, scaled)
+    return out, CONTEXT_NAMES[27:]
+
+
+SUPPORT_SCALED = {"crown_symmetric_trim20": "context_crown_symmetric_robust_z", "crown_centroid_error_scaled": "context_crown_centroid_robust_z"}
+
+
+def support_ranks() -> dict[str, Column]:
+    return {
         "context_crown_symmetric_rank": F.col("crown_symmetric_trim20"), "context_crown_centroid_rank": F.col("crown_centroid_error_scaled"),
         "context_crown_overlap_deficit_rank": 1.0 - F.col("crown_source_overlap_2mm"),
         "context_crown_coverage_deficit_rank": 1.0 - F.col("crown_target_coverage_2mm"),
         "context_crown_refinement_gain_rank": -F.col("crown_refinement_improvement"),
         "context_crown_refinement_motion_rank": F.col("crown_refinement_center_motion_scaled"),
     }
-    scaled = {"crown_symmetric_trim20": "context_crown_symmetric_robust_z", "crown_centroid_error_scaled": "context_crown_centroid_robust_z"}
-    out = robust_z(lowest_fractions(df, keys, ranks), keys, scaled)
-    return out, CONTEXT_NAMES[27:]
 
 
 def run_name(df: DataFrame, run: str = "candidate_run") -> Column:
@@ -253,26 +260,66 @@ def run_name(df: DataFrame, run: str = "candidate_run") -> Column:
 
 def context_features(
     df: DataFrame, keys: Sequence[str], run: str = "candidate_run", jaw: str = "jaw", ident: str = "candidate_index",
-    region_view: bool = False,
+    region_view: bool = False, prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, list[str]]:
     """All base and context columns of a candidate table and their names in order (100, or 102).
 
-    Blocks are computed on the key columns and what they need; the wide base columns are joined once, at the end.
+    Groups of at most HELD rows meet whole, in one shuffle by the keys: only the values that a context needs are turned into arrays, and the
+    wide columns are made from the candidates again behind it. Larger groups alone take blocks, whose columns are joined to the wide ones.
+    ``prepare`` adds columns to each row from its other columns; what it adds is made anew and not carried.
     """
     keys = list(keys)
-    rows, base = base_features(df, jaw)
+    names = [*FEATURE_NAMES, *CONTEXT_NAMES, *(REGION_NAMES if region_view else [])]
+    large = hot_groups(df, keys, HELD)
+    if large.isEmpty():
+        return _held_context(df, keys, run, jaw, region_view, prepare), names
+    large = cut_lineage(large.select(*keys))
+    small = _held_context(join_null_safe(df, large, keys, "left_anti"), keys, run, jaw, region_view, prepare)
+    return small.unionByName(_wide_context(prepare(join_null_safe(df, large, keys, "left_semi")), keys, run, jaw, ident, region_view)), names
+
+
+def _own_context(df: DataFrame, run: str, jaw: str, region_view: bool) -> dict[str, Column]:
+    """Context columns that a candidate alone tells."""
     c = Candidate(df)
-    rows = rows.withColumns({
-        "_run": run_name(df, run), "context_opposite_axial_target": K.opposite_target("target", c.text("axial_assignment"), jaw).cast("double"),
-        "context_jaw_upper": (F.col(jaw) == "upper").cast("double"),
-    })
+    out = {"context_opposite_axial_target": K.opposite_target("target", c.text("axial_assignment"), jaw).cast("double"),
+           "context_jaw_upper": (F.col(jaw) == "upper").cast("double")}
     if region_view:
-        name = F.lower(F.col("_run"))
+        name = F.lower(run_name(df, run))
         path = F.lower(F.coalesce(c.raw("source_volume_path", "string"), c.raw("volume_path", "string"), F.lit("")))
-        rows = rows.withColumns({
-            "context_roi_view": (F.contains(name, F.lit("roi")) | F.contains(path, F.lit("roi"))).cast("double"),
-            "context_roi_low_profile": (F.contains(name, F.lit("lowadaptive")) | F.contains(name, F.lit("roi_low"))).cast("double"),
-        })
+        out["context_roi_view"] = (F.contains(name, F.lit("roi")) | F.contains(path, F.lit("roi"))).cast("double")
+        out["context_roi_low_profile"] = (F.contains(name, F.lit("lowadaptive")) | F.contains(name, F.lit("roi_low"))).cast("double")
+    return out
+
+
+def _held_context(df: DataFrame, keys: list[str], run: str, jaw: str, region_view: bool, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The context of groups of at most HELD rows, by one aggregate over their keys."""
+    rest = [c for c in df.columns if c not in keys]
+    ranks = {**{n: F.col(v) for n, v in zip(CONTEXT_NAMES[:7], RANKED, strict=True)}, **support_ranks()}
+    scaled = {**dict(zip(RANKED, CONTEXT_NAMES[7:14], strict=True)), **SUPPORT_SCALED}
+    dims = [*OFFSETS, *ROTATION]
+    whole = prepare(df.select("*", F.struct(*rest).alias("_row")))
+    based, _ = base_features(whole.withColumn("_run", run_name(whole, run)), jaw)
+    numbers = F.array(*ranks.values(), *[F.col(c) for c in dims])
+    each = based.select(*keys, F.struct("_row", numbers.alias("v"), F.col("_run").alias("r"), F.col("target").cast("string").alias("t"),
+                                        F.col("source_variant").cast("string").alias("s")).alias("_e"))
+    groups = each.groupBy(*keys).agg(F.collect_list("_e").alias("_all"))
+    # the scaled columns are ranked as they are, and stand first
+    found = context_udf(len(ranks), list(range(len(scaled))), len(dims))("_all.v", "_all.r", "_all.t", "_all.s")
+    rows = groups.select(*keys, "_all._row", found.alias("found")).select(*keys, F.inline(F.arrays_zip("_row", "found")))
+    made = [*ranks, *scaled.values(), *CONTEXT_NAMES[14:17], *CONTEXT_NAMES[19:27]]
+    rows = prepare(rows.select(*keys, "_row.*", *[F.get("found", F.lit(i)).alias(n) for i, n in enumerate(made)]))
+    return base_features(rows.withColumns(_own_context(rows, run, jaw, region_view)), jaw)[0].select(*_wide_columns(prepare(df), region_view))
+
+
+def _wide_columns(df: DataFrame, region_view: bool) -> list[str]:
+    made = [*FEATURE_NAMES, *CONTEXT_NAMES, *(REGION_NAMES if region_view else [])]
+    return [*[c for c in df.columns if c not in made], *made]
+
+
+def _wide_context(df: DataFrame, keys: list[str], run: str, jaw: str, ident: str, region_view: bool) -> DataFrame:
+    """The context of groups of any size; blocks are computed on the key columns and what they need, and joined once."""
+    rows, _ = base_features(df, jaw)
+    rows = rows.withColumns({"_run": run_name(df, run), **_own_context(df, run, jaw, region_view)})
     rows = cut_lineage(rows)  # the projection is read by every block below
     needed = ["crown_symmetric_trim20", "crown_centroid_error_scaled", "crown_source_overlap_2mm", "crown_target_coverage_2mm",
               "crown_refinement_improvement", "crown_refinement_center_motion_scaled"]
@@ -291,7 +338,7 @@ def context_features(
     block = block.select(*keys, ident, *CONTEXT_NAMES[:17], *support)
     for part in (near, across, block):
         rows = join_null_safe(rows, part, [*keys, ident], "left")
-    return rows.drop("_run"), [*base, *CONTEXT_NAMES, *(REGION_NAMES if region_view else [])]
+    return rows.select(*_wide_columns(df, region_view))
 
 
 def align_features(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import features as X
 from ..operators import models as L
 from ..operators import selection as S
 from ..session import cut_lineage
-from .bindings import CANDIDATES_SQL, GROUP, candidates, posed, r6, rounded, with_sql
+from .bindings import CANDIDATES_SQL, GROUP, all_rounded, candidates, posed, r6, rounded, with_sql
 from .registry import query
 
 ID = [*GROUP, "candidate_index"]
@@ -17,7 +17,11 @@ ID = [*GROUP, "candidate_index"]
 
 def rich(spark, folder):
     """Candidates with matrix, centroids, metadata of every mode and a few support columns."""
-    rows = posed(candidates(spark, folder))
+    return enriched(candidates(spark, folder))
+
+
+def enriched(rows):
+    rows = posed(rows)
     fifth = F.pmod("candidate_index", F.lit(5))
     mode = (F.when(F.contains("target", F.lit("adaptive")), "adaptive_threshold_roi").when(F.contains("target", F.lit("aggregate")), "threshold_aggregate")
             .when(fifth == 0, "crown_probability").when(fifth == 1, "crown_localizer").when(fifth == 2, "crown_guided_cbct")
@@ -181,9 +185,9 @@ CONTEXT_VALUES = {
     f"round(round(({e})::DOUBLE, 9), 5) AS {n}" for n, e in CONTEXT_VALUES.items()) + """ FROM b JOIN rk USING (case_id, jaw, candidate_index) JOIN qs USING (case_id, jaw)
   JOIN sh USING (case_id, jaw, candidate_index) JOIN ds USING (case_id, jaw, candidate_index) LEFT JOIN g USING (case_id, jaw, candidate_index)"""))
 def context_features(spark, folder):
-    rows, names = X.context_features(rich(spark, folder), GROUP, region_view=True)
+    rows, names = X.context_features(candidates(spark, folder), GROUP, region_view=True, prepare=enriched)
     assert len(names) == 102
-    return X.align_features(rows.select(*ID, *names), names).select(*ID, *[rounded(rounded(n, 9), 5).alias(n) for n in names])
+    return all_rounded(X.align_features(rows.select(*ID, *names), names), ID, names, 9, 5)
 
 
 @query("usable_scores", with_sql(CANDIDATES_SQL, body="""
