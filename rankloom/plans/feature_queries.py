@@ -89,7 +89,7 @@ BASE_SQL = {
     f"round(({BASE_SQL[name]})::DOUBLE, 5) AS {name}" for name in X.FEATURE_NAMES) + " FROM r"))
 def base_features(spark, folder):
     rows, names = X.base_features(rich(spark, folder))
-    return rows.select(*ID, *[rounded(n, 5).alias(n) for n in names])
+    return all_rounded(rows, ID, names, 5)
 
 
 @query("modality_features", with_sql(CANDIDATES_SQL, RICH_SQL, body="""
