@@ -57,3 +57,40 @@ def test_hot_sets_align_as_others_do(spark):
         spark.conf.unset("spark.rankloom.hotGroupRows")
     assert hot.correspondences == plain.correspondences > 100
     assert np.allclose(hot["transform"], plain["transform"], atol=1e-9)
+
+
+def test_targets_of_a_set_are_copied_once_for_many_blocks(spark, monkeypatch):
+    """Before, each block of moved sources took a copy of every target block it might meet through the shuffle."""
+    from rankloom.operators import moved_clouds
+
+    rng = np.random.default_rng(6)
+    columns = "set_id string, point_id long, x double, y double, z double"
+    points = rng.normal(size=(700, 3))
+    target = spark.createDataFrame([("a", i, *map(float, p)) for i, p in enumerate(points)] + [("a", 900, float("nan"), 0.0, 0.0), ("n", 1, float("nan"), 0.0, 0.0)], columns)
+    source = spark.createDataFrame([("a", i, *map(float, p + 0.001)) for i, p in enumerate(points)] + [("a", 800, float("nan"), 0.0, 0.0), ("n", 1, 0.0, 0.0, 0.0)], columns)
+    unit = [float(i % 5 == 0) for i in range(16)]
+    jobs = spark.createDataFrame([(f"j{i}", "a", unit) for i in range(9)] + [("k", "n", unit)], "job_id string, set_id string, transform array<double>")
+    met = []
+    plain = moved_clouds.search
+
+    def watched(kind):
+        found = plain(kind)
+
+        def count(left, right):
+            import pyarrow as pa
+
+            out = found(left, right)
+            return pa.table([*out.columns[:3], pa.array([float(right.num_rows)] * out.num_rows), *out.columns[4:]], schema=kind) if met else out
+
+        return count
+
+    monkeypatch.setattr(moved_clouds, "search", watched)
+    held = source_blocks(source), target_blocks(target)
+    rows = meet(jobs, *held).toPandas()
+    assert len(rows) == 9 * 701 + 1
+    assert rows[(rows.point_id == 800) | (rows.set_id == "n")].distance.isna().all()
+    clear = rows[(rows.point_id < 700) & (rows.set_id == "a")]
+    assert np.allclose(clear[["u", "v", "w"]], points[clear.point_id])
+    met.append(True)
+    copies = meet(jobs, *held).toPandas().groupby("job_id").distance.first()
+    assert (copies.drop("k") == held[1].rows.where("set_id = 'a'").count()).all()
